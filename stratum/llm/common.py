@@ -138,29 +138,44 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 BLOB = "bucket int, payload binary"
 
 
-def packed(bucket: np.ndarray, columns: list[np.ndarray], names: list[str], n: int) -> pa.RecordBatch:
-    """Rows as one binary cell per bucket: a shuffle of columns instead of rows."""
+def packed(bucket: np.ndarray, columns: list[np.ndarray], n: int, ragged: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+    """Rows as one binary cell per bucket: a shuffle of columns instead of rows. ragged: (values, first, size) adds to each row the stretch values[first:first+size]; its size must be recoverable from the columns."""
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(n + 1))
     columns = [c[order] for c in columns]
+    if ragged is not None:
+        values, first, size = ragged[0], ragged[1][order], ragged[2][order]
+        stops = np.concatenate([[0], np.cumsum(size)])
+        flat = values[stretches(first, size)]
     keys, cells = [], []
-    for b in range(n):
+    for b in np.flatnonzero(np.diff(ends)):
         lo, hi = ends[b], ends[b + 1]
-        if hi > lo:
-            keys.append(b)
-            cells.append(b"".join([np.int64(hi - lo).tobytes(), *(c[lo:hi].tobytes() for c in columns)]))
+        parts = [np.int64(hi - lo).tobytes(), *(c[lo:hi].tobytes() for c in columns)]
+        if ragged is not None:
+            parts.append(flat[stops[lo] : stops[hi]].tobytes())
+        keys.append(b)
+        cells.append(b"".join(parts))
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(cells, pa.binary())], names=["bucket", "payload"])
 
 
-def unpacked(cells: list[bytes], dtypes: list[np.dtype]) -> list[np.ndarray]:
-    """The inverse, over all cells of a partition."""
-    parts: list[list[np.ndarray]] = [[] for _ in dtypes]
+def stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices first[i], first[i]+1, ... (size[i] of them) for every i, end to end."""
+    stops = np.cumsum(size)
+    return np.arange(stops[-1] if len(stops) else 0) + np.repeat(first - (stops - size), size)
+
+
+def unpacked(cells: list[bytes], dtypes: list[np.dtype], ragged: np.dtype | None = None) -> list[np.ndarray]:
+    """The inverse, over all cells of a partition; the ragged values come last."""
+    parts: list[list[np.ndarray]] = [[] for _ in dtypes] + [[]]
     for cell in cells:
         n, at = int(np.frombuffer(cell, np.int64, 1)[0]), 8
         for k, t in enumerate(dtypes):
             parts[k].append(np.frombuffer(cell, t, n, at))
             at += n * np.dtype(t).itemsize
-    return [np.concatenate(p) if p else np.empty(0, t) for p, t in zip(parts, dtypes, strict=True)]
+        if ragged is not None:
+            parts[-1].append(np.frombuffer(cell, ragged, -1, at) if at < len(cell) else np.empty(0, ragged))
+    kinds = [*dtypes, ragged] if ragged is not None else list(dtypes)
+    return [np.concatenate(p) if p else np.empty(0, t) for p, t in zip(parts, kinds, strict=False)]
 
 
 def exchanged(blobs: DataFrame, reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str, n: int) -> DataFrame:

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing
+from . import automata, jaccard, licenses, mixing, packing, quality, suffixes, toxicity
 
 
 def queries() -> dict:
-    return {"op2_packing": packing.op2_packing, "op3_mixing": mixing.op3_mixing, "op8_licenses": licenses.op8_licenses}
+    return {
+        "op1_suffix_dedup": suffixes.op1_suffix_dedup,
+        "op2_packing": packing.op2_packing,
+        "op3_mixing": mixing.op3_mixing,
+        "op4_quality": quality.op4_quality,
+        "op5_automata": automata.op5_automata,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_jaccard": jaccard.op7_jaccard,
+        "op8_licenses": licenses.op8_licenses,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op8_licenses": licenses.SQL}
+    return {"op1_suffix_dedup": suffixes.SQL, "op3_mixing": mixing.SQL, "op5_automata": automata.SQL, "op7_jaccard": jaccard.SQL, "op8_licenses": licenses.SQL}
