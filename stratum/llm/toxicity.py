@@ -1,8 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is a run of letters, lower-cased; its vector is the mean of the embeddings of its character n-grams and of itself (all hashed), so a misspelling that was never seen shares most n-grams with the spelling that was. A window of WINDOW neighbouring words is the mean of its words' vectors, a linear softmax classifies it, and a document is as toxic as its most toxic window: a few words are enough in a text of any length, and every word of every text is read.
+A word is a run of letters, lower-cased (a word repeated at once counts once); its vector is the mean of the embeddings of its character n-grams and of itself (all hashed), so a misspelling that was never seen shares most n-grams with the spelling that was. A window of WINDOW neighbouring words is the mean of its words' vectors, a linear softmax classifies it, and a document is as toxic as its most toxic window: a few words are enough in a text of any length, and every word of every text is read.
 
-Labels say which documents are toxic, not where, so training alternates: each document is represented by its most toxic windows under the present model (at first, under n-gram log odds), embeddings and softmax are fitted together on those windows, and so on. Features seen in fewer than MIN_DF documents are left out. The threshold is the one of best F1 on labelled documents kept out of the fit.
+Labels say which documents are toxic, not where, so training alternates: each document is represented by its most toxic windows under the present model (at first, under n-gram log odds), embeddings and softmax are fitted together on those windows, and so on. Embeddings start at the n-grams' smoothed log odds in one dimension and at random in the others. Features seen in fewer than MIN_DF documents are left out. The threshold is the one of best F1 on labelled documents kept out of the fit.
 
 The fit uses at most `labelled` labelled documents (those of least md5 of doc_id), a documented bound; everything else runs over all rows.
 
@@ -21,7 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LABELLED, WINDOW, BUCKETS, DIM, MIN_DF, NGRAMS = 8000, 16, 1 << 18, 8, 3, (3, 4, 5)
+from .common import stretches
+
+LABELLED, WINDOW, BUCKETS, DIM, MIN_DF, NGRAMS = 6000, 5, 1 << 18, 6, 4, (3, 4, 5)
 LETTERS = regex.compile(r"\p{L}+")
 NEVER = -1e9
 
@@ -74,7 +76,8 @@ class Scores(dict):
         self.new.append(word)
         return at
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits and word numbers."""
         if len(self) > self.LIMIT:
             self.clear()
             self.table = np.empty(0, np.float32)
@@ -84,7 +87,12 @@ class Scores(dict):
             sums = np.add.reduceat(self.weights[ids], starts) / np.diff(np.append(starts, len(ids)))
             self.table = np.append(self.table, sums.astype(np.float32))
             self.new = []
-        return self.table[at]
+        return self.table[at], at
+
+
+def runs_once(ids: np.ndarray) -> np.ndarray:
+    """Without words that repeat the word before."""
+    return ids[np.concatenate([[True], ids[1:] != ids[:-1]])] if len(ids) else ids
 
 
 def window_means(scores: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -101,10 +109,17 @@ def text_logits(texts: list[str | None], memo: Scores, most: int = 400_000) -> n
     spans: list[tuple[int, int]] = []
 
     def flush() -> None:
-        scores = memo.of(held)
+        scores, ids = memo.of(held)
+        fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
+
+        def spots(at: int, n: int) -> np.ndarray:
+            here = fresh[at : at + n].copy()
+            here[0] = True
+            return at + np.flatnonzero(here)
+
         at = 0
         for row, n in spans:
-            out[row] = window_means(scores[at : at + n]).max()
+            out[row] = window_means(scores[spots(at, n)]).max()
             at += n
         held.clear()
         spans.clear()
@@ -121,14 +136,14 @@ def text_logits(texts: list[str | None], memo: Scores, most: int = 400_000) -> n
     return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 60, seed: int = 0) -> Model | None:
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 60, seed: int = 0, decay: float = 1e-5, prior: float = 8.0, start: float = 8.0, rate: float = 0.02) -> Model | None:
     """None if the labels are all alike."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return None
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    docs = [np.fromiter((index.setdefault(w, len(index)) for w in LETTERS.findall((t or "").lower())), np.int64) for t in texts]
+    docs = [runs_once(np.fromiter((index.setdefault(w, len(index)) for w in LETTERS.findall((t or "").lower())), np.int64)) for t in texts]
     use = np.array([len(d) > 0 for d in docs])
     if not (toxic & use).any() or not (~toxic & use).any():
         return None
@@ -145,14 +160,18 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 60,
     for d, t, h in zip(docs, toxic, held, strict=True):
         if not h:
             u = np.unique(d)
-            seen = np.unique(np.concatenate([ids[starts[w] : ends[w]] for w in u]))
-            df[int(t), seen] += 1
+            seen = np.zeros(BUCKETS, bool)
+            seen[ids[stretches(starts[u], sizes[u])]] = True
+            df[int(t)] += seen
     keep = df.sum(0) >= MIN_DF
     n1, n0 = (toxic & ~held).sum(), (~toxic & ~held).sum()
-    odds = np.where(keep, np.log((df[1] + 0.5) / (n1 + 1)) - np.log((df[0] + 0.5) / (n0 + 1)), 0.0)
+    # smoothed by what one document more of either class would say, so that rare features start near 0
+    odds = np.where(keep, np.log((df[1] + prior * n1 / (n0 + n1)) / (n1 + prior)) - np.log((df[0] + prior * n0 / (n0 + n1)) / (n0 + prior)), 0.0)
     words = np.add.reduceat(odds[ids], starts) / sizes
-    embed = (rng.normal(0, 0.1, (BUCKETS, DIM)) * keep[:, None]).astype(np.float32)
-    head = rng.normal(0, 0.5, DIM).astype(np.float32)
+    # the first dimension starts at the log odds, the others at random
+    embed = (rng.normal(0, 0.05, (BUCKETS, DIM)) * keep[:, None]).astype(np.float32)
+    embed[:, 0] += odds
+    head = np.concatenate([[start], rng.normal(0, 0.2, DIM - 1)]).astype(np.float32)
     bias = 0.0
     trained = np.zeros(BUCKETS, bool)
     state: dict[str, list] = {}
@@ -182,32 +201,35 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 60,
         length = np.array([len(p) for p in picked])
         wstart = np.concatenate([[0], np.cumsum(length)[:-1]])
         vocab, local = np.unique(flat, return_inverse=True)
-        fids = np.concatenate([ids[starts[w] : ends[w]] for w in vocab])
         fsize = sizes[vocab]
-        fstart = np.concatenate([[0], np.cumsum(fsize)[:-1]])
-        used, fl = np.unique(fids, return_inverse=True)
+        fids = ids[stretches(starts[vocab], fsize)]
         owner = np.repeat(np.arange(len(vocab)), fsize)
+        fids, owner = fids[keep[fids]], owner[keep[fids]]  # the others weigh nothing
+        used, fl = np.unique(fids, return_inverse=True)
         by_feature = np.argsort(fl, kind="stable")
         feature_start = np.searchsorted(fl[by_feature], np.arange(len(used)))
         by_word = np.argsort(local, kind="stable")
         word_start = np.searchsorted(local[by_word], np.arange(len(vocab)))
+        with_features, fstart = np.unique(owner, return_index=True)
         window_of = np.repeat(np.arange(len(picked)), length)
-        sub, live = embed[used], keep[used][:, None]
+        sub = embed[used]
         state.pop("e", None)
         for _ in range(epochs):
             step += 1
-            vecs = np.add.reduceat(sub[fl], fstart, axis=0) / fsize[:, None]
+            vecs = np.zeros((len(vocab), DIM), np.float32)
+            vecs[with_features] = np.add.reduceat(sub[fl], fstart, axis=0)
+            vecs /= fsize[:, None]
             bags = np.add.reduceat(vecs[local], wstart, axis=0) / length[:, None]
             p = 1 / (1 + np.exp(-np.clip(bags @ head + bias, -30, 30)))
             g = ((p - y) * cost / len(y)).astype(np.float32)
             dhead = bags.T @ g + 1e-5 * head
             dbag = (g / length)[:, None] * head[None]
             dvec = np.add.reduceat(dbag[window_of[by_word]], word_start, axis=0) / fsize[:, None]
-            dsub = (np.add.reduceat(dvec[owner[by_feature]], feature_start, axis=0) + 1e-6 * sub) * live
+            dsub = (np.add.reduceat(dvec[owner[by_feature]], feature_start, axis=0) + decay * sub)
             # Adam per round on the features in use; the head and bias keep their state
-            sub = (adam("e", sub, dsub, 0.05, step) * live).astype(np.float32)
-            head = adam("h", head, dhead, 0.05, step).astype(np.float32)
-            bias = float(adam("b", np.array([bias]), np.array([g.sum()]), 0.05, step)[0])
+            sub = adam("e", sub, dsub, rate, step).astype(np.float32)
+            head = adam("h", head, dhead, rate, step).astype(np.float32)
+            bias = float(adam("b", np.array([bias]), np.array([g.sum()]), 0.1, step)[0])
         embed[used] = sub
         trained[used] = True
         weights = np.where(trained & keep, embed @ head, 0).astype(np.float32)
