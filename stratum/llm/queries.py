@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import automata, jaccard, licenses, mixing, packing, quality, suffixes, toxicity
+from . import ann, automata, jaccard, licenses, mixing, packing, pq, quality, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -15,8 +15,10 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_jaccard": jaccard.op7_jaccard,
         "op8_licenses": licenses.op8_licenses,
+        "op9_ann": ann.op9_ann,
+        "op10_embedding_dedup": pq.op10_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": suffixes.SQL, "op3_mixing": mixing.SQL, "op5_automata": automata.SQL, "op7_jaccard": jaccard.SQL, "op8_licenses": licenses.SQL}
+    return {"op1_suffix_dedup": suffixes.SQL, "op3_mixing": mixing.SQL, "op5_automata": automata.SQL, "op7_jaccard": jaccard.SQL, "op8_licenses": licenses.SQL, "op10_embedding_dedup": pq.SQL}
