@@ -112,19 +112,37 @@ def inbound_refs(verdicts: DataFrame, edges: DataFrame) -> DataFrame:
     return refs.join(verdicts.select(F.col("id").alias("referrer"), F.col("reachability").alias("referrer_verdict")), "referrer", "left").select("id", "referrer", "referrer_verdict")
 
 
-def chase(links: DataFrame, declared: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
-    """start, target: follow links(src, dst) from each start until a declared(id) key; null for a cycle or a dead end. A visited list guards against cycles."""
-    declared = declared.select(F.col("id").alias("at"), F.lit(True).alias("hit"))
-    live = starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("seen"))
-    done = None
-    for _ in range(most):
-        marked = staged(live.join(declared, "at", "left"), "chase")
-        found = marked.where("hit").select("start", F.col("at").alias("target"))
-        rest = marked.where("hit IS NULL").join(links, marked.at == links.src, "left")
-        ended = rest.where("dst IS NULL OR array_contains(seen, dst)").select("start", F.lit(None).cast(found.schema["target"].dataType).alias("target"))
-        done = found.unionByName(ended) if done is None else done.unionByName(found).unionByName(ended)
-        live = rest.where("dst IS NOT NULL AND NOT array_contains(seen, dst)").select("start", F.col("dst").alias("at"), F.concat("seen", F.array("dst")).alias("seen"))
-        live = staged(live, "live")
-        if live.isEmpty():
-            break
-    return done
+def chase(links: DataFrame, declared: DataFrame, starts: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+    """start, target: follow links(src, dst; of several the least dst) from each start until a declared(id) key; null for a cycle or a dead end."""
+    kind = starts.schema["id"].dataType.simpleString()
+    step = links.where("src IS NOT NULL").groupBy("src").agg(F.min("dst").alias("dst"))
+    if links.limit(in_one_task + 1).count() <= in_one_task:
+        table = step.select("src", "dst", F.lit(0).alias("part")).unionByName(declared.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(1).alias("part"))).unionByName(starts.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(2).alias("part")))
+
+        def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = pd.concat(list(frames), ignore_index=True)
+            parts = [rows[rows["part"] == k] for k in range(3)]
+            to = dict(zip(parts[0]["src"], parts[0]["dst"], strict=True))
+            known = set(parts[1]["src"])
+            ends: dict = {}
+            for start in parts[2]["src"]:
+                path, on, cur = [], set(), start
+                while cur not in ends and cur not in known and cur not in on and not pd.isna(cur):
+                    path.append(cur)
+                    on.add(cur)
+                    cur = to.get(cur)
+                end = ends.get(cur) if cur in ends else cur if cur in known else None
+                ends.update(dict.fromkeys(path, end))
+                ends.setdefault(start, end)
+            first = parts[2]["src"].tolist()
+            yield pd.DataFrame({"start": first, "target": pd.Series([ends[s] for s in first], dtype=object)})
+
+        return table.repartition(1).mapInPandas(follow, f"start {kind}, target {kind}")
+    # pointer doubling: after k rounds every key has taken 2^k steps, or stopped at a declared one
+    keys = step.join(declared.select(F.col("id").alias("src"), F.lit(True).alias("hit")), "src", "left")
+    jump = staged(keys.select("src", F.when(F.col("hit"), F.col("src")).otherwise(F.col("dst")).alias("dst")), "jump")
+    for _ in range(max(1, jump.count().bit_length())):
+        onward = jump.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+        jump = staged(jump.join(onward, "dst", "left").select("src", F.coalesce("next", "dst").alias("dst")), "jump")
+    ends = starts.select(F.col("id").alias("start")).join(jump, F.col("start") == F.col("src"), "left").select("start", F.coalesce("dst", "start").alias("end"))
+    return ends.join(declared.select(F.col("id").alias("end")).distinct().withColumn("hit", F.lit(True)), "end", "left").select("start", F.when(F.col("hit"), F.col("end")).alias("target"))
