@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOB, Hashes, doc_key, exchanged, fingerprint, ngram_hashes, packed, partitions, pieces, stretches, unpacked
+from .common import BLOB, Hashes, doc_key, exchanged, fingerprint, ngram_hashes, packed, partitions, pieces, small_side, staged, stretches, unpacked
 
 WINDOW, GRAM = 50, 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -147,7 +147,8 @@ def gathered(docs: DataFrame, decide: Callable[[Stretches], Iterator[pa.RecordBa
         raise ValueError(f"window must be over {gram} and at most 250 words")
     n = partitions(docs.sparkSession)
     docs = _prepared(docs)
-    anchors = recurring_anchors(docs, window, gram)
+    anchors = staged(recurring_anchors(docs, window, gram), "anchors")
+    anchors = small_side(anchors, F.size("anchors") * 8 + 64)
     # rows alike in doc_id and text are one document
     there = docs.join(anchors, (F.col("doc") == F.col("d")) & (F.col("fp") == F.col("f"))).select("doc", "fp", "text", "anchors")
 

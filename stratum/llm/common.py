@@ -41,6 +41,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The largest table, in bytes by count, that is sent to every executor instead of shuffling the other side.
+SMALL = 32 << 20
+
+
+def small_side(table: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """table, marked for broadcast if its measured size allows; if not, the join shuffles as usual. table should be a written one, as it is read for its size."""
+    size = table.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).alias("b")).first()["b"] or 0
+    return F.broadcast(table) if size <= SMALL else table
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -179,11 +189,11 @@ def unpacked(cells: list[bytes], dtypes: list[np.dtype], ragged: np.dtype | None
 
 
 def exchanged(blobs: DataFrame, reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str, n: int) -> DataFrame:
-    """Bring the cells of each bucket to one task and run reduce on all cells of a partition together."""
+    """Bring the cells of each bucket to the task of that number and run reduce on all of them together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = [c for b in batches for c in b.column("payload").to_pylist()]
         if cells:
             yield from reduce(cells)
 
-    return blobs.repartition(n, "bucket").mapInArrow(run, schema)
+    return blobs.repartitionById(n, F.col("bucket")).mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 A document is the set of its word 3-grams (hashed; a shorter document has one gram, of all its words). Documents with the same set are one set. Sets are partitioned into groups of similar ones: those with the same least gram under an independent hash (two sets share it with the probability of their Jaccard similarity). The matrix says which groups hold which grams; a query's overlap with the union of a group's grams bounds its similarity to every member, overlap / size of the query, so only groups whose bound reaches the threshold are opened and their members compared exactly.
 
-Which (query, group) cells have to be bounded at all is found by prefixes: grams are ordered rarest first (by a fixed-size sketch of counts over all documents), and a query can only reach the threshold with sets that share a gram of both prefixes. For long documents the prefix is over a hash sample of the grams, of 64 to 128 for the document's size; a document is entered at its own sampling rate and at the next, since sizes of a pair differ by a factor of two at most. The sampled threshold is lower by SLACK, about two and a half deviations, so recall is not exact but well above 0.9 (0.99 and more measured); up to 128 grams nothing is sampled and the search is exact. Every reported similarity is exact.
+Which (query, group) cells have to be bounded at all is found by prefixes: grams are ordered rarest first (by a fixed-size sketch of counts over all documents), and two sets can only reach the threshold if their prefixes share a number of grams that grows with their sizes (SHARED of the smaller one's); a cell counts the grams of the query's prefix that any prefix of the group has. For long documents the prefix is over a hash sample of the grams, of 64 to 128 for the document's size; a document is entered at its own sampling rate and at the next, since sizes of a pair differ by a factor of two at most. The sampled threshold is lower by SLACK, about two and a half deviations, so recall is not exact but well above 0.9 (0.99 and more measured); up to 128 grams nothing is sampled and the search is exact. Similarities are counted on whole sets (32 bits of each gram's hash).
 
 Defined cases: null and empty texts have no gram and no partner; a null doc_id takes part as one document that sorts first; rows alike in doc_id and text count once; a document is no partner of its own doc_id; ties don't matter, every pair above the threshold is a row; other columns are carried along by drop_near whatever their names; an empty table gives an empty result.
 """
@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOB, NULL_ID, Hashes, doc_key, exchanged, fingerprint, mix, ngram_hashes, packed, partitions, pieces, real_id, staged, stretches, unpacked
+from .common import BLOB, NULL_ID, Hashes, doc_key, exchanged, fingerprint, mix, ngram_hashes, packed, partitions, pieces, small_side, staged, stretches, unpacked
 
-N, THRESHOLD, SLACK, SAMPLE, SKETCH = 3, 0.5, 0.13, 64, 1 << 22
+N, THRESHOLD, SLACK, SAMPLE, SKETCH, SHARED = 3, 0.5, 0.13, 64, 1 << 20, 0.1
 _GROUP, _LEVEL = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -26,7 +26,8 @@ def _sets(batch: pa.RecordBatch, memo: Hashes, n: int) -> Iterator[tuple[np.ndar
     """(rows, sizes, grams): the distinct grams of each row that has words, in order of their hash."""
 
     def unique(row: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((grams, row))
+        # one key of the row and the leading bits sorts several times faster than two keys
+        order = np.argsort((row.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20)))
         row, grams = row[order], grams[order]
         once = np.concatenate([[True], (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])]) if len(row) else np.empty(0, bool)
         return row[once], grams[once]
@@ -64,24 +65,35 @@ def _group(sizes: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return mix(np.minimum.reduceat(mix(grams ^ _GROUP), np.cumsum(sizes) - sizes))
 
 
+def _asked(sizes: np.ndarray) -> np.ndarray:
+    """Grams that a set's prefix must share with a group's. A partner may have half as many grams, or be met at the coarser rate only, and shares that much less; sampling takes some more."""
+    level = np.maximum(np.floor(np.log2(sizes / SAMPLE)), 0)
+    least = np.where(sizes < SAMPLE, sizes / 2, 0.8 * sizes / 2 ** (level + 1))
+    return np.maximum(np.floor(SHARED * least), 1).astype(np.int64)
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(doc_key(), fingerprint(), F.col("text").cast("string").alias("text"))
 
 
-def count_sketch(docs: DataFrame, n: int = N, size: int = SKETCH) -> np.ndarray:
-    """Per bucket of gram hashes the logarithm of the number of documents' grams in it, over all documents; its size doesn't depend on theirs."""
-    spark = docs.sparkSession
+def scanned(docs: DataFrame, n: int = N, size: int = SKETCH) -> tuple[DataFrame, np.ndarray]:
+    """(sets, sketch) in one pass over the texts: doc, fp, sid, gkey, ask of all documents with grams (the set, its group, the grams that its cells must share); and per bucket of gram hashes the logarithm of the number of documents' grams in it, over all documents. The sketch's size doesn't depend on theirs."""
     chunks = 16
+    schema = "doc long, fp long, sid long, gkey long, ask int, bucket int, payload binary"
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, total = Hashes(), np.zeros(size, np.uint32)
         some = False
         for batch in batches:
-            for _, _, grams in _sets(batch, memo, n):
+            doc, fp = (batch.column(c).to_numpy() for c in ("doc", "fp"))
+            for rows, sizes, grams in _sets(batch, memo, n):
                 total += np.bincount((grams >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size).astype(np.uint32)
                 some = True
+                none = pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(fp[rows]), pa.array(_identity(sizes, grams).view(np.int64)), pa.array(_group(sizes, grams).view(np.int64)), pa.array(_asked(sizes).astype(np.int32)), *none], names=["doc", "fp", "sid", "gkey", "ask", "bucket", "payload"])
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([x.tobytes() for x in np.split(total, chunks)], pa.binary())], names=["bucket", "payload"])
+            none = [*[pa.nulls(chunks, pa.int64())] * 4, pa.nulls(chunks, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(chunks), pa.int32()), pa.array([x.tobytes() for x in np.split(total, chunks)], pa.binary())], names=["doc", "fp", "sid", "gkey", "ask", "bucket", "payload"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -93,15 +105,17 @@ def count_sketch(docs: DataFrame, n: int = N, size: int = SKETCH) -> np.ndarray:
             logs = [np.minimum(np.rint(8 * np.log2(1 + x)), 255).astype(np.uint8) for x in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in logs], pa.binary())], names=["bucket", "payload"])
 
-    rows = docs.mapInArrow(give, BLOB).repartition(min(chunks, partitions(spark)), "bucket").mapInArrow(add, BLOB).collect()
+    both = staged(docs.mapInArrow(give, schema), "sets")
+    counts = both.where(F.col("bucket").isNotNull()).select("bucket", "payload")
+    rows = counts.repartition(min(chunks, partitions(docs.sparkSession)), "bucket").mapInArrow(add, BLOB).collect()
     out = np.zeros((chunks, size // chunks), np.uint8)
     for r in rows:
         out[r["bucket"]] = np.frombuffer(r["payload"], np.uint8)
-    return out.reshape(-1)
+    return both.where(F.col("bucket").isNull()).select("doc", "fp", "sid", "gkey", "ask"), out.reshape(-1)
 
 
-def _cells(docs: DataFrame, sketch: np.ndarray, n: int, threshold: float) -> DataFrame:
-    """(query set, group) cells of the matrix whose prefixes meet: q, qg, g; both orders of every meeting."""
+def _cells(docs: DataFrame, info: DataFrame, sketch: np.ndarray, n: int, threshold: float) -> DataFrame:
+    """Cells of the matrix in which the query's prefix shares enough grams with those of the group: q, qg, g with qg <= g. info: sid, gkey, ask."""
     parts = partitions(docs.sparkSession)
     mask = len(sketch) - 1
 
@@ -112,29 +126,30 @@ def _cells(docs: DataFrame, sketch: np.ndarray, n: int, threshold: float) -> Dat
                 who, group = _identity(sizes, grams), _group(sizes, grams)
                 level = np.maximum(np.floor(np.log2(sizes / SAMPLE)), 0).astype(np.int64)
                 of = np.repeat(np.arange(len(sizes)), sizes)
-                rare = sketch[(grams >> np.uint64(20)).astype(np.int64) & mask]
                 draw = mix(grams ^ _LEVEL)
-                found = []
+                rows, tokens = [], []
                 for more in (0, 1):
-                    l = (level + more)[of]
-                    low = np.left_shift(np.uint64(1), l.astype(np.uint64)) - np.uint64(1)
-                    take = (draw & low) == 0
-                    row, gram, r, lev = of[take], grams[take], rare[take], l[take]
-                    order = np.lexsort((gram, r, row))
-                    row, gram, lev = row[order], gram[order], lev[order]
+                    low = (np.left_shift(np.uint64(1), (level + more).astype(np.uint64)) - np.uint64(1))[of]
+                    take = np.flatnonzero((draw & low) == 0)
+                    row, gram = of[take], grams[take]
+                    rare = sketch[(gram >> np.uint64(20)).astype(np.int64) & mask].astype(np.uint64)
+                    order = np.argsort((row.astype(np.uint64) << np.uint64(44)) | (rare << np.uint64(36)) | (gram >> np.uint64(28)))
+                    row, gram = row[order], gram[order]
                     size = np.bincount(row, minlength=len(sizes))
                     place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-                    exact = size == sizes
-                    need = np.where(exact, np.ceil(threshold * sizes - 1e-9), np.floor(max(threshold - SLACK, 0.05) * size)).astype(np.int64)
-                    keep = place < (size - np.maximum(need, 1) + 1)[row]
-                    found.append((row[keep], mix(gram[keep] + lev[keep].astype(np.uint64) * _LEVEL)))
-                row, token = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                    whole = size == sizes
+                    need = np.maximum(np.where(whole, np.ceil(threshold * sizes - 1e-9), np.floor(max(threshold - SLACK, 0.05) * size)), 1)
+                    shared = np.minimum(np.maximum(np.floor(SHARED * size), 1), need)
+                    keep = place < (size - need + shared)[row]
+                    rows.append(row[keep])
+                    tokens.append(mix(gram[keep] + (level + more)[row[keep]].astype(np.uint64) * _LEVEL))
+                row, token = np.concatenate(rows), np.concatenate(tokens)
+                if not len(row):
+                    continue
                 bucket = ((token >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
                 # per bucket and set: one header and its tokens
-                order = np.lexsort((row, bucket))
+                order = np.argsort(bucket * len(sizes) + row)
                 row, token, bucket = row[order], token[order], bucket[order]
-                if not len(row):
-                    continue
                 head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
                 many = np.diff(np.append(head, len(row)))
                 yield packed(bucket[head], [who[row[head]], group[row[head]], many.astype(np.uint32)], parts, (token, head, many))
@@ -142,68 +157,61 @@ def _cells(docs: DataFrame, sketch: np.ndarray, n: int, threshold: float) -> Dat
     def meet(cells: list[bytes]) -> Iterator[pa.RecordBatch]:
         who, group, many, token = unpacked(cells, [np.uint64, np.uint64, np.uint32], np.uint64)
         sets, first, number = np.unique(who, return_index=True, return_inverse=True)
-        groups, gnumber = np.unique(group[first], return_inverse=True)
+        groups, gnumber = np.unique(group[first].view(np.int64), return_inverse=True)
         s = np.repeat(number, many)
-        order = np.lexsort((s, token))
+        order = np.argsort(token)
         token, s = token[order], s[order]
-        once = np.concatenate([[True], (token[1:] != token[:-1]) | (s[1:] != s[:-1])])
-        token, s = token[once], s[once]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(first, len(token)))
+        at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(at, len(token)))
         live = size > 1
-        first, size = first[live], size[live]
-        # alike postings are met once
-        width = len(groups) if len(groups) else 1
+        at, size = at[live], size[live]
+        width = max(len(groups), 1)
+        found, times = np.empty(0, np.int64), np.empty(0, np.int64)
         seen: list[np.ndarray] = []
+        weights: list[np.ndarray] = []
         pending = 0
+
+        def settle() -> None:
+            nonlocal found, times, seen, weights, pending
+            cells_, counts = np.concatenate([found, *seen]), np.concatenate([times, *weights])
+            found, inverse = np.unique(cells_, return_inverse=True)
+            times = np.bincount(inverse, counts, len(found)).astype(np.int64)
+            seen, weights, pending = [], [], 0
+
+        # one direction is enough: to the group of greater key, or within the own (both sides then)
         two = size == 2
-        a, b = s[first[two]], s[first[two] + 1]
-        seen.append(np.unique(np.concatenate([a * width + gnumber[b], b * width + gnumber[a]])))
-        done: set[bytes] = set()
-        for f, k in zip(first[~two].tolist(), size[~two].tolist(), strict=True):
-            members = s[f : f + k]
-            mark = members.tobytes()
-            if mark in done:
+        a, b = s[at[two]], s[at[two] + 1]
+        a, b = a[a != b], b[a != b]
+        q, g = np.concatenate([a, b]), gnumber[np.concatenate([b, a])]
+        seen.append((q * width + g)[gnumber[q] <= g])
+        weights.append(np.ones(len(seen[0]), np.int64))
+        # postings alike are met once and counted as often as they occur
+        alike: dict[bytes, int] = {}
+        for f, k in zip(at[~two].tolist(), size[~two].tolist(), strict=True):
+            mark = np.unique(s[f : f + k]).tobytes()
+            alike[mark] = alike.get(mark, 0) + 1
+        for mark, count in alike.items():
+            members = np.frombuffer(mark, s.dtype)
+            if len(members) < 2:
                 continue
-            done.add(mark)
-            g, times = np.unique(gnumber[members], return_counts=True)
-            for lo in range(0, k, 4096):
+            g, held = np.unique(gnumber[members], return_counts=True)
+            for lo in range(0, len(members), 4096):
                 m = members[lo : lo + 4096]
-                cells_ = (m[:, None] * width + g[None]).ravel()
-                alone = ((gnumber[m][:, None] == g[None]) & (times == 1)[None]).ravel()
-                seen.append(cells_[~alone])
+                own = gnumber[m][:, None]
+                fit = (own < g[None]) | ((own == g[None]) & (held > 1)[None])
+                seen.append((m[:, None] * width + g[None])[fit])
+                weights.append(np.full(len(seen[-1]), count))
                 pending += len(seen[-1])
-            if pending > 2_000_000:
-                seen, pending = [np.unique(np.concatenate(seen))], 0
-        found = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.int64)
-        q, g = found // width, found % width
-        # one direction is enough: to the group of greater key, or within the own
-        ahead = groups[gnumber[q]] <= groups[g]
-        q, g = q[ahead], g[ahead]
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(sets[q].view(np.int64)), pa.array(groups[gnumber[q]].view(np.int64)), pa.array(groups[g].view(np.int64))], names=["q", "qg", "g"])
-            # the members met have to be there as well
-            other = found // width, found % width
-            back = ~ahead
-            q2, g2 = other[0][back], other[1][back]
-            if len(q2):
-                u = np.unique(q2)
-                yield pa.RecordBatch.from_arrays([pa.array(sets[u].view(np.int64)), pa.array(groups[gnumber[u]].view(np.int64)), pa.array(groups[gnumber[u]].view(np.int64))], names=["q", "qg", "g"])
-
-    return exchanged(docs.mapInArrow(give, BLOB), meet, "q long, qg long, g long", parts).distinct()
-
-
-def _identities(docs: DataFrame, n: int) -> DataFrame:
-    """doc, fp, sid: the set that each document is; documents without grams are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
-        for batch in batches:
-            doc, fp = (batch.column(c).to_numpy() for c in ("doc", "fp"))
-            for rows, sizes, grams in _sets(batch, memo, n):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(fp[rows]), pa.array(_identity(sizes, grams).view(np.int64))], names=["doc", "fp", "sid"])
+                if pending > 2_000_000:
+                    settle()
+        settle()
+        for lo in range(0, len(found), 200_000):
+            x, y = found[lo : lo + 200_000] // width, found[lo : lo + 200_000] % width
+            yield pa.RecordBatch.from_arrays([pa.array(sets[x].view(np.int64)), pa.array(groups[y]), pa.array(times[lo : lo + 200_000])], names=["q", "g", "times"])
 
-    return docs.mapInArrow(run, "doc long, fp long, sid long")
+    met = exchanged(docs.mapInArrow(give, BLOB), meet, "q long, g long, times long", parts)
+    counted = met.repartition(parts, "q").groupBy("q", "g").agg(F.sum("times").alias("times"))
+    return counted.join(info, F.col("q") == F.col("sid")).where("times >= ask").select("q", F.col("gkey").alias("qg"), "g")
 
 
 def compare(members: list[np.ndarray], queries: list[np.ndarray], threshold: float, block: int = 512, columns: int = 4096) -> Iterator[tuple[int, int, int]]:
@@ -252,14 +260,19 @@ def compare(members: list[np.ndarray], queries: list[np.ndarray], threshold: flo
 
 def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(sets, pairs): doc, fp, sid of all documents with grams; a, b, overlap, size_a, size_b of all different sets that reach the threshold, once each."""
+    if not 0.5 <= threshold <= 1:
+        raise ValueError("the threshold must be from 0.5 to 1: sizes of a pair may differ by a factor of two at most")
     spark = docs.sparkSession
     parts = partitions(spark)
     docs = _prepared(docs)
-    sets = staged(_identities(docs, n), "sets")
-    cells = staged(_cells(docs, count_sketch(docs, n), n, threshold), "cells")
-    wanted = cells.groupBy("q").agg(F.first("qg").alias("qg"), F.collect_set("g").alias("gs"))
-    one = sets.groupBy("sid").agg(F.min(F.struct("doc", "fp")).alias("k"))
+    sets, sketch = scanned(docs, n)
+    one = staged(sets.groupBy("sid").agg(F.min(F.struct("doc", "fp")).alias("k"), F.first("gkey").alias("gkey"), F.first("ask").alias("ask")), "sets")
+    cells = staged(_cells(docs, one.select("sid", "gkey", "ask"), sketch, n, threshold), "cells")
+    # a query goes to the groups of its cells, and every member of such a group to its own
+    members = one.join(cells.select(F.col("g").alias("gkey")).distinct(), "gkey", "left_semi").select(F.col("sid").alias("q"), F.col("gkey").alias("qg"), F.col("gkey").alias("g"))
+    wanted = cells.where("g <> qg").unionByName(members).groupBy("q").agg(F.first("qg").alias("qg"), F.collect_set("g").alias("gs"))
     reps = one.join(wanted, F.col("sid") == F.col("q")).select(F.col("k.doc").alias("d"), F.col("k.fp").alias("f"), "sid", "qg", "gs")
+    reps = small_side(staged(reps, "reps"), F.size("gs") * 8 + 80)
     there = docs.join(reps, (F.col("doc") == F.col("d")) & (F.col("fp") == F.col("f"))).select("doc", "fp", "text", "sid", "qg", "gs")
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,18 +287,15 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
                 times = np.diff(bounds)[rows]
                 to = values[stretches(bounds[rows], times)]
                 who = np.repeat(np.arange(len(rows)), times)
-                other = to != own[rows][who]
-                # once as a member of its own group, once as a query of each other group
-                g = np.concatenate([own[rows], to[other]])
-                who = np.concatenate([np.arange(len(rows)), who[other]])
-                role = np.concatenate([np.zeros(len(rows), np.uint8), np.ones(int(other.sum()), np.uint8)])
+                # a member of its own group, a query of another
+                g, role = to, (to != own[rows][who]).astype(np.uint8)
                 bucket = (mix(g) % np.uint64(parts)).astype(np.int64)
                 for lo in range(0, len(g), 2000):
                     s = slice(lo, lo + 2000)
-                    yield packed(bucket[s], [g[s], sid[rows][who[s]], role[s], sizes[who[s]]], parts, (grams, at[who[s]], sizes[who[s]]))
+                    yield packed(bucket[s], [g[s], sid[rows][who[s]], role[s], sizes[who[s]]], parts, ((grams >> np.uint64(32)).astype(np.uint32), at[who[s]], sizes[who[s]]))
 
     def open_(cells_: list[bytes]) -> Iterator[pa.RecordBatch]:
-        g, sid, role, size, grams = unpacked(cells_, [np.uint64, np.uint64, np.uint8, np.int64], np.uint64)
+        g, sid, role, size, grams = unpacked(cells_, [np.uint64, np.uint64, np.uint8, np.int64], np.uint32)
         at = np.cumsum(size) - size
         order = np.lexsort((sid, role, g))
         g, sid, role, size, at = (x[order] for x in (g, sid, role, size, at))
@@ -304,7 +314,7 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
             if hi - lo < 2 or role[lo] == 1:
                 continue
             mid = lo + int(np.searchsorted(role[lo:hi], 1))
-            rows = [grams[at[i] : at[i] + size[i]] for i in range(lo, hi)]
+            rows = [np.unique(grams[at[i] : at[i] + size[i]]) for i in range(lo, hi)]
             for i, j, o in compare(rows[: mid - lo], rows[mid - lo :], threshold):
                 out.append((sid[lo + i], sid[lo + j], o, size[lo + i], size[lo + j]))
             if len(out) > 50_000:
@@ -353,15 +363,17 @@ def drop_near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Data
     sets, pairs = similar_sets(docs, n, threshold)
     roots = components(pairs)
     grouped = sets.join(roots, sets.sid == roots.node, "left").select("doc", "fp", F.coalesce("root", "sid").alias("root"))
-    grouped = grouped.distinct()
     rank = F.row_number().over(Window.partitionBy("root").orderBy("doc", "fp"))
-    lose = staged(grouped.withColumn("rank", rank).where("rank > 1").select(F.col("doc").alias("__lose_doc"), F.col("fp").alias("__lose_fp")), "lose")
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__fp", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    left = keyed.join(lose, (F.col("__doc") == F.col("__lose_doc")) & (F.col("__fp") == F.col("__lose_fp")), "left_anti")
+    lose = grouped.distinct().withColumn("rank", rank).where("rank > 1").select(F.col("doc").alias("__key_doc"), F.col("fp").alias("__key_fp"))
     # rows alike are copies too: one stays
+    alike = sets.groupBy("doc", "fp").count().where("count > 1").select(F.col("doc").alias("__key_doc"), F.col("fp").alias("__key_fp"))
+    lose, alike = (small_side(staged(t, "lose"), 48) for t in (lose, alike))
+    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__fp", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    on = (F.col("__doc") == F.col("__key_doc")) & (F.col("__fp") == F.col("__key_fp"))
+    left = keyed.join(lose, on, "left_anti")
     once = F.row_number().over(Window.partitionBy("__doc", "__fp").orderBy("__doc"))
-    left = left.withColumn("__once", once).where((F.col("__once") == 1) | ~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False)))
-    return left.select(*docs.columns)
+    first = left.join(alike, on, "left_semi").withColumn("__once", once).where("__once = 1")
+    return left.join(alike, on, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, WINDOW, Stretches, gathered, marked, merged, span_batch
-from .common import NULL_ID, real_id, staged, stretches
+from .common import NULL_ID, real_id, small_side, staged, stretches
 
 _LOW = np.int64((1 << 32) - 1)
 
@@ -176,7 +176,8 @@ def without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs, with the columns of docs, without the later occurrences; documents that lose every word are left out."""
-    cuts = staged(marked(repeat_spans(docs, window, gram)), "cuts").select(F.col("doc").alias("__cut_doc"), F.col("fp").alias("__cut_fp"), F.col("cuts").alias("__cuts"))
+    cuts = staged(marked(repeat_spans(docs, window, gram)), "cuts")
+    cuts = small_side(cuts, F.size("cuts") * 32 + 64).select(F.col("doc").alias("__cut_doc"), F.col("fp").alias("__cut_fp"), F.col("cuts").alias("__cuts"))
     keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__fp", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = keyed.join(cuts, (F.col("__doc") == F.col("__cut_doc")) & (F.col("__fp") == F.col("__cut_fp")), "left")
 
