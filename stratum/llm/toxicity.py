@@ -62,6 +62,17 @@ def features(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     return np.concatenate(ids).astype(np.int64)[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
+def all_features(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """features of many words, a part at a time."""
+    ids, starts, at = [], [], 0
+    for lo in range(0, len(words), step):
+        i, s = features(words[lo : lo + step])
+        ids.append(i.astype(np.int32))
+        starts.append(s + at)
+        at += len(i)
+    return np.concatenate(ids), np.concatenate(starts)
+
+
 class Scores(dict):
     """word -> place in a growing table of word logits; emptied between batches when it is large."""
 
@@ -152,7 +163,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 60,
     for kind in (True, False):
         of = rng.permutation(np.flatnonzero(toxic == kind))
         held[of[: len(of) // 5]] = True
-    ids, starts = features(list(index))
+    ids, starts = all_features(list(index))
     ends = np.append(starts[1:], len(ids))
     sizes = ends - starts
     # document frequencies of features, by class, over the documents that are fitted
