@@ -200,7 +200,7 @@ _both("nested_flatten", "WITH n AS (SELECT user_id, sort_array(collect_list(stru
 _both("ini_section_scan", "WITH h AS (SELECT doc_id, pos, line, max(CASE WHEN regexp_like(line, '^[^ ]+ [^ ]+[.]$') THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM lines) SELECT doc_id, pos, CAST(section AS BIGINT) AS section FROM h WHERE section IS NOT NULL AND pos > section AND length(line) > 0")
 _both("discover_filter", "SELECT page_id, path FROM paths WHERE regexp_like(path, '^(en|fr)/.*') AND NOT regexp_like(path, '.*[.]html$') AND NOT regexp_like(path, '(^|/)(node_modules|dist)(/|$)')")
 _both("content_hash", "SELECT doc_id, sha2(text, 256) AS hash FROM documents", "SELECT doc_id, sha256(text) AS hash FROM documents")
-_SNAP = "WITH a AS (SELECT doc_id, {h} AS h FROM documents WHERE doc_id % 10 <> 0), b AS (SELECT doc_id, {g} AS h FROM documents WHERE doc_id % 10 <> 1), s AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS state FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id) SELECT doc_id, state FROM s WHERE state <> 'same'"
+_SNAP = "WITH a AS (SELECT doc_id, {h} AS h FROM documents WHERE lang <> 'es'), b AS (SELECT doc_id, {g} AS h FROM documents WHERE source <> 'src3'), s AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS state FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id) SELECT doc_id, state FROM s WHERE state <> 'same'"
 _both("snapshot_diff", _SNAP.format(h="sha2(text, 256)", g="sha2(CASE WHEN lang = 'fr' THEN concat(text, ' ') ELSE text END, 256)"), _SNAP.format(h="sha256(text)", g="sha256(CASE WHEN lang = 'fr' THEN concat(text, ' ') ELSE text END)"))
 _both("upsert_by_id", "WITH fresh AS (SELECT s_suppkey, concat(s_name, ' new') AS s_name FROM supplier WHERE s_acctbal < 0) SELECT s_suppkey, s_name FROM fresh UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM fresh)")
 _both("multiset_equal", "WITH a AS (SELECT l_suppkey AS k, l_linenumber AS line, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey, l_linenumber), b AS (SELECT l_suppkey AS k, l_linenumber AS line, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey, l_linenumber) SELECT coalesce(a.k, b.k) AS suppkey, sum(CASE WHEN coalesce(a.n, 0) = coalesce(b.n, 0) THEN 0 ELSE 1 END) = 0 AS equal FROM a FULL OUTER JOIN b ON a.k = b.k AND a.line = b.line GROUP BY coalesce(a.k, b.k)")
