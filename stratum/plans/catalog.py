@@ -170,13 +170,16 @@ _both("token_normalize", "SELECT doc_id, pos, CASE WHEN regexp_like(word, '^[0-9
 _GRAM = 20
 _both(
     "kgram_groups",
-    f"SELECT md5(gram) AS gram, CAST(count(*) AS BIGINT) AS n FROM (SELECT concat_ws(' ', collect_list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {_GRAM - 1} FOLLOWING)) AS gram, count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {_GRAM - 1} FOLLOWING) AS k FROM words) t WHERE k = {_GRAM} GROUP BY gram HAVING count(*) > 1",
+    f"WITH a AS (SELECT filter(split(text, '[ \\t\\n\\r]+'), x -> x <> '') AS w FROM documents) SELECT gram, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(transform(sequence(1, size(w) - {_GRAM - 1}), i -> md5(array_join(slice(w, i, {_GRAM}), ' ')))) AS gram FROM a WHERE size(w) >= {_GRAM}) t GROUP BY gram HAVING count(*) > 1",
     f"SELECT md5(gram) AS gram, CAST(count(*) AS BIGINT) AS n FROM (SELECT string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {_GRAM - 1} FOLLOWING) AS gram, count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {_GRAM - 1} FOLLOWING) AS k FROM words) t WHERE k = {_GRAM} GROUP BY gram HAVING count(*) > 1",
 )
-_LW_S = "lw AS (SELECT doc_id, pos AS unit, CAST(at AS BIGINT) AS idx, word FROM lines LATERAL VIEW posexplode(filter(split(line, '[ \\t\\r]+'), x -> x <> '')) x AS at, word)"
 _LW_D = "lw AS (SELECT doc_id, pos AS unit, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS idx, unnest(w) AS word FROM (SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[ \\t\\r]+'), lambda x: x <> '') AS w FROM lines) t)"
 _CAND = "SELECT md5(gram) AS gram, CAST(count(*) AS BIGINT) AS n, CAST(min(doc_id) AS BIGINT) AS first_doc FROM (SELECT doc_id, {agg} AS gram, count(*) OVER w AS k FROM lw WINDOW w AS (PARTITION BY doc_id, unit ORDER BY idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) t WHERE k = 10 GROUP BY gram HAVING count(*) > 1"
-_both("clone_candidates", f"WITH {_LW_S} " + _CAND.format(agg="concat_ws(' ', collect_list(word) OVER w)"), f"WITH {_LW_D} " + _CAND.format(agg="string_agg(word, ' ') OVER w"))
+_both(
+    "clone_candidates",
+    "WITH a AS (SELECT doc_id, filter(split(line, '[ \\t\\r]+'), x -> x <> '') AS w FROM lines) SELECT gram, CAST(count(*) AS BIGINT) AS n, CAST(min(doc_id) AS BIGINT) AS first_doc FROM (SELECT doc_id, explode(transform(sequence(1, size(w) - 9), i -> md5(array_join(slice(w, i, 10), ' ')))) AS gram FROM a WHERE size(w) >= 10) t GROUP BY gram HAVING count(*) > 1",
+    f"WITH {_LW_D} " + _CAND.format(agg="string_agg(word, ' ') OVER w"),
+)
 _CONF = "WITH c AS (SELECT CAST(sum(CASE WHEN quality = 0 AND said THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN quality = 1 AND said THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN quality = 0 AND NOT said THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM rated), r AS (SELECT tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / nullif(tp + fp, 0) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / nullif(tp + fn, 0) END AS r FROM c) SELECT tp, fp, fn, CAST(p AS DOUBLE) AS prec, CAST(r AS DOUBLE) AS rec, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / nullif(p + r, 0) END AS f1 FROM r"
 _both("confusion_matrix", _CONF)
 _both("run_variance", "WITH b AS (SELECT doc_id % 3 AS run, avg(CAST(quality AS DOUBLE)) AS rate, CAST(sum(toxic) AS DOUBLE) AS n FROM labels GROUP BY doc_id % 3) SELECT min(rate) AS least, avg(rate) AS mean, max(rate) AS most, CAST(floor(avg(n) + 0.5) AS BIGINT) AS toxic FROM b")
