@@ -75,7 +75,7 @@ def word_count(text: Column) -> Column:
 class Hashes(dict):
     """word -> 64-bit hash, kept while it is small; a bounded memory of frequent words, not a vocabulary."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -92,7 +92,7 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batch: pa.RecordBatch, overlap: int, most_words: int = 600_000, columns: tuple[str, ...] = ("doc", "fp")) -> Iterator[tuple[list[list[bytes]], list[int], list[int]]]:
+def pieces(batch: pa.RecordBatch, overlap: int, most_words: int = 250_000, columns: tuple[str, ...] = ("doc", "fp")) -> Iterator[tuple[list[list[bytes]], list[int], list[int]]]:
     """Documents of a batch as (word lists, row numbers, word offsets), together at most about most_words words.
 
     A document of more words comes in several pieces that share `overlap` words, so memory stays bounded for any text length while every window of overlap+1 words is in exactly one piece.
@@ -101,8 +101,11 @@ def pieces(batch: pa.RecordBatch, overlap: int, most_words: int = 600_000, colum
     rows: list[int] = []
     starts: list[int] = []
     total = 0
-    for row, text in enumerate(texts(batch.column("text"))):
-        words = text.split()
+    column = batch.column("text")
+    for row in range(len(column)):
+        if row % 512 == 0:  # a part of the texts at a time
+            some = texts(column.slice(row, 512))
+        words = some[row % 512].split()
         at = 0
         while True:
             part = words[at : at + most_words]
@@ -148,8 +151,8 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 BLOB = "bucket int, payload binary"
 
 
-def packed(bucket: np.ndarray, columns: list[np.ndarray], n: int, ragged: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
-    """Rows as one binary cell per bucket: a shuffle of columns instead of rows. ragged: (values, first, size) adds to each row the stretch values[first:first+size]; its size must be recoverable from the columns."""
+def packed(bucket: np.ndarray, columns: list[np.ndarray], n: int, ragged: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, planes: bool = False) -> pa.RecordBatch:
+    """Rows as one binary cell per bucket: a shuffle of columns instead of rows. ragged: (values, first, size) adds to each row the stretch values[first:first+size]; its size must be recoverable from the columns. planes: its bytes are stored by significance, which lets the shuffle's compression find the even ones."""
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(n + 1))
     columns = [c[order] for c in columns]
@@ -162,7 +165,8 @@ def packed(bucket: np.ndarray, columns: list[np.ndarray], n: int, ragged: tuple[
         lo, hi = ends[b], ends[b + 1]
         parts = [np.int64(hi - lo).tobytes(), *(c[lo:hi].tobytes() for c in columns)]
         if ragged is not None:
-            parts.append(flat[stops[lo] : stops[hi]].tobytes())
+            some = flat[stops[lo] : stops[hi]]
+            parts.append((some.view(np.uint8).reshape(-1, some.itemsize).T if planes else some).tobytes())
         keys.append(b)
         cells.append(b"".join(parts))
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(cells, pa.binary())], names=["bucket", "payload"])
@@ -174,7 +178,7 @@ def stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(stops[-1] if len(stops) else 0) + np.repeat(first - (stops - size), size)
 
 
-def unpacked(cells: list[bytes], dtypes: list[np.dtype], ragged: np.dtype | None = None) -> list[np.ndarray]:
+def unpacked(cells: list[bytes], dtypes: list[np.dtype], ragged: np.dtype | None = None, planes: bool = False) -> list[np.ndarray]:
     """The inverse, over all cells of a partition; the ragged values come last."""
     parts: list[list[np.ndarray]] = [[] for _ in dtypes] + [[]]
     for cell in cells:
@@ -183,7 +187,8 @@ def unpacked(cells: list[bytes], dtypes: list[np.dtype], ragged: np.dtype | None
             parts[k].append(np.frombuffer(cell, t, n, at))
             at += n * np.dtype(t).itemsize
         if ragged is not None:
-            parts[-1].append(np.frombuffer(cell, ragged, -1, at) if at < len(cell) else np.empty(0, ragged))
+            some = np.frombuffer(cell, np.uint8 if planes else ragged, -1, at) if at < len(cell) else np.empty(0, ragged)
+            parts[-1].append(np.ascontiguousarray(some.reshape(np.dtype(ragged).itemsize, -1).T).view(ragged).ravel() if planes and len(some) else some)
     kinds = [*dtypes, ragged] if ragged is not None else list(dtypes)
     return [np.concatenate(p) if p else np.empty(0, t) for p, t in zip(parts, kinds, strict=False)]
 

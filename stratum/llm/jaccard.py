@@ -290,12 +290,16 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
                 # a member of its own group, a query of another
                 g, role = to, (to != own[rows][who]).astype(np.uint8)
                 bucket = (mix(g) % np.uint64(parts)).astype(np.int64)
+                # a set's hashes are in order, so the steps between them say it in fewer bytes
+                short = (grams >> np.uint64(32)).astype(np.uint32)
+                step = np.diff(short, prepend=np.uint32(0))
+                step[at] = short[at]
                 for lo in range(0, len(g), 2000):
                     s = slice(lo, lo + 2000)
-                    yield packed(bucket[s], [g[s], sid[rows][who[s]], role[s], sizes[who[s]]], parts, ((grams >> np.uint64(32)).astype(np.uint32), at[who[s]], sizes[who[s]]))
+                    yield packed(bucket[s], [g[s], sid[rows][who[s]], role[s], sizes[who[s]]], parts, (step, at[who[s]], sizes[who[s]]), planes=True)
 
     def open_(cells_: list[bytes]) -> Iterator[pa.RecordBatch]:
-        g, sid, role, size, grams = unpacked(cells_, [np.uint64, np.uint64, np.uint8, np.int64], np.uint32)
+        g, sid, role, size, grams = unpacked(cells_, [np.uint64, np.uint64, np.uint8, np.int64], np.uint32, planes=True)
         at = np.cumsum(size) - size
         order = np.lexsort((sid, role, g))
         g, sid, role, size, at = (x[order] for x in (g, sid, role, size, at))
@@ -314,7 +318,7 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
             if hi - lo < 2 or role[lo] == 1:
                 continue
             mid = lo + int(np.searchsorted(role[lo:hi], 1))
-            rows = [np.unique(grams[at[i] : at[i] + size[i]]) for i in range(lo, hi)]
+            rows = [np.unique(np.cumsum(grams[at[i] : at[i] + size[i]], dtype=np.uint32)) for i in range(lo, hi)]
             for i, j, o in compare(rows[: mid - lo], rows[mid - lo :], threshold):
                 out.append((sid[lo + i], sid[lo + j], o, size[lo + i], size[lo + j]))
             if len(out) > 50_000:
@@ -361,7 +365,7 @@ def components(edges: DataFrame) -> DataFrame:
 def drop_near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group of near duplicates (connected by pairs): the one of least doc_id, of that one row. Columns unchanged."""
     sets, pairs = similar_sets(docs, n, threshold)
-    roots = components(pairs)
+    roots = components(staged(pairs.select("a", "b"), "pairs"))
     grouped = sets.join(roots, sets.sid == roots.node, "left").select("doc", "fp", F.coalesce("root", "sid").alias("root"))
     rank = F.row_number().over(Window.partitionBy("root").orderBy("doc", "fp"))
     lose = grouped.distinct().withColumn("rank", rank).where("rank > 1").select(F.col("doc").alias("__key_doc"), F.col("fp").alias("__key_fp"))

@@ -76,7 +76,7 @@ def all_features(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.n
 class Scores(dict):
     """word -> place in a growing table of word logits; emptied between batches when it is large."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self, weights: np.ndarray) -> None:
         super().__init__()
@@ -113,7 +113,7 @@ def window_means(scores: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return (c[n:] - c[:-n]) / n
 
 
-def text_logits(texts: list[str | None], memo: Scores, most: int = 400_000) -> np.ndarray:
+def text_logits(texts: list[str | None], memo: Scores, most: int = 200_000) -> np.ndarray:
     """The highest window mean of each text, before the bias; NEVER without words."""
     out = np.full(len(texts), NEVER)
     held: list[str] = []
