@@ -2,6 +2,8 @@
 
 Texts are split into sentences, sentences are normalised (lower case, runs of other characters than a-z and 0-9 as one blank) and looked up among known licence sentences; the identifiers found, in order of the text, form a sequence, and ordered rules take their licences out of that sequence, each rule consuming what it matched. Identifiers that no rule consumes are reported as UNKNOWN.
 
+A mark of [.!?;:] before white space may end a sentence, but needn't: known sentences have such marks inside ('SPDX-License-Identifier: MIT', 'free software; you can', 'v. 2.0'). A known sentence therefore lies between any two ends with any marks inside, and of those that begin at one place the longest counts.
+
 Two splits are scanned, since licence texts are often wrapped: one in which every line break ends a sentence, and one in which only a blank line does. A document has the licences that either finds.
 
 Defined cases: null and empty texts have no licence and no row; several rows alike give one row each licence; other columns are ignored; empty tables give an empty result.
@@ -84,21 +86,31 @@ def _step(ids: list[str]) -> str:
     return "".join(f"<{x}>" for x in ids)
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
-    """One row per document and licence: doc_id, license, n_matches (the most times that either split has it)."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(s, k) for k, group in SENTENCES.items() for s in group], "sentence string, id string")
-    hinted = docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + "|".join(HINTS)))
+def _sentence_pattern() -> str:
+    """A known sentence between two ends: longer ones first, and its words may have soft ends (E) between them."""
+    every = sorted({s for group in SENTENCES.values() for s in group}, key=lambda s: (-len(s), s))
+    return "[EL] ?(" + "|".join(s.replace(" ", "[ E]+") for s in every) + ")(?= ?[EL])"
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, row, split, seq: the identifiers of the known sentences of each row and split, in order of the text; rows without any are left out."""
+    known = F.create_map(*[F.lit(x) for k, group in SENTENCES.items() for s in group for x in (s, k)])
+    hinted = docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + "|".join(HINTS))).withColumn("row", F.monotonically_increasing_id())
+    # lower case first, so that capitals can mark ends: E may also lie inside a known sentence, L may not
+    soft = F.regexp_replace(F.lower("text"), r"[.!?;:](?=[ \t\n\x0B\f\r]|\z)", "E")
     splits = F.array(
-        F.struct(F.lit("line").alias("split"), F.regexp_replace("text", r"[.!?;:]+([ \t\n\x0B\f\r]+|$)|[\r\n]+", "\n").alias("t")),
-        F.struct(F.lit("block").alias("split"), F.regexp_replace(F.regexp_replace("text", r"\r?\n[ \t]*(\r?\n)+", ".\n"), r"[.!?;:]+([ \t\n\x0B\f\r]+|$)", "\u0001").alias("t")),
+        F.struct(F.lit("line").alias("split"), F.regexp_replace("soft", r"[\r\n]+", "L").alias("t")),
+        F.struct(F.lit("block").alias("split"), F.regexp_replace("soft", r"\n[ \t]*\r?\n[\r\n]*", "L").alias("t")),
     )
-    rows = hinted.withColumn("row", F.monotonically_increasing_id()).withColumn("s", F.explode(splits)).select("doc_id", "row", "s.split", F.posexplode(F.when(F.col("s.split") == "line", F.split("s.t", "\n")).otherwise(F.split("s.t", "\u0001"))).alias("pos", "raw"))
-    rows = rows.where(F.col("raw").rlike("(?i)" + "|".join(HINTS) + "|license|notice|conditions|liable|use this file|free software"))
-    rows = rows.withColumn("sentence", F.trim(F.regexp_replace(F.lower("raw"), "[^a-z0-9]+", " ")))
-    found = rows.join(F.broadcast(known), "sentence")  # the fixed table above
-    seqs = found.groupBy("doc_id", "row", "split").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("ids"))
-    seq = seqs.select("doc_id", "row", "split", F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit("<"), x["id"], F.lit(">")))).alias("seq"))
+    rows = hinted.select("doc_id", "row", soft.alias("soft")).select("doc_id", "row", F.inline(splits))
+    marked = F.concat(F.lit("L"), F.regexp_replace("t", "[^a-z0-9EL]+", " "), F.lit("L"))
+    found = rows.select("doc_id", "row", "split", F.regexp_extract_all(marked, F.lit(_sentence_pattern()), F.lit(1)).alias("found")).where(F.size("found") > 0)
+    return found.select("doc_id", "row", "split", F.concat_ws("", F.transform("found", lambda x: F.concat(F.lit("<"), F.element_at(known, F.regexp_replace(x, "[ E]+", " ")), F.lit(">")))).alias("seq"))
+
+
+def license_scan(docs: DataFrame) -> DataFrame:
+    """One row per document and licence: doc_id, license, n_matches (the most times that either split has it)."""
+    seq = identified(docs)
     hits = []
     for license_, ids in RULES:
         step = _step(ids)

@@ -297,6 +297,51 @@ def test_every_known_sentence_has_a_hint_and_a_rule():
     assert {x for _, ids in licenses.RULES for x in ids} <= set(licenses.SENTENCES)
 
 
+#: How texts write the known sentences that have an end mark inside; the others have none but the last.
+WORDINGS = {
+    "spdx license identifier": "SPDX-License-Identifier: ",
+    "this program is free software you": "This program is free software: you",
+    "without any warranty without": "WITHOUT ANY WARRANTY; without",
+    "mozilla public license v 2 0": "Mozilla Public\nLicense, v. 2.0",
+    "1 redistributions": "1. Redistributions",
+    "2 redistributions": "2. Redistributions",
+    "3 neither": "3. Neither",
+    "copyright all rights": "Copyright. All rights",
+}
+
+
+def worded(sentence):
+    for known, wording in WORDINGS.items():
+        sentence = sentence.replace(known, wording)
+    return f"Some words.\n\n{sentence}.\n\nMore words."
+
+
+def test_every_known_sentence_is_found_in_its_wording(spark):
+    every = [(s, k) for k, group in licenses.SENTENCES.items() for s in group]
+    df = spark.createDataFrame([(i, worded(s)) for i, (s, _) in enumerate(every)], "doc_id long, text string")
+    got = {r.doc_id: r.seq for r in licenses.identified(df).where("split = 'block'").collect()}
+    assert got == {i: f"<{k}>" for i, (_, k) in enumerate(every)}
+
+
+NOTICE = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def test_licenses_of_standard_notices(spark):
+    texts = [NOTICE.format(":", ",", 3), NOTICE.format(";", ";", 2), MPL, "# SPDX-License-Identifier: MIT\nimport os\n", "License: released under the MIT License; see below", "a SPDX-License-Identifier: MIT\nSPDX-License-Identifier:\n\nMIT"]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.n_matches) for r in got) == [(0, "GPL-3.0-or-later", 1), (1, "GPL-2.0-or-later", 1), (2, "MPL-2.0", 1), (3, "MIT", 1), (4, "MIT", 1)]
+
+
 def labelled(spark):
     r = random.Random(11)
     stems = ["grobian", "lumpatz"]
