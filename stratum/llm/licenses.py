@@ -95,7 +95,8 @@ def _sentence_pattern() -> str:
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, row, split, seq: the identifiers of the known sentences of each row and split, in order of the text; rows without any are left out."""
     known = F.create_map(*[F.lit(x) for k, group in SENTENCES.items() for s in group for x in (s, k)])
-    hinted = docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + "|".join(HINTS))).withColumn("row", F.monotonically_increasing_id())
+    # the text isn't normalised yet: a hint's blank is whatever becomes one
+    hinted = docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + "|".join(HINTS).replace(" ", "[^a-z0-9]+"))).withColumn("row", F.monotonically_increasing_id())
     # lower case first, so that capitals can mark ends: E may also lie inside a known sentence, L may not
     soft = F.regexp_replace(F.lower("text"), r"[.!?;:](?=[ \t\n\x0B\f\r]|\z)", "E")
     splits = F.array(

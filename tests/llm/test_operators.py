@@ -342,6 +342,12 @@ def test_licenses_of_standard_notices(spark):
     assert sorted((r.doc_id, r.license, r.n_matches) for r in got) == [(0, "GPL-3.0-or-later", 1), (1, "GPL-2.0-or-later", 1), (2, "MPL-2.0", 1), (3, "MIT", 1), (4, "MIT", 1)]
 
 
+def test_licenses_of_wrapped_hints(spark):
+    texts = [f"This is free and unencumbered software released into the public{gap}domain." for gap in (" ", "\n", "  ", "\r\n# ", "-")]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.n_matches) for r in got) == [(i, "Unlicense", 1) for i in range(len(texts))]
+
+
 def labelled(spark):
     r = random.Random(11)
     stems = ["grobian", "lumpatz"]
