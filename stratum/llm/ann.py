@@ -4,6 +4,8 @@ Vectors become binary codes by a learned rotation (iterative quantisation: princ
 
 The radius is set from the data: NEIGHBOURS of a fixed number of calibration queries (those of least md5) are found exactly against all vectors, and the radius is the one within which QUANTILE of them lie.
 
+One radius doesn't suit all: in skewed data it fits the groups of near copies, and vectors apart from them find fewer than k codes in it or none. Queries that come back with fewer than min(k, n - 1) rows go through further rounds, with a radius at least twice as wide and calibrated on exact neighbours of these queries themselves, until every one has them all (at a radius of all bits everything is found).
+
 All vectors are queries. Blocks of codes and blocks of queries meet pairwise; blocks have a fixed number of rows, so memory doesn't depend on how many vectors there are. On vectors without structure (independent directions) true neighbours differ in many bits, the radius is wide, and most codes pass the probes: results stay right, the work is then nearly that of a full scan.
 
 Defined cases: rows without id or vector, with other than finite numbers, of an uncommon length or of length zero have no neighbours and are none; of several vectors of one id the least counts; ties of the cosine go to the smaller id; other columns are ignored; fewer than k others give fewer rows; an empty table gives an empty result.
@@ -16,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, staged
 from .vectors import matrix, summed, usable
 
 K, SUBSTRING, ROUNDS, CALIBRATION, QUANTILE, BLOCK = 10, 8, 8, 200, 0.97, 8192
@@ -80,9 +82,9 @@ class Index:
         return found[distances(self.codes[found], query) <= self.radius]
 
 
-def calibrated_radius(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray, k: int = K, queries: int = CALIBRATION, quantile: float = QUANTILE) -> int:
-    """The least radius that holds `quantile` of the exact k nearest neighbours of the calibration queries, found against all vectors."""
-    asked = vectors.orderBy(F.md5(F.col("id").cast("string")), "id").limit(queries).toPandas()
+def calibrated_radius(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray, k: int = K, queries: int = CALIBRATION, quantile: float = QUANTILE, among: DataFrame | None = None) -> int:
+    """The least radius that holds `quantile` of the exact k nearest neighbours of the calibration queries (rows of `among`, all vectors by default), found against all vectors."""
+    asked = (vectors if among is None else among).orderBy(F.md5(F.col("id").cast("string")), "id").limit(queries).toPandas()
     qid, q = asked["id"].to_numpy(), np.array(asked["v"].tolist())
     qcode = codes(q, mean, axes)
 
@@ -109,21 +111,19 @@ def calibrated_radius(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray, k:
     return int(np.ceil(np.quantile(near["ham"], quantile))) if len(near) else 0
 
 
-def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, neighbour_id, cosine, rank (from 1): for every vector its k nearest, among all codes within the radius."""
-    vectors = usable(df, id_col, vec_col)
-    spark = df.sparkSession
-    schema = "vec_id long, neighbour_id long, cosine double, rank int"
-    n = vectors.count()
-    if not n:
-        return spark.createDataFrame([], schema)
-    mean, axes = learn_rotation(vectors)
-    radius = calibrated_radius(vectors, mean, axes, k)
-    blocks = max(1, -(-n // BLOCK))
-    of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    held = vectors.select("id", "v", of.alias("b"), every.alias("a")).withColumn("side", F.lit(0))
-    asked = vectors.select("id", "v", of.alias("a"), every.alias("b")).withColumn("side", F.lit(1))
+def _searched(vectors: DataFrame, asking: DataFrame, n: int, m: int, mean: np.ndarray, axes: np.ndarray, radius: int, k: int) -> DataFrame:
+    """vec_id, neighbour_id, cosine, rank: for each of the m rows of `asking` the k nearest of the n vectors among the codes within the radius, as many as there are."""
+    spark = vectors.sparkSession
+    blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
+
+    def of(parts: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    held = vectors.select("id", "v", of(blocks).alias("b"), every(groups).alias("a")).withColumn("side", F.lit(0))
+    asked = asking.select("id", "v", of(groups).alias("a"), every(blocks).alias("b")).withColumn("side", F.lit(1))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["side"].to_numpy() == 1
@@ -153,10 +153,33 @@ def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str =
         a, b, c = (np.concatenate(t) for t in zip(*out, strict=True))
         return pd.DataFrame({"vec_id": a, "neighbour_id": b, "cosine": c})
 
-    met = held.unionByName(asked).repartition(min(blocks * blocks, 4 * partitions(spark)), "a", "b").groupBy("a", "b").applyInPandas(run, "vec_id long, neighbour_id long, cosine double")
+    met = held.unionByName(asked).repartition(min(blocks * groups, 4 * partitions(spark)), "a", "b").groupBy("a", "b").applyInPandas(run, "vec_id long, neighbour_id long, cosine double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """vec_id, neighbour_id, cosine, rank (from 1): for every vector its k nearest (all others if there are fewer), among all codes within the radius of its round."""
+    vectors = usable(df, id_col, vec_col)
+    n = vectors.count()
+    if not n:
+        return df.sparkSession.createDataFrame([], "vec_id long, neighbour_id long, cosine double, rank int")
+    mean, axes = learn_rotation(vectors)
+    bits, full = axes.shape[1], min(k, n - 1)
+    radius = calibrated_radius(vectors, mean, axes, k)
+    asking, m, done = vectors, n, None
+    while True:
+        found = staged(_searched(vectors, asking, n, m, mean, axes, radius, k), "neighbours")
+        # a row of rank `full` tells that all before it are there
+        whole = found.where(F.col("rank") == full).select("vec_id")
+        missing = m - whole.count() if full else 0
+        if not missing or radius >= bits:
+            return found if done is None else done.unionByName(found)
+        kept = found.join(whole, "vec_id", "left_semi").select(*found.columns)
+        done = kept if done is None else done.unionByName(kept)
+        asking, m = staged(asking.join(whole, F.col("id") == F.col("vec_id"), "left_anti"), "asking"), missing
+        radius = min(bits, max(2 * radius, 1, calibrated_radius(vectors, mean, axes, k, among=asking)))
+
+
 def op9_ann(spark, sf_dir: str) -> DataFrame:
     return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -434,6 +434,27 @@ def test_nearest_neighbours(spark):
     assert ann.neighbours(df.where("vec_id < 3")).count() == 6
 
 
+def test_isolated_vectors_have_all_neighbours(spark):
+    r = np.random.default_rng(9)
+    alone, dims = 24, 32
+    groups = np.repeat(r.normal(size=(50, dims)), 24, axis=0)
+    x = np.concatenate([groups + 0.001 * r.normal(size=groups.shape), r.normal(size=(alone, dims))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = np.sort(s, axis=1)[:, -10]
+    got = {}
+    for row in ann.neighbours(df).collect():
+        got.setdefault(row.vec_id, []).append((row.rank, row.neighbour_id, row.cosine))
+    recall = []
+    for i in range(len(x)):
+        assert sorted(rank for rank, _, _ in got[i]) == list(range(1, 11)) and len({j for _, j, _ in got[i]}) == 10
+        recall.append(np.mean([c >= want[i] - 1e-9 for _, _, c in got[i]]))
+    assert np.mean(recall[:-alone]) >= 0.9 and np.mean(recall[-alone:]) >= 0.9 and min(recall) >= 0.5
+
+
 def test_index_returns_every_code_in_the_radius():
     r = np.random.default_rng(3)
     block = r.integers(0, 256, (500, 4), dtype=np.uint8)
