@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOB, Hashes, doc_key, exchanged, fingerprint, ngram_hashes, packed, partitions, pieces, small_side, staged, stretches, unpacked
+from .common import BLOB, Hashes, doc_key, exchanged, fingerprint, identity, ngram_hashes, packed, partitions, pieces, small_side, staged, stretches, unpacked
 
 WINDOW, GRAM = 50, 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -80,7 +80,8 @@ def recurring_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
         order = np.argsort(anchor, kind="stable")
         anchor, doc, fp = anchor[order], doc[order], fp[order]
         at = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+        who = identity(doc, fp)
+        several = np.minimum.reduceat(who, at) != np.maximum.reduceat(who, at)
         keep = np.repeat(several, np.diff(np.append(at, len(anchor))))
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(fp[keep]), pa.array(anchor[keep].view(np.int64))], names=["doc", "fp", "anchor"])
 

@@ -4,7 +4,7 @@ Every document streams past the anchors (see anchors.py), so the stretches of te
 
 A run of recurring windows within a stretch is shorter than a window, so its first and last window cover it; both are phrases. Every phrase recurs, so whatever the automata locate is a repeat, and every recurring window is covered by phrases of its own stretch: the located spans are exactly the words in passages that recur.
 
-Defined cases: as for suffix-array dedup: null, empty and short texts have no repeat; a null doc_id is one document of its own; rows alike in doc_id and text are one document; a passage must be in documents with two doc_ids; an empty table gives an empty result; other columns are ignored.
+Defined cases: as for suffix-array dedup: null, empty and short texts have no repeat; each different text without a doc_id is a document of its own; rows alike in doc_id and text are one document; a passage must be in documents with two doc_ids; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import GRAM, WINDOW, Stretches, gathered, merged, span_batch
-from .common import real_id, stretches
+from .common import identity, real_id, stretches
 from .suffixes import _WINDOWS
 
 
@@ -51,7 +51,8 @@ def _decide(window: int):
         flat = s.words[stretches(s.at[first], size)]
         _, words = np.unique(flat, return_inverse=True)
         starts = np.cumsum(size) - size
-        low, high = np.minimum.reduceat(s.doc, first), np.maximum.reduceat(s.doc, first)
+        who = identity(s.doc, s.fp)
+        low, high = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
         kind, offset = _confirmed(s, flat, starts, own[first], window, low, high)
         if not len(kind):
             return

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id, so that rows without one still count as one document of their own.
+#: Stands for a null doc_id; `identity` tells rows without one apart where documents are counted.
 NULL_ID = -(2**63)
 WORD = r"[^ \t\n\x0B\f\r]+"
 SQL_WORD = "[^ \\t\\n\\v\\f\\r]+"
@@ -64,6 +64,11 @@ def fingerprint() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("fp")
 
 
+def identity(doc: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """What tells documents apart: the doc_id, and the text's hash in rows without one."""
+    return np.where(doc == NULL_ID, fp, doc)
+
+
 def real_id(col: str = "doc") -> Column:
     return F.when(F.col(col) != NULL_ID, F.col(col)).alias("doc_id")
 

@@ -99,6 +99,19 @@ def test_repeats_keep_one_occurrence(spark, docs, rows):
     assert None in left and "" in left and "one" in left
 
 
+def test_repeats_among_texts_without_an_id(spark):
+    r = random.Random(8)
+    own = [" ".join(r.choice(VOCAB) for _ in range(30)) for _ in range(3)]
+    passage = " ".join(r.choice(VOCAB) for _ in range(60))
+    texts = [f"{own[0]} {passage}", f"{own[1]} {passage}", f"{own[2]} {own[0]}"]
+    df = spark.createDataFrame([(None, t) for t in [*texts, texts[2] + " " + own[1]] + texts[2:]], "doc_id long, text string")
+    shared = [(None, 0, 60), (None, 0, 60), (None, 30, 90), (None, 30, 90)]
+    for found in (suffixes.repeats(df), automata.located(df)):
+        assert sorted((x.doc_id, x.start_word, x.end_word) for x in found.collect()) == shared
+    alike = spark.createDataFrame([(None, texts[0])] * 2, "doc_id long, text string")
+    assert suffixes.repeats(alike).count() == automata.located(alike).count() == 0
+
+
 def test_repeats_of_nothing(none):
     assert suffixes.repeats(none).count() == automata.located(none).count() == suffixes.drop_repeats(none).count() == 0
 
