@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_leaving: set[str] = set()
+
 
 def stage_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only for a local master without that setting."""
@@ -20,7 +23,30 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    path = f"{stage_root(df.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: cuts the lineage and fixes row placement, whatever executors are lost later. What `discard` doesn't delete goes when the session's JVM ends."""
+    spark = df.sparkSession
+    folder = f"{stage_root(spark)}/stages-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if folder not in _leaving:
+        fs, where = _at(spark, folder)
+        fs.deleteOnExit(where)
+        _leaving.add(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let Spark delete the shuffle files that nothing refers to."""
+    for table in tables:
+        fs, where = _at(table.sparkSession, table.stage_path)
+        fs.delete(where, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
