@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOB, Hashes, doc_key, exchanged, fingerprint, identity, ngram_hashes, packed, partitions, pieces, small_side, staged, stretches, unpacked
+from .common import BLOB, Hashes, buckets, exchanged, identity, lean, ngram_hashes, packed, partitions, pieces, prepared, small_side, staged, stretches, unpacked
 
 WINDOW, GRAM = 50, 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -47,10 +47,6 @@ def owned(h: np.ndarray, sizes: np.ndarray, window: int = WINDOW, gram: int = GR
     return g[a[new]], starts[new], starts[last]
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.select(doc_key(), fingerprint(), F.col("text").cast("string").alias("text"))
-
-
 def _laid(lists: list[list[bytes]], memo: Hashes) -> tuple[np.ndarray, np.ndarray]:
     return memo.of([w for x in lists for w in x]), np.fromiter(map(len, lists), np.int64, len(lists))
 
@@ -85,7 +81,7 @@ def recurring_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
         keep = np.repeat(several, np.diff(np.append(at, len(anchor))))
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(fp[keep]), pa.array(anchor[keep].view(np.int64))], names=["doc", "fp", "anchor"])
 
-    rows = exchanged(docs.mapInArrow(give, BLOB), meet, "doc long, fp long, anchor long", n)
+    rows = exchanged(docs.mapInArrow(lean(give), BLOB), meet, "doc long, fp long, anchor long", n)
     return rows.groupBy(F.col("doc").alias("d"), F.col("fp").alias("f")).agg(F.collect_set("anchor").alias("anchors"))
 
 
@@ -146,9 +142,10 @@ def gathered(docs: DataFrame, decide: Callable[[Stretches], Iterator[pa.RecordBa
     """Run decide on the stretches of every recurring anchor, brought together by anchor; the result has columns SPANS."""
     if window < gram + 1 or window > 250:
         raise ValueError(f"window must be over {gram} and at most 250 words")
-    n = partitions(docs.sparkSession)
-    docs = _prepared(docs)
+    docs = prepared(docs)
     anchors = staged(recurring_anchors(docs, window, gram), "anchors")
+    met = anchors.agg(F.sum(F.size("anchors")).alias("n")).first()["n"] or 0
+    n = buckets(docs.sparkSession, met * (40 + 4 * (2 * window - gram)))
     anchors = small_side(anchors, F.size("anchors") * 8 + 64)
     # rows alike in doc_id and text are one document
     there = docs.join(anchors, (F.col("doc") == F.col("d")) & (F.col("fp") == F.col("f"))).select("doc", "fp", "text", "anchors")
@@ -185,7 +182,7 @@ def gathered(docs: DataFrame, decide: Callable[[Stretches], Iterator[pa.RecordBa
         for batch in batches_of(cells, window):
             yield from decide(batch)
 
-    return exchanged(there.mapInArrow(give, BLOB), run, SPANS, n)
+    return exchanged(there.mapInArrow(lean(give), BLOB), run, SPANS, n)
 
 
 def span_batch(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, end: np.ndarray, later: np.ndarray) -> pa.RecordBatch:

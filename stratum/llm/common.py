@@ -5,8 +5,7 @@ A *word* is a maximal run of characters other than ASCII white space, here and i
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..stage import discard, stage_root, staged  # noqa: F401
 
 #: Stands for a null doc_id; `identity` tells rows without one apart where documents are counted.
 NULL_ID = -(2**63)
@@ -21,47 +23,50 @@ WORD = r"[^ \t\n\x0B\f\r]+"
 SQL_WORD = "[^ \\t\\n\\v\\f\\r]+"
 
 
-def stage_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only for a local master without a setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="stages-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and fixes row placement, whatever executors are lost later."""
-    spark = df.sparkSession
-    path = f"{stage_root(spark)}/stages/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: The largest table, in bytes by count, that is sent to every executor instead of shuffling the other side.
-SMALL = 32 << 20
+SMALL = 4 << 20
 
 
 def small_side(table: DataFrame, row_bytes: Column | int) -> DataFrame:
-    """table, marked for broadcast if its measured size allows; if not, the join shuffles as usual. table should be a written one, as it is read for its size."""
+    """table, marked for broadcast if its measured size allows; if not, both sides shuffle, and table is the one that is hashed. table should be a written one, as it is read for its size."""
     size = table.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).alias("b")).first()["b"] or 0
-    return F.broadcast(table) if size <= SMALL else table
+    return F.broadcast(table) if size <= SMALL else table.hint("shuffle_hash")
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def doc_key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")
+def doc_key(doc_id: Column | None = None) -> Column:
+    return F.coalesce((F.col("doc_id") if doc_id is None else doc_id).cast("long"), F.lit(NULL_ID)).alias("doc")
 
 
-def fingerprint() -> Column:
+def fingerprint(text: Column | None = None) -> Column:
     """Tells apart rows that share a doc_id but not the text."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("fp")
+    return F.xxhash64(F.coalesce((F.col("text") if text is None else text).cast("string"), F.lit(""))).alias("fp")
+
+
+def checked(docs: DataFrame) -> DataFrame:
+    """docs, if its doc_id is an integer: results carry it as one."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"doc_id must be an integer column, not {kind.simpleString()}")
+    return docs
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    return checked(docs).select(doc_key(), fingerprint(), F.col("text").cast("string").alias("text"))
+
+
+def rowwise(docs: DataFrame) -> DataFrame:
+    """doc, fp and the whole row as one struct `row`, so that no name of its columns can clash with one used inside."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return checked(docs).select(row).select("row", doc_key(F.col("row.doc_id")), fingerprint(F.col("row.text")))
+
+
+def columns_of(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs out of `row`, some of them computed anew."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def identity(doc: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -198,6 +203,37 @@ def unpacked(cells: list[bytes], dtypes: list[np.dtype], ragged: np.dtype | None
     return [np.concatenate(p) if p else np.empty(0, t) for p, t in zip(parts, kinds, strict=False)]
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def trimmed() -> None:
+    """Give memory that is free in this process back to the system: a worker lives on from stage to stage, several of them to an executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which leaves no free memory behind."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trimmed()
+
+    return wrapped
+
+
+#: Bytes of cells that one task takes up at once in Python; the number of buckets follows from the data's size.
+BUCKET = 24 << 20
+
+
+def buckets(spark: SparkSession, size: int) -> int:
+    """So many that a bucket of `size` bytes' even share is at most BUCKET, and every partition has one."""
+    return max(partitions(spark), -(-size // BUCKET))
+
+
 def exchanged(blobs: DataFrame, reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str, n: int) -> DataFrame:
     """Bring the cells of each bucket to the task of that number and run reduce on all of them together."""
 
@@ -206,4 +242,4 @@ def exchanged(blobs: DataFrame, reduce: Callable[[list[bytes]], Iterator[pa.Reco
         if cells:
             yield from reduce(cells)
 
-    return blobs.repartitionById(n, F.col("bucket")).mapInArrow(run, schema)
+    return blobs.repartitionById(n, F.col("bucket")).mapInArrow(lean(run), schema)

@@ -1,10 +1,14 @@
 """N-gram Jaccard join over a token-group matrix.
 
-A document is the set of its word 3-grams (hashed; a shorter document has one gram, of all its words). Documents with the same set are one set. Sets are partitioned into groups of similar ones: those with the same least gram under an independent hash (two sets share it with the probability of their Jaccard similarity). The matrix says which groups hold which grams; a query's overlap with the union of a group's grams bounds its similarity to every member, overlap / size of the query, so only groups whose bound reaches the threshold are opened and their members compared exactly.
+A document is the set of its word 3-grams (64-bit hashes; a shorter document has one gram, of all its words). Documents with the same set are one set. Sets are partitioned into groups of similar ones: those with the same least gram under an independent hash (two sets share it with the probability of their Jaccard similarity). The matrix says which groups hold which grams; a query's overlap with the union of a group's grams bounds its similarity to every member, overlap / size of the query, so only groups whose bound reaches the threshold are opened and their members compared exactly.
 
-Which (query, group) cells have to be bounded at all is found by prefixes: grams are ordered rarest first (by a fixed-size sketch of counts over all documents), and two sets can only reach the threshold if their prefixes share a number of grams that grows with their sizes (SHARED of the smaller one's); a cell counts the grams of the query's prefix that any prefix of the group has. For long documents the prefix is over a hash sample of the grams, of 64 to 128 for the document's size; a document is entered at its own sampling rate and at the next, since sizes of a pair differ by a factor of two at most. The sampled threshold is lower by SLACK, about two and a half deviations, so recall is not exact but well above 0.9 (0.99 and more measured); up to 128 grams nothing is sampled and the search is exact. Similarities are counted on whole sets (32 bits of each gram's hash).
+Which (query, group) cells have to be bounded at all is found by prefixes: grams are ordered rarest first (by a fixed-size sketch of counts over all documents), and two sets can only reach the threshold if their prefixes share a number of grams that grows with their sizes (SHARED of the smaller one's). A cell counts the grams of the query's prefix that any prefix of the group has, in 32 bits a gram beside the bucket's; grams of a set that are alike there are told apart by their number, so a count is never too low. Every set meets its own group. Nothing is sampled and nothing is capped: the search misses no pair.
 
-Defined cases: null and empty texts have no gram and no partner; a null doc_id takes part as one document that sorts first; rows alike in doc_id and text count once; a document is no partner of its own doc_id; ties don't matter, every pair above the threshold is a row; other columns are carried along by drop_near whatever their names; an empty table gives an empty result.
+Groups that cells connect are opened together in one unit, so that a text travels once to all of them; a unit holds at most MOST grams of members. A larger group is split into blocks of members, and each of its sets is sent to every block of its group. Within a unit grams that a single set has are left aside, grams of few sets are met as pairs, and only the others become columns of a matrix product.
+
+The result is one row a document: its class (the connected component of all pairs that reach the threshold) and the number of documents that it reaches the threshold with. Links between different texts are all found and counted; copies are counted with their set and not expanded into pairs.
+
+Defined cases: null and empty texts have no gram, no partner and no row; rows alike in doc_id and text are one document, other rows are documents of their own whatever their doc_id; a class is named by its least doc_id that isn't null; in drop_near a null doc_id sorts first; ties don't matter, every pair at the threshold (to 1e-9) is a link; other columns are carried along by drop_near whatever their names; an empty table gives an empty result; doc_id must be an integer.
 """
 
 from __future__ import annotations
@@ -13,22 +17,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, NULL_ID, Hashes, doc_key, exchanged, fingerprint, mix, ngram_hashes, packed, partitions, pieces, small_side, staged, stretches, unpacked
+from .common import BLOB, Hashes, buckets, columns_of, discard, exchanged, lean, mix, ngram_hashes, packed, partitions, pieces, prepared, real_id, rowwise, small_side, staged, stretches, trimmed, unpacked
 
-N, THRESHOLD, SLACK, SAMPLE, SKETCH, SHARED = 3, 0.5, 0.13, 64, 1 << 20, 0.1
-_GROUP, _LEVEL = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1B54A32D192ED03)
+N, THRESHOLD, SKETCH, SHARED, MOST = 3, 0.5, 1 << 20, 0.1, 1_000_000
+_GROUP, _TOKEN = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1B54A32D192ED03)
+#: A gram that at most so many of a group's rows have is met as pairs of rows.
+RARE = 8
 
 
 def _sets(batch: pa.RecordBatch, memo: Hashes, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, sizes, grams): the distinct grams of each row that has words, in order of their hash."""
+    """(rows, sizes, grams): the distinct grams of each row that has words, rows in order, grams in order of their leading bits."""
 
     def unique(row: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # one key of the row and the leading bits sorts several times faster than two keys
         order = np.argsort((row.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20)))
         row, grams = row[order], grams[order]
+        near = np.flatnonzero((row[1:] == row[:-1]) & ((grams[1:] >> np.uint64(20)) == (grams[:-1] >> np.uint64(20))) & (grams[1:] != grams[:-1]))
+        if len(near):  # different grams alike in the leading bits: sort these rows in full
+            order = np.lexsort((grams, row))
+            row, grams = row[order], grams[order]
         once = np.concatenate([[True], (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])]) if len(row) else np.empty(0, bool)
         return row[once], grams[once]
 
@@ -57,29 +67,30 @@ def _sets(batch: pa.RecordBatch, memo: Hashes, n: int) -> Iterator[tuple[np.ndar
 
 
 def _identity(sizes: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set."""
     at = np.cumsum(sizes) - sizes
     return mix(np.add.reduceat(mix(grams ^ np.uint64(0x2545F4914F6CDD1D)), at) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _group(sizes: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    return mix(np.minimum.reduceat(mix(grams ^ _GROUP), np.cumsum(sizes) - sizes))
+    """The group of each set, in 32 bits; groups that share them are one."""
+    return mix(np.minimum.reduceat(mix(grams ^ _GROUP), np.cumsum(sizes) - sizes)) >> np.uint64(32)
 
 
-def _asked(sizes: np.ndarray) -> np.ndarray:
-    """Grams that a set's prefix must share with a group's. A partner may have half as many grams, or be met at the coarser rate only, and shares that much less; sampling takes some more."""
-    level = np.maximum(np.floor(np.log2(sizes / SAMPLE)), 0)
-    least = np.where(sizes < SAMPLE, sizes / 2, 0.8 * sizes / 2 ** (level + 1))
-    return np.maximum(np.floor(SHARED * least), 1).astype(np.int64)
+def _needed(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """The least overlap with a partner."""
+    return np.maximum(np.ceil(threshold * sizes - 1e-9), 1).astype(np.int64)
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.select(doc_key(), fingerprint(), F.col("text").cast("string").alias("text"))
+def _shared(sizes: np.ndarray) -> np.ndarray:
+    return np.maximum(np.floor(SHARED * sizes), 1).astype(np.int64)
 
 
-def scanned(docs: DataFrame, n: int = N, size: int = SKETCH) -> tuple[DataFrame, np.ndarray]:
-    """(sets, sketch) in one pass over the texts: doc, fp, sid, gkey, ask of all documents with grams (the set, its group, the grams that its cells must share); and per bucket of gram hashes the logarithm of the number of documents' grams in it, over all documents. The sketch's size doesn't depend on theirs."""
+def scanned(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, size: int = SKETCH) -> tuple[DataFrame, np.ndarray]:
+    """(sets, sketch) in one pass over the texts: doc, fp, sid, g, size, ask of all documents with grams (the set, its group, its grams, and how many of these its cells must share); and per bucket of gram hashes the logarithm of the number of documents' grams in it, over all documents. The sketch's size doesn't depend on theirs."""
     chunks = 16
-    schema = "doc long, fp long, sid long, gkey long, ask int, bucket int, payload binary"
+    schema = "doc long, fp long, sid long, g long, size long, ask long, bucket int, payload binary"
+    names = ["doc", "fp", "sid", "g", "size", "ask", "bucket", "payload"]
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, total = Hashes(), np.zeros(size, np.uint32)
@@ -89,11 +100,12 @@ def scanned(docs: DataFrame, n: int = N, size: int = SKETCH) -> tuple[DataFrame,
             for rows, sizes, grams in _sets(batch, memo, n):
                 total += np.bincount((grams >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size).astype(np.uint32)
                 some = True
-                none = pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(fp[rows]), pa.array(_identity(sizes, grams).view(np.int64)), pa.array(_group(sizes, grams).view(np.int64)), pa.array(_asked(sizes).astype(np.int32)), *none], names=["doc", "fp", "sid", "gkey", "ask", "bucket", "payload"])
+                ask = _shared(_needed(sizes, threshold))
+                columns = [doc[rows], fp[rows], _identity(sizes, grams).view(np.int64), _group(sizes, grams).view(np.int64), sizes, ask]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=names)
         if some:
-            none = [*[pa.nulls(chunks, pa.int64())] * 4, pa.nulls(chunks, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(chunks), pa.int32()), pa.array([x.tobytes() for x in np.split(total, chunks)], pa.binary())], names=["doc", "fp", "sid", "gkey", "ask", "bucket", "payload"])
+            none = [pa.nulls(chunks, pa.int64())] * 6
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(chunks), pa.int32()), pa.array([x.tobytes() for x in np.split(total, chunks)], pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -105,62 +117,68 @@ def scanned(docs: DataFrame, n: int = N, size: int = SKETCH) -> tuple[DataFrame,
             logs = [np.minimum(np.rint(8 * np.log2(1 + x)), 255).astype(np.uint8) for x in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in logs], pa.binary())], names=["bucket", "payload"])
 
-    both = staged(docs.mapInArrow(give, schema), "sets")
+    both = staged(docs.mapInArrow(lean(give), schema), "sets")
     counts = both.where(F.col("bucket").isNotNull()).select("bucket", "payload")
     rows = counts.repartition(min(chunks, partitions(docs.sparkSession)), "bucket").mapInArrow(add, BLOB).collect()
     out = np.zeros((chunks, size // chunks), np.uint8)
     for r in rows:
         out[r["bucket"]] = np.frombuffer(r["payload"], np.uint8)
-    return both.where(F.col("bucket").isNull()).select("doc", "fp", "sid", "gkey", "ask"), out.reshape(-1)
-
-
-def _cells(docs: DataFrame, info: DataFrame, sketch: np.ndarray, n: int, threshold: float) -> DataFrame:
-    """Cells of the matrix in which the query's prefix shares enough grams with those of the group: q, qg, g with qg <= g. info: sid, gkey, ask."""
-    parts = partitions(docs.sparkSession)
-    mask = len(sketch) - 1
+    sets = both.where(F.col("bucket").isNull()).select(*names[:6])
+    sets.stage_path = both.stage_path
+    return sets, out.reshape(-1)
+
+
+def prefixes(sizes: np.ndarray, grams: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, token) of the prefix of each set. Tokens alike in their bits below the bucket's are told apart by their number within the set."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    rare = sketch[(grams >> np.uint64(20)).astype(np.int64) & (len(sketch) - 1)].astype(np.uint64)
+    # ties by the whole hash, alike in every set
+    order = np.argsort((of.astype(np.uint64) << np.uint64(44)) | (rare << np.uint64(36)) | (grams >> np.uint64(28)), kind="stable")
+    grams = grams[order]
+    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    need = _needed(sizes, threshold)
+    keep = place < (sizes - need + np.minimum(_shared(sizes), need))[of]
+    return of[keep], mix(grams[keep] ^ _TOKEN)
+
+
+def _numbered(row: np.ndarray, bucket: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((token, row, bucket))
+    row, bucket, token = row[order], bucket[order], token[order]
+    again = np.flatnonzero((row[1:] == row[:-1]) & (bucket[1:] == bucket[:-1]) & (token[1:] == token[:-1])) + 1
+    number = 0
+    for k, at in enumerate(again.tolist()):
+        number = number + 1 if k and again[k - 1] == at - 1 else 1
+        token[at] ^= np.uint32((number * 0x9E3779B1) & 0xFFFFFFFF)
+    return row, bucket, token
+
+
+def _cells(docs: DataFrame, info: DataFrame, sketch: np.ndarray, total: int, n: int, threshold: float) -> DataFrame:
+    """Cells of the matrix in which the query's prefix shares enough grams with those of a group of greater number: q, qg, g. q is the group's 32 bits and 32 of the set's; sets that share them are bounded together. info: q, ask. total: grams of all sets."""
+    parts = buckets(docs.sparkSession, 12 * total)
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Hashes()
         for batch in batches:
+            seen: set[int] = set()
             for _, sizes, grams in _sets(batch, memo, n):
-                who, group = _identity(sizes, grams), _group(sizes, grams)
-                level = np.maximum(np.floor(np.log2(sizes / SAMPLE)), 0).astype(np.int64)
-                of = np.repeat(np.arange(len(sizes)), sizes)
-                draw = mix(grams ^ _LEVEL)
-                rows, tokens = [], []
-                for more in (0, 1):
-                    low = (np.left_shift(np.uint64(1), (level + more).astype(np.uint64)) - np.uint64(1))[of]
-                    take = np.flatnonzero((draw & low) == 0)
-                    row, gram = of[take], grams[take]
-                    rare = sketch[(gram >> np.uint64(20)).astype(np.int64) & mask].astype(np.uint64)
-                    order = np.argsort((row.astype(np.uint64) << np.uint64(44)) | (rare << np.uint64(36)) | (gram >> np.uint64(28)))
-                    row, gram = row[order], gram[order]
-                    size = np.bincount(row, minlength=len(sizes))
-                    place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-                    whole = size == sizes
-                    need = np.maximum(np.where(whole, np.ceil(threshold * sizes - 1e-9), np.floor(max(threshold - SLACK, 0.05) * size)), 1)
-                    shared = np.minimum(np.maximum(np.floor(SHARED * size), 1), need)
-                    keep = place < (size - need + shared)[row]
-                    rows.append(row[keep])
-                    tokens.append(mix(gram[keep] + (level + more)[row[keep]].astype(np.uint64) * _LEVEL))
-                row, token = np.concatenate(rows), np.concatenate(tokens)
+                who = (_group(sizes, grams) << np.uint64(32)) | (_identity(sizes, grams) & np.uint64(0xFFFFFFFF))
+                row, token = prefixes(sizes, grams, sketch, threshold)
+                # copies within a batch come once
+                fresh = np.array([not (w in seen or seen.add(w)) for w in who.tolist()], bool)
+                live = fresh[row]
+                row, token = row[live], token[live]
                 if not len(row):
                     continue
                 bucket = ((token >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                # per bucket and set: one header and its tokens
-                order = np.argsort(bucket * len(sizes) + row)
-                row, token, bucket = row[order], token[order], bucket[order]
-                head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
-                many = np.diff(np.append(head, len(row)))
-                yield packed(bucket[head], [who[row[head]], group[row[head]], many.astype(np.uint32)], parts, (token, head, many))
+                row, bucket, token = _numbered(row, bucket, token.astype(np.uint32))
+                yield packed(bucket, [token, who[row]], parts)
 
     def meet(cells: list[bytes]) -> Iterator[pa.RecordBatch]:
-        who, group, many, token = unpacked(cells, [np.uint64, np.uint64, np.uint32], np.uint64)
-        sets, first, number = np.unique(who, return_index=True, return_inverse=True)
-        groups, gnumber = np.unique(group[first].view(np.int64), return_inverse=True)
-        s = np.repeat(number, many)
-        order = np.argsort(token)
-        token, s = token[order], s[order]
+        token, who = unpacked(cells, [np.uint32, np.uint64])
+        sets, number = np.unique(who, return_inverse=True)
+        key = np.unique((token.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64))
+        token, s = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        groups, gnumber = np.unique((sets >> np.uint64(32)).astype(np.int64), return_inverse=True)
         at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(at, len(token)))
         live = size > 1
@@ -178,174 +196,303 @@ def _cells(docs: DataFrame, info: DataFrame, sketch: np.ndarray, n: int, thresho
             times = np.bincount(inverse, counts, len(found)).astype(np.int64)
             seen, weights, pending = [], [], 0
 
-        # one direction is enough: to the group of greater key, or within the own (both sides then)
+        # sets are in order of their groups, and one direction is enough: to the group of greater number
         two = size == 2
         a, b = s[at[two]], s[at[two] + 1]
-        a, b = a[a != b], b[a != b]
-        q, g = np.concatenate([a, b]), gnumber[np.concatenate([b, a])]
-        seen.append((q * width + g)[gnumber[q] <= g])
+        apart = gnumber[a] < gnumber[b]
+        seen.append(a[apart] * width + gnumber[b[apart]])
         weights.append(np.ones(len(seen[0]), np.int64))
         # postings alike are met once and counted as often as they occur
         alike: dict[bytes, int] = {}
         for f, k in zip(at[~two].tolist(), size[~two].tolist(), strict=True):
-            mark = np.unique(s[f : f + k]).tobytes()
+            mark = s[f : f + k].tobytes()
             alike[mark] = alike.get(mark, 0) + 1
         for mark, count in alike.items():
             members = np.frombuffer(mark, s.dtype)
-            if len(members) < 2:
+            own = gnumber[members]
+            g = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            if len(g) < 2:
                 continue
-            g, held = np.unique(gnumber[members], return_counts=True)
-            for lo in range(0, len(members), 4096):
-                m = members[lo : lo + 4096]
-                own = gnumber[m][:, None]
-                fit = (own < g[None]) | ((own == g[None]) & (held > 1)[None])
-                seen.append((m[:, None] * width + g[None])[fit])
+            step = max(1, 1_000_000 // len(g))
+            for lo in range(0, len(members), step):
+                m, of = members[lo : lo + step], own[lo : lo + step]
+                later = len(g) - np.searchsorted(g, of, side="right")
+                seen.append(np.repeat(m, later) * width + g[stretches(len(g) - later, later)])
                 weights.append(np.full(len(seen[-1]), count))
                 pending += len(seen[-1])
-                if pending > 2_000_000:
+                if pending > 1_000_000:
                     settle()
         settle()
         for lo in range(0, len(found), 200_000):
             x, y = found[lo : lo + 200_000] // width, found[lo : lo + 200_000] % width
             yield pa.RecordBatch.from_arrays([pa.array(sets[x].view(np.int64)), pa.array(groups[y]), pa.array(times[lo : lo + 200_000])], names=["q", "g", "times"])
 
-    met = exchanged(docs.mapInArrow(give, BLOB), meet, "q long, g long, times long", parts)
-    counted = met.repartition(parts, "q").groupBy("q", "g").agg(F.sum("times").alias("times"))
-    return counted.join(info, F.col("q") == F.col("sid")).where("times >= ask").select("q", F.col("gkey").alias("qg"), "g")
-
-
-def compare(members: list[np.ndarray], queries: list[np.ndarray], threshold: float, block: int = 512, columns: int = 4096) -> Iterator[tuple[int, int, int]]:
-    """(i, j, overlap) of all members i < j, and of queries (j - len(members)) with members i, that reach the threshold. Queries whose overlap with the union of the members can't reach it are not compared."""
-    union = np.unique(np.concatenate(members))
-    rows = list(members)
-    names = list(range(len(members)))
-    for k, x in enumerate(queries):
-        at = np.minimum(np.searchsorted(union, x), len(union) - 1)
-        if (union[at] == x).sum() >= threshold * len(x) - 1e-9:
-            rows.append(x)
-            names.append(len(members) + k)
+    met = exchanged(docs.mapInArrow(lean(give), BLOB), meet, "q long, g long, times long", parts)
+    counted = met.groupBy("q", "g").agg(F.sum("times").alias("times"))
+    return counted.join(info, "q").where("times >= ask").select("q", F.shiftrightunsigned("q", 32).alias("qg"), "g")
+
+
+class Linked:
+    """Counts the links of rows and joins them into classes, as pairs come; memory grows with the rows only."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights, self.links, self.root = weights, np.zeros(len(weights), np.int64), np.arange(len(weights))
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.links += np.bincount(a, self.weights[b], len(self.root)).astype(np.int64) + np.bincount(b, self.weights[a], len(self.root)).astype(np.int64)
+        self.held.append((a, b))
+        self.pending += len(a)
+        if self.pending > 500_000:
+            self.settle()
+
+    def settle(self) -> None:
+        a, b = (np.concatenate([h[k] for h in self.held]) if self.held else np.empty(0, np.int64) for k in (0, 1))
+        self.held, self.pending = [], 0
+        root = self.root
+        while len(a):
+            x, y = root[a], root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                up = root[root]
+                if (up == root).all():
+                    break
+                root = up
+        self.root = root
+
+
+def compare(members: np.ndarray, queries: np.ndarray, at: np.ndarray, ids: np.ndarray, width: int, threshold: float, inner: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row) of all members (if inner), once each, and of queries and members that reach the threshold. Row r has the grams ids[at[r]:at[r+1]], numbers below width. Queries whose overlap with the union of the members can't reach it are not compared."""
+    sizes = np.diff(at)
+
+    def overlaps(mark: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        flat = mark[ids[stretches(at[rows], sizes[rows])]]
+        return np.add.reduceat(flat, np.cumsum(sizes[rows]) - sizes[rows], dtype=np.int64) if len(rows) else np.empty(0, np.int64)
+
+    def reach(over, a, b):
+        return over >= threshold * (a + b - over) - 1e-9
+
+    union = np.zeros(width, bool)
+    union[ids[stretches(at[members], sizes[members])]] = True
+    if len(queries):
+        queries = queries[overlaps(union, queries) >= threshold * sizes[queries] - 1e-9]
+    rows = np.concatenate([members, queries])
     m = len(members)
-    sizes = np.array([len(x) for x in rows])
-    if len(rows) <= 3:
-        for j in range(len(rows)):
-            for i in range(min(j, m)):
-                o = len(np.intersect1d(rows[i], rows[j], assume_unique=True))
-                if o >= threshold * (sizes[i] + sizes[j] - o) - 1e-9:
-                    yield names[i], names[j], o
+    if m <= 8:
+        for k in range(m):
+            others = rows[k + 1 :] if inner else queries
+            if not len(others):
+                return
+            mark = np.zeros(width, bool)
+            mark[ids[at[rows[k]] : at[rows[k] + 1]]] = True
+            hit = others[reach(overlaps(mark, others), sizes[rows[k]], sizes[others])]
+            if len(hit):
+                yield np.full(len(hit), rows[k]), hit
         return
-    where = [np.searchsorted(union, x) for x in rows]
-    where = [w[(w < len(union)) & (union[np.minimum(w, len(union) - 1)] == x)] for w, x in zip(where, rows, strict=True)]
-    for lo in range(0, len(rows), block):
-        hi = min(lo + block, len(rows))
-        for mlo in range(0, m, block):
-            mhi = min(mlo + block, m)
-            if mlo >= hi:
-                break
-            over = np.zeros((hi - lo, mhi - mlo), np.float32)
-            for c in range(0, len(union), columns):
-                def dense(a, b):
-                    out = np.zeros((b - a, min(columns, len(union) - c)), np.float32)
-                    for r in range(a, b):
-                        w = where[r]
-                        out[r - a, w[np.searchsorted(w, c) : np.searchsorted(w, c + columns)] - c] = 1
-                    return out
-
-                over += dense(lo, hi) @ dense(mlo, mhi).T
-            total = sizes[lo:hi, None] + sizes[None, mlo:mhi] - over
-            j, i = np.nonzero(over >= threshold * total - 1e-9)
-            for jj, ii in zip((j + lo).tolist(), (i + mlo).tolist(), strict=True):
-                if ii < jj:
-                    yield names[ii], names[jj], int(over[jj - lo, ii - mlo])
-
-
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(sets, pairs): doc, fp, sid of all documents with grams; a, b, overlap, size_a, size_b of all different sets that reach the threshold, once each."""
-    if not 0.5 <= threshold <= 1:
-        raise ValueError("the threshold must be from 0.5 to 1: sizes of a pair may differ by a factor of two at most")
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    docs = _prepared(docs)
-    sets, sketch = scanned(docs, n)
-    one = staged(sets.groupBy("sid").agg(F.min(F.struct("doc", "fp")).alias("k"), F.first("gkey").alias("gkey"), F.first("ask").alias("ask")), "sets")
-    cells = staged(_cells(docs, one.select("sid", "gkey", "ask"), sketch, n, threshold), "cells")
-    # a query goes to the groups of its cells, and every member of such a group to its own
-    members = one.join(cells.select(F.col("g").alias("gkey")).distinct(), "gkey", "left_semi").select(F.col("sid").alias("q"), F.col("gkey").alias("qg"), F.col("gkey").alias("g"))
-    wanted = cells.where("g <> qg").unionByName(members).groupBy("q").agg(F.first("qg").alias("qg"), F.collect_set("g").alias("gs"))
-    reps = one.join(wanted, F.col("sid") == F.col("q")).select(F.col("k.doc").alias("d"), F.col("k.fp").alias("f"), "sid", "qg", "gs")
-    reps = small_side(staged(reps, "reps"), F.size("gs") * 8 + 80)
-    there = docs.join(reps, (F.col("doc") == F.col("d")) & (F.col("fp") == F.col("f"))).select("doc", "fp", "text", "sid", "qg", "gs")
-
-    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # columns in order of how many rows have them
+    flat = ids[stretches(at[rows], sizes[rows])]
+    of = np.repeat(np.arange(len(rows)), sizes[rows])
+    live = union[flat]
+    flat, of = flat[live], of[live]
+    many = np.bincount(flat, minlength=width)
+    live = many[flat] > 1
+    flat, of = flat[live], of[live]
+    few = many[flat] <= RARE
+    pairs = [np.empty(0, np.int64)]
+    order = np.argsort(flat[few], kind="stable")  # rows stay in order within a gram
+    gram, row = flat[few][order], of[few][order]
+    counts = many[gram]
+    for d in range(2, RARE + 1):
+        block = row[counts == d].reshape(-1, d)
+        i, j = np.tril_indices(d, -1)
+        low, high = block[:, j].ravel(), block[:, i].ravel()
+        pairs.append((high * m + low)[low < m])
+    pairs = np.sort(np.concatenate(pairs))
+    dense_ids, column = np.unique(flat[~few], return_inverse=True)
+    dense_row = of[~few]
+    begin = np.searchsorted(dense_row, np.arange(len(rows) + 1))
+    step = max(1, min(512, 4_000_000 // m))
+
+    def dense(lo: int, hi: int, c: int, width_: int) -> np.ndarray:
+        out = np.zeros((hi - lo, width_), np.float32)
+        r, k = dense_row[begin[lo] : begin[hi]] - lo, column[begin[lo] : begin[hi]] - c
+        fit = (k >= 0) & (k < width_)
+        out[r[fit], k[fit]] = 1
+        return out
+
+    for lo in range(0 if inner else m, len(rows), step):
+        hi = min(lo + step, len(rows))
+        top = min(m, hi)
+        over = np.zeros((hi - lo, top), np.float32)
+        for c in range(0, len(dense_ids), 2048):
+            w = min(2048, len(dense_ids) - c)
+            left = dense(lo, hi, c, w)
+            for mlo in range(0, top, 2048):
+                mhi = min(mlo + 2048, top)
+                over[:, mlo:mhi] += left @ dense(mlo, mhi, c, w).T
+        a, b = np.searchsorted(pairs, [lo * m, hi * m])
+        high, low = pairs[a:b] // m - lo, pairs[a:b] % m
+        over += np.bincount(high * top + low, minlength=over.size).reshape(over.shape).astype(np.float32) if b > a else 0
+        ok = reach(over.astype(np.int64), sizes[rows[lo:hi]][:, None], sizes[rows[:top]][None])
+        j, i = np.nonzero(ok)
+        fit = i < j + lo
+        if fit.any():
+            yield rows[i[fit]], rows[j[fit] + lo]
+
+
+def _units(one: DataFrame, cells: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Where each set has to go: d, f (a document with it, of `rows` rows alike), sid, g, copies, own (the unit in which it is a member, null if none) and to: the units and groups in which it is a query, as array<struct<unit, g>>. Also the tables that were written for it.
+
+    A unit is a number of groups near each other in the cells, or a block of a large group.
+    """
+    groups = one.groupBy("g").agg(F.sum("size").alias("weight"), F.count("*").alias("sets"))
+    asked = cells.select("g").distinct().withColumn("asked", F.lit(True))
+    groups = staged(groups.join(asked, "g", "left").where("asked OR sets > 1").select("g", "weight"), "groups")
+    edges = cells.select(F.col("qg").alias("a"), F.col("g").alias("b")).distinct()
+    edges = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    label = groups.select("g", F.col("g").alias("label"))
+    for _ in range(2):
+        near = edges.join(label, edges.b == label.g).groupBy("a").agg(F.min("label").alias("near"))
+        label = label.join(near, label.g == near.a, "left").select("g", F.least("label", F.coalesce("near", "label")).alias("label"))
+    sized = groups.join(label, "g")
+    total = sized.groupBy("label").agg(F.sum("weight").alias("total"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("weight") / MOST)).cast("int")
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("total") / MOST)).cast("int")
+    placed = sized.join(total, "label").select("g", blocks.alias("blocks"), F.xxhash64("label", F.pmod(F.xxhash64("g"), chunks)).alias("near"))
+    placed = staged(placed.withColumn("near", F.when(F.col("blocks") > 1, F.xxhash64("g", F.lit("blocks"))).otherwise(F.col("near"))), "units")
+
+    def unit(block):
+        return F.xxhash64("near", block)
+
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    block = F.pmod(F.col("sid"), F.col("blocks")).cast("int")
+    members = one.join(placed, "g").select("q", "sid", unit(block).alias("unit"), F.lit(None).cast("long").alias("g"), F.lit(True).alias("own"))
+    # each set of a large group meets the blocks after its own
+    within = one.join(placed.where("blocks > 1"), "g").select("q", "sid", "near", "g", F.explode(F.filter(each, lambda x: x > F.pmod(F.col("sid"), F.col("blocks")))).alias("x")).select("q", "sid", unit(F.col("x")).alias("unit"), "g", F.lit(False).alias("own"))
+    across = cells.join(placed, "g").select("q", "near", "g", F.explode(each).alias("x")).join(one.select("q", "sid"), "q").select("q", "sid", unit(F.col("x")).alias("unit"), "g", F.lit(False).alias("own"))
+    every = members.unionByName(within).unionByName(across)
+    to = every.groupBy("sid").agg(F.max(F.when(F.col("own"), F.col("unit"))).alias("own"), F.collect_list(F.when(~F.col("own"), F.struct("unit", "g"))).alias("to"))
+    return to.join(one, "sid").select(F.col("k.doc").alias("d"), F.col("k.fp").alias("f"), F.col("k.rows").alias("rows"), "sid", "g", "copies", "own", "to"), [groups, edges, placed]
+
+
+UNIT = "unit long, sid long, copies long, text string, member long, gs array<long>"
+
+
+def _opened(there: DataFrame, n: int, threshold: float) -> DataFrame:
+    """sid, other, links: the documents with other sets that each set was found to reach the threshold with, and a set of its class within the unit. there: rows of UNIT, member the group in which the row is a member or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Hashes()
+        unit: int | None = None
+        held: list[tuple] = []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            # the rows of one unit: sid, copies, group as a member, groups as a query, grams
+            if len(held) < 2:
+                return
+            sid = np.array([r[0] for r in held])
+            copies = np.array([r[1] for r in held], np.int64)
+            grams = [r[4] for r in held]
+            sizes = np.array([len(x) for x in grams])
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            known, ids = np.unique(np.concatenate(grams), return_inverse=True)
+            members: dict[int, list[int]] = {}
+            queries: dict[int, list[int]] = {}
+            for r, row in enumerate(held):
+                if row[2] is not None:
+                    members.setdefault(row[2], []).append(r)
+                for g in row[3]:
+                    queries.setdefault(g, []).append(r)
+            linked = Linked(copies)
+            for g, own in members.items():
+                asked = np.array(queries.get(g, []), np.int64)
+                # queries of many grams a part at a time
+                part = np.cumsum(sizes[asked]) // MOST
+                for k, some in enumerate(np.split(asked, np.flatnonzero(np.diff(part)) + 1)):
+                    if len(own) + len(some) > 1:
+                        for x, y in compare(np.array(own), some, at, ids, len(known), threshold, not k):
+                            linked.add(x, y)
+            linked.settle()
+            hit = np.flatnonzero(linked.links)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(sid[linked.root[hit]]), pa.array(linked.links[hit])], names=["sid", "other", "links"])
+
         for batch in batches:
-            sid, own = (batch.column(c).to_numpy().view(np.uint64) for c in ("sid", "qg"))
-            lists = batch.column("gs")
-            bounds, values = lists.offsets.to_numpy(), lists.flatten().to_numpy().view(np.uint64)
-            bounds = bounds - bounds[0]
+            to, who, copies, member = (batch.column(c).to_pylist() for c in ("unit", "sid", "copies", "member"))
+            gs = batch.column("gs").to_pylist()
             for rows, sizes, grams in _sets(batch, memo, n):
                 at = np.cumsum(sizes) - sizes
-                times = np.diff(bounds)[rows]
-                to = values[stretches(bounds[rows], times)]
-                who = np.repeat(np.arange(len(rows)), times)
-                # a member of its own group, a query of another
-                g, role = to, (to != own[rows][who]).astype(np.uint8)
-                bucket = (mix(g) % np.uint64(parts)).astype(np.int64)
-                # a set's hashes are in order, so the steps between them say it in fewer bytes
-                short = (grams >> np.uint64(32)).astype(np.uint32)
-                step = np.diff(short, prepend=np.uint32(0))
-                step[at] = short[at]
-                for lo in range(0, len(g), 2000):
-                    s = slice(lo, lo + 2000)
-                    yield packed(bucket[s], [g[s], sid[rows][who[s]], role[s], sizes[who[s]]], parts, (step, at[who[s]], sizes[who[s]]), planes=True)
-
-    def open_(cells_: list[bytes]) -> Iterator[pa.RecordBatch]:
-        g, sid, role, size, grams = unpacked(cells_, [np.uint64, np.uint64, np.uint8, np.int64], np.uint32, planes=True)
-        at = np.cumsum(size) - size
-        order = np.lexsort((sid, role, g))
-        g, sid, role, size, at = (x[order] for x in (g, sid, role, size, at))
-        # rows alike in doc_id and text come several times
-        once = np.concatenate([[True], (g[1:] != g[:-1]) | (sid[1:] != sid[:-1]) | (role[1:] != role[:-1])])
-        g, sid, role, size, at = (x[once] for x in (g, sid, role, size, at))
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        last = np.append(first[1:], len(g))
-        out: list[tuple[int, int, int, int, int]] = []
-
-        def batch():
-            a, b, o, sa, sb = (np.array(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(o), pa.array(sa), pa.array(sb)], names=["a", "b", "overlap", "size_a", "size_b"])
-
-        for lo, hi in zip(first.tolist(), last.tolist(), strict=True):
-            if hi - lo < 2 or role[lo] == 1:
-                continue
-            mid = lo + int(np.searchsorted(role[lo:hi], 1))
-            rows = [np.unique(np.cumsum(grams[at[i] : at[i] + size[i]], dtype=np.uint32)) for i in range(lo, hi)]
-            for i, j, o in compare(rows[: mid - lo], rows[mid - lo :], threshold):
-                out.append((sid[lo + i], sid[lo + j], o, size[lo + i], size[lo + j]))
-            if len(out) > 50_000:
-                yield batch()
-                out = []
-        if out:
-            yield batch()
-
-    pairs = exchanged(there.mapInArrow(give, BLOB), open_, "a long, b long, overlap long, size_a long, size_b long", parts)
-    return sets, pairs
-
-
-def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_a < doc_b and the exact Jaccard similarity of their n-gram sets, for every pair that reaches the threshold."""
-    sets, pairs = similar_sets(docs, n, threshold)
-    pairs = staged(pairs, "pairs")
-    lists = staged(sets.groupBy("sid").agg(F.sort_array(F.collect_set("doc")).alias("docs")), "members")
-    same = lists.where(F.size("docs") > 1).select(F.posexplode("docs").alias("at", "x"), "docs").select("x", F.explode(F.expr("slice(docs, at + 2, size(docs))")).alias("y"), F.lit(1.0).alias("jaccard"))
-    la, lb = lists.select(F.col("sid").alias("a"), F.col("docs").alias("da")), lists.select(F.col("sid").alias("b"), F.col("docs").alias("db"))
-    cross = pairs.join(la, "a").join(lb, "b").select(F.explode("da").alias("x"), "db", (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("jaccard")).select("x", F.explode("db").alias("y"), "jaccard").where("x <> y")
-    both = same.unionByName(cross)
-    least, most = F.least("x", "y"), F.greatest("x", "y")
-    return both.select(F.when(least != NULL_ID, least).alias("doc_a"), most.alias("doc_b"), "jaccard")
+                for r, a, z in zip(rows.tolist(), at.tolist(), sizes.tolist(), strict=True):
+                    if to[r] != unit:
+                        yield from closed()
+                        big = sum(len(x[4]) for x in held) > MOST // 4
+                        held, unit = [], to[r]
+                        if big:
+                            trimmed()
+                    if held and held[-1][0] == who[r]:  # rows alike in doc_id and text
+                        continue
+                    held.append((who[r], copies[r], member[r], gs[r], grams[a : a + z].copy()))
+        yield from closed()
+
+    return there.mapInArrow(lean(run), "sid long, other long, links long")
+
+
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(sets, linked): doc, fp, rows, sid of all documents with grams, once each; sid, root, links of all sets: the class, named by its least sid, and the number of other documents that reach the threshold with one of the set. Both are staged."""
+    if not 0.5 <= threshold <= 1:
+        raise ValueError("the threshold must be from 0.5 to 1")
+    docs = prepared(docs)
+    scan, sketch = scanned(docs, n, threshold)
+    firsts = [F.first(c).alias(c) for c in ("g", "size", "ask")]
+    sets = staged(scan.groupBy("doc", "fp").agg(F.first("sid").alias("sid"), *firsts, F.count("*").alias("rows")), "documents")
+    q = F.shiftleft("g", 32).bitwiseOR(F.col("sid").bitwiseAND(F.lit(0xFFFFFFFF)))
+    one = staged(sets.groupBy("sid").agg(F.min(F.struct("doc", "fp", "rows")).alias("k"), *firsts, F.count("*").alias("copies")).withColumn("q", q), "sets")
+    total = one.agg(F.sum("size").alias("n")).first()["n"] or 0
+    discard(scan)
+    cells = staged(_cells(docs, one.groupBy("q").agg(F.min("ask").alias("ask")), sketch, total, n, threshold), "cells")
+    wanted, made = _units(one, cells)
+    wanted = staged(wanted, "wanted")
+    discard(cells, *made)
+    there = _sent(docs, wanted).repartition(buckets(docs.sparkSession, 12 * total), "unit").sortWithinPartitions("unit", "sid")
+    found = staged(_opened(there, n, threshold), "links")
+    discard(wanted)
+    roots = components(found.where("sid <> other").select(F.col("sid").alias("a"), F.col("other").alias("b")))
+    links = found.groupBy("sid").agg(F.sum("links").alias("links"))
+    linked = one.select("sid", "copies").join(links, "sid", "left").join(roots, F.col("sid") == F.col("node"), "left")
+    linked = staged(linked.select("sid", F.coalesce("root", "sid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "linked")
+    discard(found, one, roots)
+    return sets, linked
+
+
+def _sent(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of UNIT: the text of each wanted set in every unit that it goes to."""
+    here = (F.col("doc") == F.col("d")) & (F.col("fp") == F.col("f"))
+    size = F.size("to") * 16 + 80
+    there = docs.join(small_side(wanted.where("rows = 1"), size), here).select("text", *wanted.columns)
+    # rows alike in doc_id and text come together before they travel
+    alike = wanted.where("rows > 1")
+    if not alike.isEmpty():
+        texts = docs.join(small_side(alike.select("d", "f", "sid"), 80), here).groupBy("sid").agg(F.first("text").alias("text"))
+        there = there.unionByName(texts.join(alike, "sid").select("text", *wanted.columns))
+    units = F.array_distinct(F.concat(F.array_compact(F.array("own")), F.col("to.unit")))
+    there = there.withColumn("unit", F.explode(units))
+    mine = F.transform(F.filter("to", lambda x: x["unit"] == F.col("unit")), lambda x: x["g"])
+    return there.select("unit", "sid", "copies", "text", F.when(F.col("own") == F.col("unit"), F.col("g")).alias("member"), mine.alias("gs"))
+
+
+def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """One row a document (doc_id and text) with grams: doc_id, class_id (the least doc_id of its class that isn't null), links (how many other documents reach the threshold with it)."""
+    sets, linked = similar_sets(docs, n, threshold)
+    rows = sets.select("doc", "sid").join(linked, "sid")
+    named = rows.groupBy("root").agg(F.min(real_id()).alias("class_id"))
+    return rows.join(named, "root").select(real_id(), "class_id", "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node of each connected part of edges(a, b); nodes without edges don't appear.
+    """node, root: the least node of each connected part of edges(a, b); nodes without edges don't appear. Staged.
 
     Every round each node takes the least root among its neighbours' and then its root's root, so rounds grow with the logarithm of the longest chain; each round is written to the shared folder.
     """
@@ -355,41 +502,47 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(roots, both.b == roots.node).groupBy("a").agg(F.min("root").alias("near"))
         step = roots.join(near, roots.node == near.a).select("node", "root", F.least("root", "near").alias("next"))
         up = step.select(F.col("node").alias("n2"), F.col("next").alias("up"))
-        step = step.join(up, F.col("next") == F.col("n2"), "left").select("node", "root", F.least("next", F.coalesce("up", "next")).alias("next"))
+        step = step.join(up, F.col("next") == F.col("n2"), "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("up", "next")).alias("root"))
         step = staged(step, "roots")
-        roots = step.select("node", F.col("next").alias("root"))
-        if step.where("root <> next").isEmpty():
-            return roots
+        discard(roots)
+        roots = step
+        if roots.where("was <> root").isEmpty():
+            discard(both)
+            out = roots.select("node", "root")
+            out.stage_path = roots.stage_path
+            return out
 
 
 def drop_near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group of near duplicates (connected by pairs): the one of least doc_id, of that one row. Columns unchanged."""
-    sets, pairs = similar_sets(docs, n, threshold)
-    roots = components(staged(pairs.select("a", "b"), "pairs"))
-    grouped = sets.join(roots, sets.sid == roots.node, "left").select("doc", "fp", F.coalesce("root", "sid").alias("root"))
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("doc", "fp"))
-    lose = grouped.distinct().withColumn("rank", rank).where("rank > 1").select(F.col("doc").alias("__key_doc"), F.col("fp").alias("__key_fp"))
-    # rows alike are copies too: one stays
-    alike = sets.groupBy("doc", "fp").count().where("count > 1").select(F.col("doc").alias("__key_doc"), F.col("fp").alias("__key_fp"))
-    lose, alike = (small_side(staged(t, "lose"), 48) for t in (lose, alike))
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__fp", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    on = (F.col("__doc") == F.col("__key_doc")) & (F.col("__fp") == F.col("__key_fp"))
-    left = keyed.join(lose, on, "left_anti")
-    once = F.row_number().over(Window.partitionBy("__doc", "__fp").orderBy("__doc"))
-    first = left.join(alike, on, "left_semi").withColumn("__once", once).where("__once = 1")
-    return left.join(alike, on, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+    """docs with one document of each group of near duplicates (connected by pairs): the one of least doc_id, null first, and of rows alike one. Columns unchanged."""
+    sets, linked = similar_sets(docs, n, threshold)
+    rows = sets.join(linked, "sid").select("doc", "fp", "rows", "root")
+    kept = rows.groupBy("root").agg(F.min(F.struct("doc", "fp")).alias("kept"))
+    marked = rows.join(kept, "root").select("doc", "fp", (F.col("kept") == F.struct("doc", "fp")).alias("stays"), "rows")
+    marked = staged(marked.where("NOT stays OR rows > 1"), "marked")
+    discard(sets, linked)
+    lose, alike = (small_side(marked.where(c).select("doc", "fp"), 48) for c in ("NOT stays", "stays"))
+    left = rowwise(docs).join(lose, ["doc", "fp"], "left_anti")
+    if marked.where("stays").isEmpty():
+        return columns_of(left, docs)
+    # rows alike come together before they travel
+    first = left.join(alike, ["doc", "fp"], "left_semi").groupBy("doc", "fp").agg(F.first("row").alias("row"))
+    return columns_of(left.join(alike, ["doc", "fp"], "left_anti").unionByName(first), docs)
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
-    return near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = f"""
-WITH d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+') AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) END) AS grams
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+s AS (SELECT id, doc_id, list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) END) AS grams
       FROM d WHERE len(w) > 0),
-g AS (SELECT doc_id, len(grams) AS size, unnest(grams) AS gram FROM s),
-p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, x.size AS sa, y.size AS sb, count(*) AS o
-      FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, o::DOUBLE / (sa + sb - o) AS jaccard FROM p WHERE o >= {THRESHOLD} * (sa + sb - o) - 1e-9
+g AS (SELECT id, len(grams) AS size, unnest(grams) AS gram FROM s),
+p AS (SELECT x.id AS a, y.id AS b, x.size AS sa, y.size AS sb, count(*) AS o
+      FROM g x JOIN g y ON x.gram = y.gram AND x.id <> y.id GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE o >= {THRESHOLD} * (sa + sb - o) - 1e-9),
+r(id, met) AS (SELECT id, id FROM s UNION SELECT r.id, e.b FROM r JOIN e ON r.met = e.a),
+c AS (SELECT r.id, min(s.doc_id) AS class_id FROM r JOIN s ON r.met = s.id GROUP BY r.id)
+SELECT s.doc_id, c.class_id, (SELECT count(*) FROM e WHERE e.a = s.id)::BIGINT AS links FROM s JOIN c USING (id)
 """

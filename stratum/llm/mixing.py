@@ -15,15 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, SQL_WORD, staged, word_count
+from .common import SQL_WORD, WORD, columns_of, discard, staged, word_count
 
 SEED = "17"
 DIGITS = 3
-PRIVATE = "__mix_"
 
 
-def _key(seed: str):
-    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce(F.md5(F.col("text")), F.lit("~"))))
+def _key(seed: str, of: str = ""):
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(of + "doc_id").cast("string"), F.lit("~")), F.coalesce(F.md5(F.col(of + "text")), F.lit("~"))))
 
 
 def _base(docs: DataFrame, seed: str) -> DataFrame:
@@ -82,16 +81,18 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, tota
     spots = spots.withColumn("rest", rest).withColumn("first", F.min("before").over(alike)).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("n_tokens") >= F.col("rest")))
     # the key whose words the end of the budget falls into; of rows alike in key the count starts at the first
     cut = spots.groupBy("s").agg(F.min(F.struct("key", "first", "rest")).alias("cut"))
-    per = b.join(cut.withColumnRenamed("s", "cs"), F.col("s").eqNullSafe(F.col("cs")), "left").select(F.col("s").alias(PRIVATE + "s"), F.when(F.col("total") > 0, F.expr("budget div nullif(total, 0)")).otherwise(1).alias(PRIVATE + "full"), F.col("cut.key").alias(PRIVATE + "cut"), (F.col("cut.rest") - F.col("cut.first")).alias(PRIVATE + "left"))
+    per = b.join(cut.withColumnRenamed("s", "cs"), F.col("s").eqNullSafe(F.col("cs")), "left").select("s", F.when(F.col("total") > 0, F.expr("budget div nullif(total, 0)")).otherwise(1).alias("full"), F.col("cut.key").alias("last"), (F.col("cut.rest") - F.col("cut.first")).alias("left"))
     per = staged(per, "mixcut")
-    keyed = docs.withColumn(PRIVATE + "key", _key(seed)).withColumn(PRIVATE + "src", F.col("source"))
-    rows = keyed.join(per, F.col(PRIVATE + "src").eqNullSafe(F.col(PRIVATE + "s")))
-    key, last = F.col(PRIVATE + "key"), F.col(PRIVATE + "cut")
-    copies = F.col(PRIVATE + "full") + F.when(last.isNotNull() & (key < last), 1).otherwise(0)
-    whole = rows.withColumn(PRIVATE + "copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies.cast("long"))).otherwise(F.array().cast("array<bigint>"))))
-    edge = rows.where(key == last).withColumn(PRIVATE + "n", word_count(F.col("text")))
-    order = Window.partitionBy(PRIVATE + "src", PRIVATE + "key").orderBy("doc_id")
-    edge = edge.withColumn(PRIVATE + "take", F.col(PRIVATE + "left") - (F.row_number().over(order) - 1) * F.col(PRIVATE + "n")).where(F.col(PRIVATE + "take") > 0)
+    discard(base)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row).select("row", F.col("row.source").alias("src"), _key(seed, "row.").alias("key"))
+    rows = keyed.join(per, F.col("src").eqNullSafe(F.col("s")))
+    key, last = F.col("key"), F.col("last")
+    copies = F.col("full") + F.when(last.isNotNull() & (key < last), 1).otherwise(0)
+    whole = rows.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies.cast("long"))).otherwise(F.array().cast("array<bigint>"))))
+    # rows alike are interchangeable: they come together before they travel, and one stands for them
+    edge = rows.where(key == last).groupBy("src", "key").agg(F.first("row").alias("row"), F.first("left").alias("left"), F.count("*").alias("rows")).withColumn("n", word_count(F.col("row.text")))
+    edge = edge.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least("rows", F.ceil(F.col("left") / F.col("n"))) - 1))).withColumn("take", F.col("left") - F.col("i") * F.col("n")).where(F.col("take") > 0)
 
     @F.pandas_udf("string")
     def first_words(text: pd.Series, take: pd.Series) -> pd.Series:
@@ -107,11 +108,13 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, tota
 
         return pd.Series([cut(t or "", int(n)) for t, n in zip(text, take, strict=True)])
 
-    edge = edge.withColumn("text", F.when(F.col(PRIVATE + "take") >= F.col(PRIVATE + "n"), F.col("text")).otherwise(first_words("text", F.col(PRIVATE + "take"))))
+    fits = F.col("take") >= F.col("n")
+    edge = edge.withColumn("cut", F.when(~fits, first_words("row.text", "take")))
+    changed = {"text": F.when(fits, F.col("row.text")).otherwise(F.col("cut"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        edge = edge.withColumn("n_chars", F.when(F.col(PRIVATE + "take") >= F.col(PRIVATE + "n"), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return whole.select(*docs.columns).unionByName(edge.select(*docs.columns))
+        changed["n_chars"] = F.when(fits, F.col("row.n_chars")).otherwise(F.length("cut").cast(kind))
+    return columns_of(whole, docs).unionByName(columns_of(edge, docs, **changed))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, WINDOW, Stretches, gathered, marked, merged, span_batch
-from .common import NULL_ID, identity, real_id, small_side, staged, stretches
+from .common import NULL_ID, columns_of, discard, identity, real_id, rowwise, small_side, staged, stretches
 
 _LOW = np.int64((1 << 32) - 1)
 
@@ -176,19 +176,22 @@ def without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs, with the columns of docs, without the later occurrences; documents that lose every word are left out."""
-    cuts = staged(marked(repeat_spans(docs, window, gram)), "cuts")
-    cuts = small_side(cuts, F.size("cuts") * 32 + 64).select(F.col("doc").alias("__cut_doc"), F.col("fp").alias("__cut_fp"), F.col("cuts").alias("__cuts"))
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__fp", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(cuts, (F.col("__doc") == F.col("__cut_doc")) & (F.col("__fp") == F.col("__cut_fp")), "left")
+    spans = staged(repeat_spans(docs, window, gram), "spans")
+    cuts = staged(marked(spans), "cuts")
+    discard(spans)
+    joined = rowwise(docs).join(small_side(cuts, F.size("cuts") * 32 + 64), ["doc", "fp"], "left")
 
     @F.udf("string", useArrow=True)
     def cut(text, spans):
-        return without(text.encode(), [(x["start"], x["end"]) for x in spans]).decode()
+        return None if text is None else without(text.encode(), [(x["start"], x["end"]) for x in spans]).decode()
 
-    hit = joined.where(F.col("__cuts").isNotNull()).withColumn("text", cut("text", "__cuts")).where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    hit = F.col("cuts").isNotNull()
+    # texts without a cut don't go to Python
+    done = joined.withColumn("cut", cut(F.when(hit, F.col("row.text").cast("string")), "cuts")).where(~hit | F.col("cut").rlike(r"[^ \t\n\x0B\f\r]"))
+    changed = {"text": F.when(hit, F.col("cut")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where(F.col("__cuts").isNull()).select(*docs.columns).unionByName(hit.select(*docs.columns))
+        changed["n_chars"] = F.when(hit, F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return columns_of(done, docs, **changed)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -55,11 +55,19 @@ def clashing(docs):
     """Extra columns whose names operators use inside."""
     from pyspark.sql import functions as F
 
-    for c in ("doc", "fp", "key", "anchors", "start", "row", "take", "bucket", "sid"):
-        docs = docs.withColumn(c, F.lit("x"))
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.lit(c))
     return docs
 
 
+CLASHING = "doc fp key anchors start row take bucket sid cut cuts rows root stays kept src s last left i n first full copy unit d f __doc __fp __mix_key a.b".split()
+
+
+def kept_apart(found):
+    """Whether the clashing columns came back as they were."""
+    return all(all(r[c] == c for c in CLASHING) for r in found)
+
+
 def repeated(rows, k=50):
     """Spans by brute force: {(doc, text): covered words}, and those of later occurrences."""
     distinct = sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
@@ -91,7 +99,9 @@ def test_repeats_by_both_methods(docs, rows):
 
 
 def test_repeats_keep_one_occurrence(spark, docs, rows):
-    left = [r.text for r in suffixes.drop_repeats(clashing(docs)).collect()]
+    found = suffixes.drop_repeats(clashing(docs)).collect()
+    assert kept_apart(found)
+    left = [r.text for r in found]
     passage = next(r[1] for r in rows if r[0] == 16).split()[:70]
     assert sum(" ".join(passage) in " ".join((t or "").split()) for t in left) == 1
     again = suffixes.repeats(suffixes.drop_repeats(docs))
@@ -162,33 +172,78 @@ def grams(t, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
-def test_jaccard_pairs(docs, rows):
-    distinct = sorted({(r[0], r[1]) for r in rows}, key=str)
-    want = set()
-    for a, t in distinct:
-        for b, u in distinct:
-            x, y = grams(t), grams(u)
-            if (-1 if a is None else a) < (-1 if b is None else b) and x and y and len(x & y) >= 0.5 * len(x | y):
-                want.add((a, b, round(len(x & y) / len(x | y), 9)))
-    got = [(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in jaccard.near_pairs(clashing(docs)).collect()]
-    assert len(want) >= 4 and sorted(got, key=str) == sorted(want, key=str)
+def classes(rows, n=3, threshold=0.5):
+    """(doc_id, class_id, links) of every document with grams, by brute force."""
+    nodes = [(d, grams(t, n)) for d, t in sorted({(r[0], r[1]) for r in rows}, key=str)]
+    nodes = [(d, x) for d, x in nodes if x]
+    near = [[j for j, (_, y) in enumerate(nodes) if i != j and len(x & y) >= threshold * len(x | y) - 1e-9] for i, (_, x) in enumerate(nodes)]
+    root = list(range(len(nodes)))
+    for _ in nodes:
+        root = [min([root[i], *(root[j] for j in near[i])]) for i in range(len(nodes))]
+    named = {}
+    for (d, _), r in zip(nodes, root, strict=True):
+        named[r] = min((x for x in (named.get(r), d) if x is not None), default=None)
+    return sorted([(d, named[r], len(near[i])) for i, ((d, _), r) in enumerate(zip(nodes, root, strict=True))], key=str)
+
+
+def found_classes(df, **options):
+    return sorted([(r.doc_id, r.class_id, r.links) for r in jaccard.near_classes(df, **options).collect()], key=str)
+
+
+def test_jaccard_classes(docs, rows):
+    want = classes(rows)
+    assert sum(n for _, _, n in want) >= 8 and found_classes(clashing(docs)) == want
+
 
+def edited(r, base, share):
+    return [f"e{r.randint(0, 5000)}" if r.random() < share else w for w in base]
 
-def test_jaccard_recall_on_longer_texts(spark):
+
+def test_jaccard_misses_nothing(spark):
     r = random.Random(3)
     texts = []
     for _ in range(12):
         base = [f"t{r.randint(0, 5000)}" for _ in range(r.randint(300, 2500))]
-        for edits in (0, 20, 40, 90):
-            t = list(base)
-            for _ in range(int(len(t) * edits / 1000)):
-                t[r.randrange(len(t))] = f"e{r.randint(0, 5000)}"
-            texts.append(" ".join(t))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [grams(t) for t in texts]
-    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
-    got = {(x.doc_a, x.doc_b) for x in jaccard.near_pairs(df).collect()}
-    assert got <= want and len(got) >= 0.98 * len(want) > 30
+        texts += [" ".join(edited(r, base, share)) for share in (0, 0.02, 0.04, 0.09, 0.12)]
+    tiny = ["a b c d", "a b c d e", "a b c", "a b", "b a", "a b c d e f", "x a b c d"]
+    rows = list(enumerate(texts + tiny))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for threshold in (0.5, 0.7):
+        want = classes(rows, threshold=threshold)
+        assert sum(n for _, _, n in want) > 30 and found_classes(df, threshold=threshold) == want
+
+
+def test_jaccard_of_large_groups_in_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    base = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(edited(r, base, 0.06))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes(rows)
+    assert max(n for _, _, n in want) > 50
+    assert found_classes(df) == want
+    monkeypatch.setattr(jaccard, "MOST", 900)
+    assert found_classes(df) == want
+
+
+def test_jaccard_counts_long_texts_exactly():
+    r = random.Random(6)
+    base = [f"t{r.randint(0, 9000)}" for _ in range(120_000)]
+    texts = [" ".join(base), " ".join(edited(r, base, 0.02))]
+    import pyarrow as pa
+
+    from stratum.llm.common import Hashes
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = [x for rows, sizes, g in jaccard._sets(batch, Hashes(), 3) for x in np.split(g, np.cumsum(sizes)[:-1])]
+    assert len(np.intersect1d(*got)) == len(grams(texts[0]) & grams(texts[1])) and [len(x) for x in got] == [len(grams(t)) for t in texts]
+    width = np.unique(np.concatenate(got), return_inverse=True)
+    at = np.array([0, len(got[0]), len(got[0]) + len(got[1])])
+    assert [(a.tolist(), b.tolist()) for a, b in jaccard.compare(np.array([0, 1]), np.empty(0, np.int64), at, width[1], len(width[0]), 0.5)] == [([0], [1])]
+
+
+def test_tokens_alike_are_told_apart():
+    row, bucket, token = jaccard._numbered(np.array([1, 0, 1, 1]), np.array([2, 2, 2, 2]), np.array([7, 7, 7, 7], np.uint32))
+    assert row.tolist() == [0, 1, 1, 1] and token[0] == token[1] == 7 and len(set(token[1:].tolist())) == 3
 
 
 def test_near_documents_leave_one(docs, rows, none):
@@ -198,8 +253,8 @@ def test_near_documents_leave_one(docs, rows, none):
     # a text without doc_id sorts first and stands for its group
     assert None in ids and 3 not in ids
     assert {18, 19, 20, 21} <= set(ids)
-    assert set(left[0].asDict()) == set(clashing(docs).columns)
-    assert jaccard.drop_near(none).count() == jaccard.near_pairs(none).count() == 0
+    assert left[0].__fields__ == clashing(docs).columns and kept_apart(left)
+    assert jaccard.drop_near(none).count() == jaccard.near_classes(none).count() == 0
 
 
 def test_groups_are_connected(spark):
@@ -222,6 +277,7 @@ def test_mixing_meets_budgets_exactly(docs, rows, none):
     plan = mixing.mix_plan(clashing(docs)).groupBy("source").sum("take_tokens").collect()
     assert {r[0]: r[1] for r in plan} == dict.fromkeys([s for s, v in have.items() if v], budget)
     out = mixing.mix_documents(clashing(docs)).collect()
+    assert kept_apart(out)
     got = {}
     for r in out:
         got[r.source] = got.get(r.source, 0) + len((r.text or "").split())
