@@ -1,10 +1,10 @@
 """Substring dedup by repeated-phrase automata.
 
-Every document streams past the anchors (see anchors.py), so the stretches of text in which a passage could recur, and no others, reach the shard that owns their anchor. A shard confirms which passages of WINDOW words recur across documents, compiles the phrases that cover them into Aho-Corasick automata over word numbers (pyahocorasick), bounded in size, and streams its stretches through them to locate every occurrence. A phrase counts only if it was located in several documents.
+Passages are confirmed first: the stretches of text round recurring anchors (see anchors.py) come together in the shard that owns their anchor, and the windows of WINDOW words that several documents have are known there by hash. Of each run of them the first and the last window are phrases (a run within a stretch is shorter than a window, so these two cover it). Where they are is not kept: the phrases alone are compiled into Aho-Corasick automata over word numbers (pyahocorasick), PHRASES to an automaton at most, and every stretch of every document that has an anchor of the shard streams through each of the shard's automata, confirmed or not. What these locate, and in which documents, decides: a phrase counts if it was located in several documents, and the spans are those of the hits.
 
-A run of recurring windows within a stretch is shorter than a window, so its first and last window cover it; both are phrases. Every phrase recurs, so whatever the automata locate is a repeat, and every recurring window is covered by phrases of its own stretch: the located spans are exactly the words in passages that recur.
+A document without a recurring anchor can't have a phrase, so all documents have been searched; sending each through all automata of all shards would cost the square of the corpus.
 
-Defined cases: as for suffix-array dedup: null, empty and short texts have no repeat; each different text without a doc_id is a document of its own; rows alike in doc_id and text are one document; a passage must be in documents with two doc_ids; an empty table gives an empty result; other columns are ignored.
+Defined cases: as for suffix-array dedup: null, empty and short texts have no repeat; each different text without a doc_id is a document of its own; rows alike in doc_id and text are one document; a passage must be in documents with two doc_ids; an empty table gives an empty result; other columns are ignored; doc_id must be an integer.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from .common import identity, real_id, stretches
 from .suffixes import _WINDOWS
 
 
-def _confirmed(s: Stretches, flat: np.ndarray, starts: np.ndarray, own: np.ndarray, window: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of all windows (kind, offset) those whose words are in several documents."""
+PHRASES = 50_000
+
+
+def _confirmed(flat: np.ndarray, starts: np.ndarray, own: np.ndarray, window: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where in flat the phrases begin: the first and the last window of each run of windows whose words are in several documents."""
     # a polynomial hash over prefix sums gives every window's hash
     base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
     size = own + window - 1
@@ -40,10 +43,24 @@ def _confirmed(s: Stretches, flat: np.ndarray, starts: np.ndarray, own: np.ndarr
     several = np.minimum.reduceat(low[kind[order]], first) != np.maximum.reduceat(high[kind[order]], first)
     live = np.empty(len(code), bool)
     live[order] = np.repeat(several, np.diff(np.append(first, len(code))))
-    return kind[live], offset[live]
+    kind, offset = kind[live], offset[live]
+    begin = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (offset[1:] != offset[:-1] + 1)]))[: len(kind)]
+    pick = np.unique(np.concatenate([begin, np.append(begin[1:], len(kind)) - 1])) if len(kind) else begin
+    return starts[kind[pick]] + offset[pick]
+
 
+def automata(numbers: list[int], starts: list[int], window: int, most: int) -> Iterator[ahocorasick.Automaton]:
+    """Automata of the different phrases numbers[s:s+window], `most` to each at most; a hit gives the phrase's number within its automaton."""
+    phrases = list({tuple(numbers[s : s + window]) for s in starts})
+    for lo in range(0, len(phrases), most):
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for k, phrase in enumerate(phrases[lo : lo + most]):
+            machine.add_word(phrase, k)
+        machine.make_automaton()
+        yield machine
 
-def _decide(window: int):
+
+def _decide(window: int, most: int = PHRASES):
     def decide(s: Stretches) -> Iterator[pa.RecordBatch]:
         own = s.own.astype(np.int64)
         first = s.first_of
@@ -53,38 +70,28 @@ def _decide(window: int):
         starts = np.cumsum(size) - size
         who = identity(s.doc, s.fp)
         low, high = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
-        kind, offset = _confirmed(s, flat, starts, own[first], window, low, high)
-        if not len(kind):
-            return
-        begin = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (offset[1:] != offset[:-1] + 1)]))
-        stop = np.concatenate([begin[1:], [len(kind)]]) - 1
-        pick = np.unique(np.concatenate([begin, stop]))
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        numbers = words.tolist()
-        phrases = 0
-        for at in (starts[kind[pick]] + offset[pick]).tolist():
-            phrase = tuple(numbers[at : at + window])
-            if not machine.exists(phrase):
-                machine.add_word(phrase, phrases)
-                phrases += 1
-        machine.make_automaton()
-        hit_kind, hit_end, hit_phrase = [], [], []
-        for k in np.unique(kind).tolist():
-            a = int(starts[k])
-            for end, phrase in machine.iter(tuple(numbers[a : a + int(size[k])])):
-                hit_kind.append(k)
-                hit_end.append(end + 1)
-                hit_phrase.append(phrase)
-        k, end, phrase = np.array(hit_kind), np.array(hit_end), np.array(hit_phrase)
-        # confirmed once more, by what was located
-        least, most = np.full(phrases, np.iinfo(np.int64).max), np.full(phrases, np.iinfo(np.int64).min)
-        np.minimum.at(least, phrase, low[k])
-        np.maximum.at(most, phrase, high[k])
-        ok = (least != most)[phrase]
-        k, end = k[ok], end[ok]
-        if not len(k):
+        phrases = _confirmed(flat, starts, own[first], window, low, high)
+        # all stretches as one sequence, with a sign between them that no phrase has
+        apart = np.full(len(flat) + len(size), words.max() + 1, np.int64)
+        apart[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)] = words
+        text = tuple(apart.tolist())
+        ends = starts + size + np.arange(1, len(size) + 1)
+        kinds, lasts = [], []
+        for machine in automata(words.tolist(), phrases.tolist(), window, most):
+            hits = np.array(list(machine.iter(text)), np.int64).reshape(-1, 2)
+            k = np.searchsorted(ends, hits[:, 0], side="right")
+            least, greatest = np.full(len(machine), np.iinfo(np.int64).max), np.full(len(machine), np.iinfo(np.int64).min)
+            np.minimum.at(least, hits[:, 1], low[k])
+            np.maximum.at(greatest, hits[:, 1], high[k])
+            several = (least != greatest)[hits[:, 1]]
+            kinds.append(k[several])
+            lasts.append(hits[several, 0] + 1 - (ends - size - 1)[k[several]])
+        if not sum(map(len, kinds)):
             return
-        # touching hits of a kind as one span (hits come in order of their ends)
+        k, end = np.concatenate(kinds), np.concatenate(lasts)
+        order = np.lexsort((end, k))
+        k, end = k[order], end[order]
+        # touching hits of a kind as one span
         new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (end[1:] - window > end[:-1])]))
         k, lo, hi = k[new], end[new] - window, end[np.concatenate([new[1:], [len(end)]]) - 1]
         # for every occurrence of the kind

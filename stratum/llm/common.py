@@ -23,14 +23,12 @@ WORD = r"[^ \t\n\x0B\f\r]+"
 SQL_WORD = "[^ \\t\\n\\v\\f\\r]+"
 
 
-#: The largest table, in bytes by count, that is sent to every executor instead of shuffling the other side.
-SMALL = 4 << 20
-
-
 def small_side(table: DataFrame, row_bytes: Column | int) -> DataFrame:
-    """table, marked for broadcast if its measured size allows; if not, both sides shuffle, and table is the one that is hashed. table should be a written one, as it is read for its size."""
+    """table, marked for broadcast if its measured size is within the session's autoBroadcastJoinThreshold; if not, both sides shuffle, and table is the one that is hashed. table should be a written one, as it is read for its size."""
+    spark = table.sparkSession
     size = table.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).alias("b")).first()["b"] or 0
-    return F.broadcast(table) if size <= SMALL else table.hint("shuffle_hash")
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    return F.broadcast(table) if size <= most else table.hint("shuffle_hash")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -46,14 +44,26 @@ def fingerprint(text: Column | None = None) -> Column:
     return F.xxhash64(F.coalesce((F.col("text") if text is None else text).cast("string"), F.lit(""))).alias("fp")
 
 
+#: Rows and bytes of an Arrow batch, where the session has Spark's own defaults; a batch lies in the JVM and in the worker at once, and whole texts are long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def checked(docs: DataFrame) -> DataFrame:
     """docs, if its doc_id is an integer: results carry it as one."""
+    batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     if not isinstance(kind, (T.IntegralType, T.NullType)):
         raise TypeError(f"doc_id must be an integer column, not {kind.simpleString()}")
     return docs
 
 
+def batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, unless it has a size of its own."""
+    for key, (default, smaller) in BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, smaller)
+
+
 def prepared(docs: DataFrame) -> DataFrame:
     return checked(docs).select(doc_key(), fingerprint(), F.col("text").cast("string").alias("text"))
 
@@ -243,3 +253,57 @@ def exchanged(blobs: DataFrame, reduce: Callable[[list[bytes]], Iterator[pa.Reco
             yield from reduce(cells)
 
     return blobs.repartitionById(n, F.col("bucket")).mapInArrow(lean(run), schema)
+
+
+class Linked:
+    """Counts the links of rows and joins them into classes, as pairs come; memory grows with the rows only."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights, self.links, self.root = weights, np.zeros(len(weights), np.int64), np.arange(len(weights))
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.links += np.bincount(a, self.weights[b], len(self.root)).astype(np.int64) + np.bincount(b, self.weights[a], len(self.root)).astype(np.int64)
+        self.held.append((a, b))
+        self.pending += len(a)
+        if self.pending > 500_000:
+            self.settle()
+
+    def settle(self) -> None:
+        a, b = (np.concatenate([h[k] for h in self.held]) if self.held else np.empty(0, np.int64) for k in (0, 1))
+        self.held, self.pending = [], 0
+        root = self.root
+        while len(a):
+            x, y = root[a], root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                up = root[root]
+                if (up == root).all():
+                    break
+                root = up
+        self.root = root
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the least node of each connected part of edges(a, b); nodes without edges don't appear. Staged.
+
+    Every round each node takes the least root among its neighbours' and then its root's root, so rounds grow with the logarithm of the longest chain; each round is written to the shared folder.
+    """
+    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    roots = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    while True:
+        near = both.join(roots, both.b == roots.node).groupBy("a").agg(F.min("root").alias("near"))
+        step = roots.join(near, roots.node == near.a).select("node", "root", F.least("root", "near").alias("next"))
+        up = step.select(F.col("node").alias("n2"), F.col("next").alias("up"))
+        step = step.join(up, F.col("next") == F.col("n2"), "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("up", "next")).alias("root"))
+        step = staged(step, "roots")
+        discard(roots)
+        roots = step
+        if roots.where("was <> root").isEmpty():
+            discard(both)
+            out = roots.select("node", "root")
+            out.stage_path = roots.stage_path
+            return out

@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, Hashes, buckets, columns_of, discard, exchanged, lean, mix, ngram_hashes, packed, partitions, pieces, prepared, real_id, rowwise, small_side, staged, stretches, trimmed, unpacked
+from .common import BLOB, Hashes, Linked, buckets, columns_of, components, discard, exchanged, lean, mix, ngram_hashes, packed, partitions, pieces, prepared, real_id, rowwise, small_side, staged, stretches, trimmed, unpacked
 
-N, THRESHOLD, SKETCH, SHARED, MOST = 3, 0.5, 1 << 20, 0.1, 1_000_000
+N, THRESHOLD, SKETCH, SHARED, MOST = 3, 0.5, 1 << 22, 0.05, 1_000_000
 _GROUP, _TOKEN = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1B54A32D192ED03)
 #: A gram that at most so many of a group's rows have is met as pairs of rows.
 RARE = 8
@@ -98,7 +98,7 @@ def scanned(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, size: int
         for batch in batches:
             doc, fp = (batch.column(c).to_numpy() for c in ("doc", "fp"))
             for rows, sizes, grams in _sets(batch, memo, n):
-                total += np.bincount((grams >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size).astype(np.uint32)
+                np.add.at(total, (grams >> np.uint64(20)).astype(np.int64) & (size - 1), np.uint32(1))
                 some = True
                 ask = _shared(_needed(sizes, threshold))
                 columns = [doc[rows], fp[rows], _identity(sizes, grams).view(np.int64), _group(sizes, grams).view(np.int64), sizes, ask]
@@ -128,8 +128,13 @@ def scanned(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, size: int
     return sets, out.reshape(-1)
 
 
-def prefixes(sizes: np.ndarray, grams: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(set, token) of the prefix of each set. Tokens alike in their bits below the bucket's are told apart by their number within the set."""
+def _class(size: np.ndarray) -> np.ndarray:
+    """Sizes in eighths of an octave, rounded down."""
+    return np.minimum(np.floor(8 * np.log2(np.maximum(size, 1)) + 1e-9), 255).astype(np.uint8)
+
+
+def prefixes(sizes: np.ndarray, grams: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, token, most): the prefix of each set, and the class of the greatest size that a partner may have if this token is to be among those that they share. The larger a partner, the more grams must be shared and the shorter is the prefix that has to have some of them."""
     of = np.repeat(np.arange(len(sizes)), sizes)
     rare = sketch[(grams >> np.uint64(20)).astype(np.int64) & (len(sketch) - 1)].astype(np.uint64)
     # ties by the whole hash, alike in every set
@@ -137,24 +142,29 @@ def prefixes(sizes: np.ndarray, grams: np.ndarray, sketch: np.ndarray, threshold
     grams = grams[order]
     place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     need = _needed(sizes, threshold)
-    keep = place < (sizes - need + np.minimum(_shared(sizes), need))[of]
-    return of[keep], mix(grams[keep] ^ _TOKEN)
+    shared = np.minimum(_shared(sizes), need)
+    keep = place < (sizes - need + shared)[of]
+    of, place = of[keep], place[keep]
+    # place < size - overlap + shared, where overlap = threshold / (1 + threshold) * (size + partner)
+    most = (sizes + shared)[of] - place
+    return of, mix(grams[keep] ^ _TOKEN), _class(most * (1 + threshold) / threshold - sizes[of] + 1e-6)
 
 
-def _numbered(row: np.ndarray, bucket: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _numbered(row: np.ndarray, bucket: np.ndarray, token: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((token, row, bucket))
-    row, bucket, token = row[order], bucket[order], token[order]
+    row, bucket, token, most = row[order], bucket[order], token[order], most[order]
     again = np.flatnonzero((row[1:] == row[:-1]) & (bucket[1:] == bucket[:-1]) & (token[1:] == token[:-1])) + 1
     number = 0
     for k, at in enumerate(again.tolist()):
         number = number + 1 if k and again[k - 1] == at - 1 else 1
         token[at] ^= np.uint32((number * 0x9E3779B1) & 0xFFFFFFFF)
-    return row, bucket, token
+        most[at] = most[at - number] = max(most[at], most[at - number])
+    return row, bucket, token, most
 
 
 def _cells(docs: DataFrame, info: DataFrame, sketch: np.ndarray, total: int, n: int, threshold: float) -> DataFrame:
     """Cells of the matrix in which the query's prefix shares enough grams with those of a group of greater number: q, qg, g. q is the group's 32 bits and 32 of the set's; sets that share them are bounded together. info: q, ask. total: grams of all sets."""
-    parts = buckets(docs.sparkSession, 12 * total)
+    parts = buckets(docs.sparkSession, 14 * total)
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Hashes()
@@ -162,22 +172,25 @@ def _cells(docs: DataFrame, info: DataFrame, sketch: np.ndarray, total: int, n:
             seen: set[int] = set()
             for _, sizes, grams in _sets(batch, memo, n):
                 who = (_group(sizes, grams) << np.uint64(32)) | (_identity(sizes, grams) & np.uint64(0xFFFFFFFF))
-                row, token = prefixes(sizes, grams, sketch, threshold)
+                row, token, most = prefixes(sizes, grams, sketch, threshold)
                 # copies within a batch come once
                 fresh = np.array([not (w in seen or seen.add(w)) for w in who.tolist()], bool)
                 live = fresh[row]
-                row, token = row[live], token[live]
+                row, token, most = row[live], token[live], most[live]
                 if not len(row):
                     continue
                 bucket = ((token >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                row, bucket, token = _numbered(row, bucket, token.astype(np.uint32))
-                yield packed(bucket, [token, who[row]], parts)
+                row, bucket, token, most = _numbered(row, bucket, token.astype(np.uint32), most)
+                yield packed(bucket, [token, who[row], _class(sizes)[row], most], parts)
 
     def meet(cells: list[bytes]) -> Iterator[pa.RecordBatch]:
-        token, who = unpacked(cells, [np.uint32, np.uint64])
+        token, who, size, most = unpacked(cells, [np.uint32, np.uint64, np.uint8, np.uint8])
         sets, number = np.unique(who, return_inverse=True)
-        key = np.unique((token.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64))
-        token, s = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        # of copies the one that admits most stands for all
+        key = (token.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64)
+        order = np.lexsort((255 - most, key))
+        order = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]
+        token, s, size_of, most = token[order], number[order].astype(np.int64), size[order], most[order]
         groups, gnumber = np.unique((sets >> np.uint64(32)).astype(np.int64), return_inverse=True)
         at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(at, len(token)))
@@ -198,27 +211,26 @@ def _cells(docs: DataFrame, info: DataFrame, sketch: np.ndarray, total: int, n:
 
         # sets are in order of their groups, and one direction is enough: to the group of greater number
         two = size == 2
-        a, b = s[at[two]], s[at[two] + 1]
-        apart = gnumber[a] < gnumber[b]
-        seen.append(a[apart] * width + gnumber[b[apart]])
+        i, j = at[two], at[two] + 1
+        apart = (gnumber[s[i]] < gnumber[s[j]]) & (size_of[i] <= most[j]) & (size_of[j] <= most[i])
+        seen.append(s[i[apart]] * width + gnumber[s[j[apart]]])
         weights.append(np.ones(len(seen[0]), np.int64))
-        # postings alike are met once and counted as often as they occur
-        alike: dict[bytes, int] = {}
         for f, k in zip(at[~two].tolist(), size[~two].tolist(), strict=True):
-            mark = s[f : f + k].tobytes()
-            alike[mark] = alike.get(mark, 0) + 1
-        for mark, count in alike.items():
-            members = np.frombuffer(mark, s.dtype)
-            own = gnumber[members]
-            g = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            members, own = s[f : f + k], gnumber[s[f : f + k]]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            g = own[first]
             if len(g) < 2:
                 continue
+            # a group by its smallest member and the one that admits most
+            least, admits = np.minimum.reduceat(size_of[f : f + k], first), np.maximum.reduceat(most[f : f + k], first)
             step = max(1, 1_000_000 // len(g))
-            for lo in range(0, len(members), step):
+            for lo in range(0, k, step):
                 m, of = members[lo : lo + step], own[lo : lo + step]
                 later = len(g) - np.searchsorted(g, of, side="right")
-                seen.append(np.repeat(m, later) * width + g[stretches(len(g) - later, later)])
-                weights.append(np.full(len(seen[-1]), count))
+                to = stretches(len(g) - later, later)
+                fit = (least[to] <= np.repeat(most[f + lo : f + lo + len(m)], later)) & (np.repeat(size_of[f + lo : f + lo + len(m)], later) <= admits[to])
+                seen.append((np.repeat(m, later) * width + g[to])[fit])
+                weights.append(np.ones(len(seen[-1]), np.int64))
                 pending += len(seen[-1])
                 if pending > 1_000_000:
                     settle()
@@ -232,38 +244,6 @@ def _cells(docs: DataFrame, info: DataFrame, sketch: np.ndarray, total: int, n:
     return counted.join(info, "q").where("times >= ask").select("q", F.shiftrightunsigned("q", 32).alias("qg"), "g")
 
 
-class Linked:
-    """Counts the links of rows and joins them into classes, as pairs come; memory grows with the rows only."""
-
-    def __init__(self, weights: np.ndarray) -> None:
-        self.weights, self.links, self.root = weights, np.zeros(len(weights), np.int64), np.arange(len(weights))
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
-        self.pending = 0
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.links += np.bincount(a, self.weights[b], len(self.root)).astype(np.int64) + np.bincount(b, self.weights[a], len(self.root)).astype(np.int64)
-        self.held.append((a, b))
-        self.pending += len(a)
-        if self.pending > 500_000:
-            self.settle()
-
-    def settle(self) -> None:
-        a, b = (np.concatenate([h[k] for h in self.held]) if self.held else np.empty(0, np.int64) for k in (0, 1))
-        self.held, self.pending = [], 0
-        root = self.root
-        while len(a):
-            x, y = root[a], root[b]
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
-        self.root = root
-
-
 def compare(members: np.ndarray, queries: np.ndarray, at: np.ndarray, ids: np.ndarray, width: int, threshold: float, inner: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, row) of all members (if inner), once each, and of queries and members that reach the threshold. Row r has the grams ids[at[r]:at[r+1]], numbers below width. Queries whose overlap with the union of the members can't reach it are not compared."""
     sizes = np.diff(at)
@@ -456,7 +436,7 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     wanted, made = _units(one, cells)
     wanted = staged(wanted, "wanted")
     discard(cells, *made)
-    there = _sent(docs, wanted).repartition(buckets(docs.sparkSession, 12 * total), "unit").sortWithinPartitions("unit", "sid")
+    there = _sent(docs, wanted).repartition(buckets(docs.sparkSession, 14 * total), "unit").sortWithinPartitions("unit", "sid")
     found = staged(_opened(there, n, threshold), "links")
     discard(wanted)
     roots = components(found.where("sid <> other").select(F.col("sid").alias("a"), F.col("other").alias("b")))
@@ -491,28 +471,6 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     return rows.join(named, "root").select(real_id(), "class_id", "links")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node of each connected part of edges(a, b); nodes without edges don't appear. Staged.
-
-    Every round each node takes the least root among its neighbours' and then its root's root, so rounds grow with the logarithm of the longest chain; each round is written to the shared folder.
-    """
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    roots = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
-    while True:
-        near = both.join(roots, both.b == roots.node).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(near, roots.node == near.a).select("node", "root", F.least("root", "near").alias("next"))
-        up = step.select(F.col("node").alias("n2"), F.col("next").alias("up"))
-        step = step.join(up, F.col("next") == F.col("n2"), "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("up", "next")).alias("root"))
-        step = staged(step, "roots")
-        discard(roots)
-        roots = step
-        if roots.where("was <> root").isEmpty():
-            discard(both)
-            out = roots.select("node", "root")
-            out.stage_path = roots.stage_path
-            return out
-
-
 def drop_near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group of near duplicates (connected by pairs): the one of least doc_id, null first, and of rows alike one. Columns unchanged."""
     sets, linked = similar_sets(docs, n, threshold)

@@ -4,7 +4,7 @@ Every document becomes a hashed vector: each word gives small signed counts in a
 
 The vector pass reads the texts once and writes a narrow table; the sort, the prefix sums and the cuts work on that. The prefix sum is distributed: sums of range partitions first (the partition number is written with the rows, so it can't change), rows within a partition then.
 
-Defined cases: null and empty texts have no words and are in no sequence; a document longer than a sequence spans several; rows alike in doc_id and text are packed as often as they occur; ties of the key follow doc_id, null last to first as NULL_ID; other columns are ignored; an empty table gives an empty result.
+Defined cases: null and empty texts have no words and are in no sequence; a document longer than a sequence spans several; rows alike in doc_id and text are packed as often as they occur; ties of the key follow doc_id, null last to first as NULL_ID; other columns are ignored; an empty table gives an empty result; doc_id must be an integer.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Hashes, doc_key, fingerprint, partitions, pieces, real_id, staged
+from .common import Hashes, lean, partitions, pieces, prepared, real_id, staged
 
 DIMS, BITS, LENGTH = 3, 12, 2048
 SCALE = 1 << 16
@@ -77,7 +77,7 @@ def vectors(docs: DataFrame, dims: int = DIMS) -> DataFrame:
             means = np.rint(sums * SCALE / np.maximum(n, 1)[:, None]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("fp"), pa.array(n), *(pa.array(means[:, i]) for i in range(dims))], names=["doc", "fp", "n_tokens", *(f"v{i}" for i in range(dims))])
 
-    return docs.select(doc_key(), fingerprint(), F.col("text").cast("string")).mapInArrow(run, schema)
+    return prepared(docs).mapInArrow(lean(run), schema)
 
 
 def curve_order(docs: DataFrame, dims: int = DIMS, bits: int = BITS) -> DataFrame:

@@ -6,7 +6,7 @@ Grades come from the labels: 0 poor, 1 sound but toxic, 2 sound and clean. A doc
 
 The fit uses at most `labelled` labelled documents (those of least md5 of doc_id), a documented bound, over their whole texts; everything else runs over all rows.
 
-Defined cases: null and empty texts have z = 0 and get what the thresholds give for it; null labels are ignored; of several labels of one doc_id the largest count; rows alike are scored alike; without labels of two grades every document is selected with the one known grade (or 0); other columns are ignored; an empty table gives an empty result.
+Defined cases: null and empty texts have z = 0 and get what the thresholds give for it; null labels are ignored; of several labels of one doc_id the largest count; rows alike are scored alike; without labels of two grades nothing can be told apart, and every document has the one known grade (or 0) and is selected; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .toxicity import labelled_sample
 
 LABELLED, BUCKETS, MIN_DF, SELECT, EPOCHS = 4000, 1 << 18, 3, 0.5, 150
@@ -35,6 +36,8 @@ REPEAT = 0
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    #: Whether the labels had two grades to tell apart.
+    tells: bool = True
 
 
 def word_features(word: bytes) -> tuple[int, int]:
@@ -83,7 +86,7 @@ def fit(texts: list[str], grades: np.ndarray, epochs: int = EPOCHS) -> Model:
     grades = np.asarray(grades, int)
     top = int(grades.max()) if len(grades) else 0
     if top == 0 or len(np.unique(grades)) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), np.full(top, -40.0) + np.arange(top) * 1e-3)
+        return Model(np.zeros(BUCKETS, np.float32), np.full(top, -40.0) + np.arange(top) * 1e-3, False)
     index: dict[bytes, int] = {}
     docs, sizes, same = [], [], []
     for t in texts:
@@ -149,15 +152,17 @@ def score(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = Weights(weights)
-        for part in parts:
-            yield pd.Series([text_score((t or "").encode(), memo) for t in part], dtype="float64")
+
+        def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in parts:
+                yield pd.Series([text_score((t or "").encode(), memo) for t in part], dtype="float64")
+
+        yield from lean(scores)(parts)
 
     return run(text)
 
 
-def graded(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
-    """doc_id, expected_grade, p_sound = P(grade >= 1), p_clean = P(grade >= 2) of every document."""
-    model = train(docs, labels, labelled)
+def _graded(model: Model, docs: DataFrame) -> DataFrame:
     z = docs.select("doc_id", score(model, F.coalesce(F.col("text"), F.lit(""))).alias("z"))
     tails = [1 / (1 + F.exp(F.lit(float(t)) - F.col("z"))) for t in model.thresholds]
     tails += [F.lit(0.0)] * (2 - len(tails))
@@ -167,9 +172,16 @@ def graded(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Data
     return z.select("doc_id", expected.alias("expected_grade"), tails[0].alias("p_sound"), tails[1].alias("p_clean"))
 
 
+def graded(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
+    """doc_id, expected_grade, p_sound = P(grade >= 1), p_clean = P(grade >= 2) of every document."""
+    return _graded(train(docs, labels, labelled), docs)
+
+
 def select_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, least: float = SELECT) -> DataFrame:
     """The documents that are selected, with their grades and selected = true."""
-    return graded(docs, labels, labelled).where(F.col("p_sound") >= least).withColumn("selected", F.lit(True))
+    model = train(docs, labels, labelled)
+    chosen = F.col("p_sound") >= least if model.tells else F.lit(True)
+    return _graded(model, docs).where(chosen).withColumn("selected", F.lit(True))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

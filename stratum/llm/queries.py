@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_licenses": licenses.op8_licenses,
         "op9_ann": ann.op9_ann,
         "op10_embedding_dedup": pq.op10_embedding_dedup,
+        "embedding_near_copies": pq.embedding_near_copies,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": suffixes.SQL, "op3_mixing": mixing.SQL, "op5_automata": automata.SQL, "op7_jaccard": jaccard.SQL, "op8_licenses": licenses.SQL, "op10_embedding_dedup": pq.SQL}
+    return {"op1_suffix_dedup": suffixes.SQL, "op3_mixing": mixing.SQL, "op5_automata": automata.SQL, "op7_jaccard": jaccard.SQL, "op8_licenses": licenses.SQL, "op10_embedding_dedup": pq.SQL, "embedding_near_copies": pq.PLANTED_SQL}

@@ -6,7 +6,7 @@ When the rounds are over, neighbours with a common prefix of at least WINDOW wor
 
 Symbols are words (32 bits of the word's hash; the anchor is matched with 64 bits of 20 words besides). A repeat is counted across documents: one that is in a single document only is left alone.
 
-Defined cases: null, empty and short texts have no repeat; each different text without a doc_id is a document of its own; rows alike in doc_id and text are one document and get the same spans and cuts; rows with the same doc_id and different texts are scanned each but aren't `several documents`; ties are broken by (doc_id, text hash, place); other columns are carried along by drop_repeats whatever their names; an empty table gives an empty result. A document that consists of later repeats only is left out by drop_repeats.
+Defined cases: null, empty and short texts have no repeat; each different text without a doc_id is a document of its own; rows alike in doc_id and text are one document and get the same spans and cuts; rows with the same doc_id and different texts are scanned each but aren't `several documents`; ties are broken by (doc_id, text hash, place); other columns are carried along by drop_repeats whatever their names; an empty table gives an empty result; doc_id must be an integer. A document that consists of later repeats only is left out by drop_repeats.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stretches
+from .common import batches, lean, stretches
 
 LABELLED, WINDOW, BUCKETS, DIM, MIN_DF, NGRAMS = 6000, 5, 1 << 18, 6, 4, (3, 4, 5)
 LETTERS = regex.compile(r"\p{L}+")
@@ -258,11 +258,13 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 60,
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int) -> pd.DataFrame:
     """Texts and labels of at most `most` labelled documents, those of least md5 of doc_id; the broadcast side has that many rows at most."""
+    batches(docs.sparkSession)
     asked = labels.where(" AND ".join(f"{c} IS NOT NULL" for c in ["doc_id", *columns])).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns])
     asked = asked.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id"), F.col("text")).where(F.col("text").isNotNull()).join(F.broadcast(asked), "doc_id")
-    pdf = rows.toPandas()
-    return pdf.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+    # one text a document, the least, before anything reaches the driver
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in columns])
+    return rows.toPandas().sort_values("doc_id").reset_index(drop=True)
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
@@ -278,8 +280,12 @@ def logit(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = Scores(weights)
-        for part in parts:
-            yield pd.Series(text_logits(part.tolist(), memo) + shift)
+
+        def logits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in parts:
+                yield pd.Series(text_logits(part.tolist(), memo) + shift)
+
+        yield from lean(logits)(parts)
 
     return run(text)
 

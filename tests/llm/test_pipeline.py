@@ -30,7 +30,7 @@ def test_stages_take_effect(spark, stages):
     rejected = {r.doc_id for r in toxicity.toxic_documents(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     ids = [{r.doc_id for r in s.select("doc_id").collect()} for s in stages[:4]]
     assert ids[0] == {r.doc_id for r in docs.select("doc_id").collect()} - rejected
-    assert jaccard.near_pairs(stages[1]).count() == 0 and ids[1] < ids[0]
+    assert jaccard.near_classes(stages[1]).where("links > 0").count() == 0 and ids[1] < ids[0]
     texts = {r.doc_id: (r.text or "").split() for r in stages[2].collect()}
     seen = {}
     for d, w in texts.items():
