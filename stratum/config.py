@@ -13,7 +13,7 @@ DEFAULTS: dict = {
     "thresholds": {"nesting": 3, "cyclomatic": 10, "cognitive": 15, "loc": 50, "params": 5},
     "duplication": {"minTokens": 50},
     "hotspots": {"top": 10},
-    "coverage": {"reports": []},
+    "coverage": {"reports": ["coverage/lcov.info", "coverage.xml"]},
 }
 
 

@@ -2,58 +2,118 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import plugins
 from .functions.globs import matches_any
-from .operators import classify, metrics, reach
+from .functions.scalars import basename, is_python, tainted
+from .operators import classify, clones, entries, metrics, reach
 from .sources import files, python_code
 from .stage import staged
 
-TEST_GLOBS = ["**/test_*.py", "**/*_test.py", "**/tests/**", "**/conftest.py"]
-PY_ENTRIES = ["**/__main__.py", "**/main.py", "**/manage.py", "**/wsgi.py", "**/asgi.py", "**/setup.py"]
-TAINT = r"(^|[^0-9A-Za-z_])(eval|exec|getattr|globals|locals|__import__|import_module)\s*\("
-
-
-def scan(spark: SparkSession, target: str, config: dict, roots: list[str] | None = None) -> dict[str, DataFrame]:
-    """findings, metrics, complexity, hotspots, edges, nodes of the Python files under target."""
-    text = staged(files.source_files(spark, target, config["include"], config["ignore"]).where(F.col("file").endswith(".py")), "sources")
-    ir = staged(python_code.lowered(text), "ir")
-    mods = python_code.modules(text, roots or ["", "src"])
-    test = matches_any(F.col("file"), TEST_GLOBS)
-    nodes = ir.select("file", F.inline("symbols")).select(F.concat_ws(":", "file", "line", "name").alias("id"), "name", "file", "line", "end_line", "exported")
-    # the last declaration of a name is the one that uses mean
-    named = nodes.groupBy("file", "name").agg(F.max_by("id", "line").alias("dst"))
-    imports = python_code.resolved_imports(ir, mods)
-    bound = imports.where("target IS NOT NULL").select("file", F.coalesce("alias", "name").alias("local"), F.col("name").alias("imported"), "target")
-    uses = ir.select("file", F.explode("uses").alias("u")).select("file", "u.name", "u.attr", "u.line")
-    here = uses.join(named, ["file", "name"]).select("file", "line", "dst")
-    target_names = named.select(F.col("file").alias("target"), F.col("name").alias("imported"), "dst")
-    there = uses.join(bound, (uses.file == bound.file) & (uses.name == bound["local"])).select(uses.file, "line", "target", F.coalesce("imported", "attr").alias("imported")).join(target_names, ["target", "imported"]).select("file", "line", "dst")
-    through = uses.where("attr IS NOT NULL").join(bound, (uses.file == bound.file) & (uses.name == bound["local"])).select(uses.file, "line", "target", F.col("attr").alias("imported")).join(target_names, ["target", "imported"]).select("file", "line", "dst")
-    refs = here.unionByName(there).unionByName(through)
-    spans = nodes.select(F.col("file").alias("nf"), F.col("line").alias("a"), F.col("end_line").alias("b"), "id")
-    source = refs.join(spans, (refs.file == spans.nf) & refs.line.between(spans.a, spans.b), "left").select(F.coalesce("id", "file").alias("src"), "dst", "file")
-    kind = F.when(matches_any(F.col("file"), TEST_GLOBS), "test").otherwise("prod")
-    loads = imports.where("target IS NOT NULL").select(F.col("file").alias("src"), F.col("target").alias("dst"), "file")
-    edges = source.where("src <> dst").unionByName(loads).select("src", "dst", kind.alias("kind")).distinct().unionByName(reach.own_file_edges(nodes))
-    edges = staged(edges, "edges")
-    entry = (matches_any(F.col("file"), [*PY_ENTRIES, *config["entries"]]) | F.col("main_guard")) & ~test
-    roots_ = ir.select("file", F.when(test, "test").when(entry, "prod").alias("color")).where("color IS NOT NULL")
-    seeds = roots_.select(F.col("file").alias("id"), "color").unionByName(nodes.where("exported").join(roots_, "file").select("id", "color"))
+#: Names of Python files that are run.
+PY_ENTRIES = ["main.py", "app.py", "manage.py", "wsgi.py", "asgi.py"]
+PY_TEST = r"(^|/)(test_[^/]+|[^/]+_test)\.py$"
+
+
+def _entry_records(spark: SparkSession, target: str, config: dict, text: DataFrame, ir: DataFrame, nodes: DataFrame, mods: DataFrame, prod_globs: list[str]) -> DataFrame:
+    """file, source, symbol, member of every entry that any mechanism finds."""
+    f, names = F.col("file"), text.select("file")
+    members = files.workspace_members(target)
+    rows = [r for base in ["", *members] for r in files.manifest_candidates(target, base)]
+    met = entries.first_existing(spark.createDataFrame(rows, files.CANDIDATES), names, ["base", "name", "source", "ordinal"])
+    source = F.when((F.col("source") == "manifest") & (F.col("place") > 0), "mapped").otherwise(F.col("source"))
+    # a member needs a name
+    met = met.where("base = '' OR name IS NOT NULL").select("file", F.when(F.col("base") != "", "workspace").otherwise(source).alias("source"), F.lit(None).cast("string").alias("symbol"))
+
+    def by(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("file", F.lit(name).alias("source"), F.lit(None).cast("string").alias("symbol"))
+
+    read = lambda n: files.read_text(target, n) or ""
+    specs = [(s, "pyproject-scripts") for s in files.entry_specs(read("pyproject.toml"))]
+    specs += [(s, "setup-config") for s in files.entry_specs(read("setup.cfg"), "options.entry_points") + files.setup_specs(read("setup.py"))]
+    last = nodes.groupBy("file", "name").agg(F.max_by("id", "line").alias("id"))
+    named = entries.module_specs(spark.createDataFrame(specs, "spec string, source string"), mods, last).where("file IS NOT NULL").select("file", "source", "symbol")
+    guarded = ir.where("main_guard").select("file")
+    name = basename(f)
+    run = names.where(is_python(f) & (name != "conftest.py")).join(guarded.withColumn("guard", F.lit(True)), "file", "left")
+    run = run.select("file", F.when(name == "__main__.py", "dunder-main").when(name.isin(PY_ENTRIES), "convention").when(F.col("guard"), "dunder-main").alias("source"), F.lit(None).cast("string").alias("symbol")).where("source IS NOT NULL")
+    return reduce(DataFrame.unionByName, [met, by(names.where(matches_any(f, config["entries"])), "config"), named, run, by(names.where(matches_any(f, prod_globs)), "plugin")])
+
+
+def model(spark: SparkSession, target: str, config: dict) -> dict:
+    """The graph and what follows from it: text, ir, nodes, edges, seeds, verdicts, tainted, public, entries, collapsed."""
+    text = staged(files.source_files(spark, target, config["include"], config["ignore"]), "sources")
+    code = text.where(is_python(F.col("file")))
+    ir = staged(python_code.lowered(code), "ir")
+    mods = staged(python_code.modules(code, python_code.import_roots(code)), "modules")
+    nodes = ir.select("file", F.inline("symbols")).select(F.concat_ws(":", "file", "line", "name").alias("id"), "name", "file", "line", "end_line", "exported").dropDuplicates(["id"])
+    nodes = staged(nodes, "nodes")
+    repo = plugins.repo(target)
+    found = plugins.detected(repo)
+    globs = [e for p in found for e in p.entries(repo)]
+    prod_globs, test_globs = ([e.glob for e in globs if e.kind == k] for k in ("prod", "test"))
+    refs = python_code.references(ir, nodes, mods)
+    kind = F.when(F.col("file").rlike(PY_TEST), "test").otherwise("prod")
+    edges = refs.select("src", "dst", kind.alias("kind")).unionByName(reach.own_file_edges(nodes))
+    for p in found:
+        more = p.edges(repo, nodes)
+        edges = edges if more is None else edges.unionByName(more)
+    edges = staged(edges.distinct(), "edges")
+    records = staged(_entry_records(spark, target, config, text, ir, nodes, mods, prod_globs), "entries")
+    names = text.select("file")
+    tests = names.where(matches_any(F.col("file"), test_globs))
+    seeds = entries.file_seeds(records, "prod").unionByName(records.where("symbol IS NOT NULL").select(F.col("symbol").alias("id"), F.lit("prod").alias("color")))
+    seeds = seeds.unionByName(entries.exported_seeds(nodes, records.where("source = 'plugin'"), "prod")).unionByName(entries.exported_seeds(nodes, tests, "test"))
+    seeds = staged(seeds.unionByName(entries.file_seeds(tests.union(names.where(basename(F.col("file")) == "conftest.py")), "test")).distinct(), "seeds")
     verdicts = staged(reach.two_color(nodes, edges, seeds), "verdicts")
-    tainted = text.where(F.col("text").rlike(TAINT)).select("file").union(ir.where("star_import").select("file")).distinct()
-    collapsed = roots_.where("color = 'prod'").isEmpty()
-    facts = nodes.withColumn("public", F.lit(False)).withColumn("effectful", F.lit(False)).withColumn("coverage", F.lit("unavailable")).withColumn("python", F.lit(True))
-    found = classify.tiers(facts, verdicts, tainted, collapsed)
-    units = metrics.unit_metrics(ir.select("file", F.inline("units")))
-    records = files.coverage_records(spark, config["coverage"]["reports"]).where("kind = 'line'")
-    covered = metrics.coverage_ratio(units, records.select("file", "line", "hits"))
+    f = F.col("file")
+    taint = text.where(tainted(F.col("text"), is_python(f))).select("file").union(ir.where("star_import").select("file")).distinct()
+    public = nodes.where("exported") if repo.python_library else nodes.limit(0)
+    once = staged(entries.first_source(entries.ranked(records)), "once")
+    return {"text": text, "ir": ir, "nodes": nodes, "edges": edges, "seeds": seeds, "verdicts": verdicts, "tainted": taint, "public": public.select("id"), "entries": once, "collapsed": entries.collapsed(once, nodes)}
+
+
+def scan(spark: SparkSession, target: str, config: dict) -> dict:
+    """findings, evidence, metrics, complexity, hotspots, duplication, entries, edges, nodes of the Python files under target, and whether entries collapsed."""
+    m = model(spark, target, config)
+    nodes, ir, text = m["nodes"], m["ir"], m["text"]
+    records = staged(files.coverage_records(spark, files.existing(target, config["coverage"]["reports"])), "coverage")
+    # report paths may be absolute or from another folder
+    path = F.regexp_replace(F.regexp_replace("file", r"\\", "/"), r"^\./", "")
+    reports = records.groupBy(path.alias("report")).agg(F.min("ordinal").alias("ordinal"))
+    matched = metrics.match_reports(text.select("file"), reports)
+    known = records.withColumn("path", path).drop("file").join(matched, F.col("path") == F.col("report")).select("file", "kind", "name", "line", "hits", "ordinal")
+    hits = metrics.last_hits(known.where("kind = 'line'"), ["ordinal"])
+    status = metrics.coverage_status(nodes.select("id", "file", "name", "line"), known.where("kind = 'fn'"), hits)
+    facts = nodes.join(m["public"].withColumn("public", F.lit(True)), "id", "left").withColumn("public", F.coalesce("public", F.lit(False)))
+    # effects of Python initializers are not told
+    facts = facts.withColumn("effect", F.lit("unknown")).withColumn("python", F.lit(True)).join(status.select("id", F.col("status").alias("coverage"), "hits"), "id")
+    found = staged(classify.tiers(facts, m["verdicts"], m["tainted"], m["collapsed"]), "findings")
+    units = staged(metrics.unit_metrics(ir.select("file", F.inline("units"))), "units")
+    covered = metrics.coverage_ratio(units, hits)
+    streams = python_code.streams(ir)
+    groups = clones.clone_groups(streams, config["duplication"]["minTokens"])
     return {
         "nodes": nodes,
-        "edges": edges,
+        "edges": m["edges"],
+        "entries": m["entries"],
+        "collapsed": m["collapsed"],
         "findings": classify.worst_first(found),
+        "evidence": classify.evidence(found),
         "metrics": units,
         "complexity": metrics.complexity_findings(units, config["thresholds"]),
         "hotspots": metrics.hotspots(covered, files.git_churn(spark, target) if "://" not in target else None, config["hotspots"]["top"]),
+        "duplication": clones.clone_lines(groups, streams.select("file", "lines")),
     }
+
+
+def explain(spark: SparkSession, target: str, config: dict, query: str) -> dict:
+    """Why the symbol that the query means has its verdict."""
+    from .operators.explain import explain as told
+
+    m = model(spark, target, config)
+    return told(query, m["nodes"], m["edges"], m["seeds"], m["verdicts"], m["tainted"])

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def crap(complexity: Column, coverage: Column) -> Column:
     """complexity squared, times the uncovered share cubed, plus complexity; null without coverage."""
-    c = complexity.cast("double")
-    return c * c * F.pow(1 - coverage, F.lit(3)) + c
+    c, bare = complexity.cast("double"), 1 - coverage
+    return c * c * (bare * bare * bare) + c
 
 
 def risk(complexity: Column, crap_score: Column, churn: Column) -> Column:
@@ -35,7 +35,23 @@ def is_python(path: Column) -> Column:
 
 def exported_python(name: Column, declared: Column) -> Column:
     """No leading underscore, or in the module's declared list, or a dunder, or a test."""
-    return ~name.startswith("_") | F.coalesce(F.array_contains(declared, name), F.lit(False)) | (name.startswith("__") & name.endswith("__")) | name.startswith("test_")
+    return ~name.startswith("_") | F.coalesce(F.array_contains(declared, name), F.lit(False)) | (name.rlike(r"^__[A-Za-z0-9_]+__$")) | name.startswith("test_")
+
+
+_DYNAMIC = [r"\beval\s*\(", r"\[\s*[A-Za-z_$][A-Za-z0-9_$]*\s*\]\s*\("]
+_DYNAMIC_PYTHON = [r"\bgetattr\s*\(", r"\bimportlib\b", r"__getattr__", r"\bexec\s*\("]
+_DYNAMIC_SCRIPT = [r"import\s*\(\s*`[^`]*\$\{", r"import\s*\(\s*[A-Za-z_$]"]
+
+
+def tainted(text: Column, python: Column) -> Column:
+    """Whether the text, comments included, has access that no static graph resolves: evaluation, computed calls, dynamic imports or attributes."""
+    return text.rlike("|".join(_DYNAMIC)) | F.when(python, text.rlike("|".join(_DYNAMIC_PYTHON))).otherwise(text.rlike("|".join(_DYNAMIC_SCRIPT)))
+
+
+def normalised(word: Column) -> Column:
+    """A word of plain text as clone detection sees it: numbers LIT, names ID, both where they are part of something else."""
+    mixed = F.regexp_replace(F.regexp_replace(word, "[0-9]+", "LIT"), "[A-Za-z_]+", "ID")
+    return F.when(word.rlike("^[0-9]+$"), "LIT").when(word.rlike("^[A-Za-z_][A-Za-z_0-9]*$"), "ID").otherwise(mixed)
 
 
 MOST_LINES = 200

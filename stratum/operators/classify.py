@@ -1,6 +1,6 @@
 """Findings: tiers in a fixed order of reasons, evidence, summaries, severity, report rows.
 
-facts(id, file, line, exported, public, effectful, coverage, python); verdicts(id, reachability); tainted(file).
+facts(id, file, line, exported, public, effect, coverage, hits, python): effect pure, effectful or unknown; coverage hit, miss or unavailable. verdicts(id, reachability); tainted(file).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def tier(collapsed: bool = False) -> Column:
         .when(col("coverage") == "hit", "maybe")
         .when(col("tainted") | col("public"), "maybe")
         .when(col("exported"), "likely")
-        .when(col("effectful"), "likely")
+        .when(col("effect") == "effectful", "likely")
         .when(col("python"), "likely")
         .otherwise("certain")
     )
@@ -29,28 +29,34 @@ def tiers(facts: DataFrame, verdicts: DataFrame, tainted: DataFrame, collapsed:
     """A finding per symbol that isn't alive; with no entry found (collapsed) everything is maybe and nothing fixable."""
     marks = tainted.select("file").distinct().withColumn("tainted", F.lit(True))
     rows = facts.join(verdicts.where("reachability <> 'alive'"), "id").join(marks, "file", "left").withColumn("tainted", F.coalesce("tainted", F.lit(False)))
-    rows = rows.withColumn("tier", tier(collapsed))
+    rows = rows.withColumn("tier", tier(collapsed)).withColumn("collapsed", F.lit(collapsed))
     return rows.withColumn("fixable", (F.col("tier") == "certain") & (F.col("reachability") != "test-only"))
 
 
 def evidence(findings: DataFrame) -> DataFrame:
-    """id, ordinal, ok (null: not checked), text: five signals of a dead symbol, three of one that tests reach."""
-    dead = F.col("reachability") == "dead"
-    none = F.lit(None).cast("boolean")
+    """id, ordinal, ok (true: speaks for removal, false: against, null: not checked), text: five signals of a dead symbol, behind the collapse's if entries did; three of one that tests reach."""
+    c, none = F.col, F.lit(None).cast("boolean")
 
     def signal(ok, text):
         return F.struct(ok.alias("ok"), text.alias("text"))
 
-    base = [
-        signal(F.when(dead, True), F.when(dead, "no references from production entry points").otherwise("reached from tests only")),
-        signal(F.when(~dead, none).when(F.col("coverage") == "hit", False).when(F.col("coverage") == "miss", True), F.concat(F.lit("coverage: "), "coverage")),
-        signal(~F.col("tainted"), F.when(F.col("tainted"), "dynamic access in file").otherwise("no dynamic access in file")),
+    yes, no, t = F.lit(True), F.lit(False), F.lit
+    hits = F.concat(c("hits").cast("string"), t(" coverage hits"))
+    missed = F.when(c("coverage") == "miss", t("0 coverage hits")).otherwise(t("coverage: not available"))
+    dead = [
+        signal(yes, t("no static references")),
+        signal(F.when(c("coverage") == "hit", no).when(c("coverage") == "miss", yes), F.when(c("coverage") == "hit", F.concat(hits, t(" without a static reference"))).otherwise(missed)),
+        signal(~c("public"), F.when(c("public"), "part of the public surface").otherwise("not part of the public surface")),
+        signal(~c("tainted"), F.when(c("tainted"), "dynamic access in file").otherwise("no dynamic access in file")),
+        signal(F.when(c("effect") == "effectful", no).when(c("effect") == "pure", yes), F.concat(t("initializer: "), F.when(c("effect") == "unknown", "not checked").otherwise(c("effect")))),
     ]
-    more = [
-        signal(~F.col("public"), F.when(F.col("public"), "part of the public surface").otherwise("not part of the public surface")),
-        signal(~F.col("exported"), F.when(F.col("exported"), "exported").otherwise("not exported")),
+    tested = [
+        signal(yes, t("no production references")),
+        signal(no, t("referenced in tests only")),
+        signal(F.when(c("coverage") == "miss", yes).otherwise(none), F.when(c("coverage") == "hit", hits).otherwise(missed)),
     ]
-    signals = F.when(dead, F.array(*base, *more)).otherwise(F.array(*base))
+    unseeded = signal(no, t("no production entry was found, so nothing is known to be reached"))
+    signals = F.when(c("reachability") == "test-only", F.array(*tested)).when(c("collapsed"), F.array(unseeded, *dead)).otherwise(F.array(*dead))
     return findings.select("id", F.posexplode(signals).alias("at", "s")).select("id", (F.col("at") + 1).cast("long").alias("ordinal"), "s.ok", "s.text")
 
 
@@ -69,21 +75,44 @@ def maybe_cap(findings: DataFrame, most: int) -> DataFrame:
     return findings.where("tier = 'maybe'").orderBy("file", "line", "id").limit(most)
 
 
-def _rank(name: str) -> Column:
-    return F.when(F.col(name) == "certain", 3).when(F.col(name) == "likely", 2).otherwise(1)
+SEVERITY = {"high": 3, "medium": 2, "low": 1}
 
 
-def gate(findings: DataFrame, hotspots: DataFrame) -> DataFrame:
-    """threshold, fails, n: whether any finding is at least that severe; hotspots count as low."""
-    ranks = findings.select(_rank("tier").alias("rank")).unionByName(hotspots.select(F.lit(1).alias("rank")))
-    counts = ranks.agg(*[F.count_if(F.col("rank") >= k).alias(name) for name, k in (("high", 3), ("medium", 2), ("low", 1))])
+def severity() -> Column:
+    """Of a finding: low if only tests reach it, else by its tier."""
+    return F.when(F.col("reachability") == "test-only", "low").when(F.col("tier") == "certain", "high").when(F.col("tier") == "likely", "medium").otherwise("low")
+
+
+def gate(findings: DataFrame, hotspots: DataFrame, complexity: DataFrame | None = None, duplication: DataFrame | None = None) -> DataFrame:
+    """threshold, fails, n: whether any finding is at least that severe; complexity counts as medium, hotspots and duplication as low."""
+    found = findings.select(severity().alias("s"))
+    for rows, s in ((hotspots, "low"), (complexity, "medium"), (duplication, "low")):
+        found = found if rows is None else found.unionByName(rows.select(F.lit(s).alias("s")))
+    rank = F.when(F.col("s") == "high", 3).when(F.col("s") == "medium", 2).otherwise(1)
+    counts = found.agg(*[F.count_if(rank >= k).alias(name) for name, k in SEVERITY.items()])
     return counts.select(F.expr("stack(3, 'high', high, 'medium', medium, 'low', low) AS (threshold, n)")).select("threshold", (F.col("n") > 0).alias("fails"), "n")
 
 
-def sarif_rows(findings: DataFrame, hotspots: DataFrame) -> DataFrame:
-    """rule, level, uri, line, message of every result."""
-    rule = F.when(F.col("reachability") == "test-only", "test-only").otherwise("dead-code")
-    level = F.when(F.col("tier") == "certain", "error").when(F.col("tier") == "likely", "warning").otherwise("note")
-    found = findings.select(rule.alias("rule"), level.alias("level"), F.col("file").alias("uri"), F.col("line").cast("long").alias("line"), F.col("id").alias("message"))
-    hot = hotspots.select(F.lit("hotspot").alias("rule"), F.lit("note").alias("level"), F.col("file").alias("uri"), F.lit(1).cast("long").alias("line"), F.lit("hotspot").alias("message"))
-    return found.unionByName(hot)
+LEVEL = {"high": "error", "medium": "warning", "low": "note"}
+
+
+def sarif_rows(findings: DataFrame, hotspots: DataFrame, complexity: DataFrame | None = None, duplication: DataFrame | None = None) -> DataFrame:
+    """rule, level, uri, line, message, related array<struct<uri, line>> of every result. hotspots(file, line, name), complexity(detector, file, line, name, message), duplication(tokens, members); a clone is told at its first member, the others are related."""
+    level = F.when(severity() == "high", LEVEL["high"]).when(severity() == "medium", LEVEL["medium"]).otherwise(LEVEL["low"])
+    none = F.array().cast("array<struct<uri:string,line:bigint>>")
+
+    def rows(df, rule, level, uri, line, message, related=none):
+        return df.select(rule.alias("rule"), level.alias("level"), uri.cast("string").alias("uri"), line.cast("long").alias("line"), message.alias("message"), related.alias("related"))
+
+    c, t = F.col, F.lit
+    tag = F.when(c("reachability") == "test-only", "test-only").otherwise(c("tier"))
+    name = c("name") if "name" in findings.columns else c("id")
+    out = rows(findings, t("dead-code"), level, c("file"), c("line"), F.concat(name, t(" ("), tag, t(")")))
+    out = out.unionByName(rows(hotspots, t("hotspot"), t(LEVEL["low"]), c("file"), c("line"), c("name").cast("string")))
+    if complexity is not None:
+        out = out.unionByName(rows(complexity, c("detector"), t(LEVEL["medium"]), c("file"), c("line"), F.concat(c("name"), t(": "), c("message"))))
+    if duplication is not None:
+        others = F.transform(F.slice("members", F.lit(2), F.size("members")), lambda m: F.struct(m["file"].cast("string").alias("uri"), m["start_line"].cast("long").alias("line")))
+        text = F.concat(c("tokens").cast("string"), t(" tokens in "), F.size("members").cast("string"), t(" places"))
+        out = out.unionByName(rows(duplication, t("duplication"), t(LEVEL["low"]), c("members")[0]["file"], c("members")[0]["start_line"], text, others))
+    return out

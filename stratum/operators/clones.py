@@ -1,95 +1,144 @@
 """Clone groups over token streams: windows, exact grouping, maximal extension, greedy cover.
 
-Relation: tokens(file, pos, norm, unit) with pos counted from 0 in a file; a window never leaves a run of one unit.
+Relation: streams(file, norms array<string>, units array<int>), a row a file; a window never leaves a run of one unit.
+
+Windows are hashed where the streams lie, and only hashes shuffle to find those that recur; the content of these, and of no others, is then compared by its md5. Files' stretches of recurring windows (runs) that are alike from end to end are one, with a list of where they are, so boilerplate that a third of all files have is decided once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stage import staged
+from .reach import components
+
+
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of h[i:i+k] at each i, by doubling."""
+    out, at, size, power = None, 0, 1, h
+    while size <= k:
+        if k & size:
+            part = power[at : at + len(h) - k + 1]
+            out = part if out is None else _mixed(out * np.uint64(0x9E3779B97F4A7C15) + part)
+            at += size
+        if size * 2 <= k:
+            power = _mixed(power[:-size] * np.uint64(0xD6E8FEB86659FD93) + power[size:])
+        size *= 2
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return x ^ (x >> np.uint64(29))
+
+
+def window_hashes(streams: DataFrame, k: int) -> DataFrame:
+    """file, pos, hash: every run of k tokens within one unit, from position 0."""
+    kind = streams.schema["file"].dataType.simpleString()
+    hashed = streams.where(F.size("norms") >= k).select("file", F.transform("norms", lambda x: F.xxhash64(x)).alias("h"), F.transform("units", lambda x: F.coalesce(x, F.lit(-1))).alias("u"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, units = batch.column("h"), batch.column("u")
+            flat, of_unit = column.flatten().to_numpy().view(np.uint64), units.flatten().to_numpy()
+            ends = np.cumsum(np.diff(column.offsets.to_numpy()))
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            if len(flat) < k:
+                continue
+            # a window holds if no unit or file changes within it
+            change = np.concatenate([[False], of_unit[1:] != of_unit[:-1]])
+            change[starts] = True
+            changes = np.cumsum(change)
+            rolled = _rolled(flat, k)
+            at = np.flatnonzero(changes[: len(rolled)] == changes[k - 1 :])
+            for lo in range(0, len(at), 100_000):
+                some = at[lo : lo + 100_000]
+                row = np.searchsorted(ends, some, side="right")
+                yield pa.RecordBatch.from_arrays([batch.column("file").take(pa.array(row)), pa.array(some - starts[row]), pa.array(rolled[some].view(np.int64))], names=["file", "pos", "hash"])
+
+    return hashed.mapInArrow(run, f"file {kind}, pos long, hash long")
+
+
+def shared_windows(streams: DataFrame, k: int) -> DataFrame:
+    """file, pos, gram: windows that occur at least twice; gram is the md5 of their tokens with blanks between."""
+    w = window_hashes(streams, k)
+    often = w.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    hit = w.join(often, "hash", "left_semi").groupBy(F.col("file").alias("f")).agg(F.collect_list("pos").alias("at"))
+    told = streams.join(hit, F.col("file") == F.col("f"))
+    grams = told.select("file", F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), F.md5(F.array_join(F.slice("norms", (p + 1).cast("int"), F.lit(k)), " ")).alias("gram")))).alias("x")).select("file", "x.pos", "x.gram")
+    # equal hashes of different windows fall out here
+    grams = staged(grams, "grams")
+    return grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "gram", "left_semi").select("file", "pos", "gram")
+
+
+def gram_groups(streams: DataFrame, k: int) -> DataFrame:
+    """gram, n, first_file: windows that occur at least twice."""
+    return shared_windows(streams, k).groupBy("gram").agg(F.count("*").alias("n"), F.min("file").alias("first_file"))
+
+
+def _decide(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The greedy cover over the runs of a part, each standing for all that are like it."""
+    pdf = pdf.sort_values(["file", "start"])
+    sigs, grams = pdf["sig"].tolist(), [list(g) for g in pdf["grams"]]
+    at: dict[str, list[tuple[int, int]]] = {}
+    for r, g in enumerate(grams):
+        for o, x in enumerate(g):
+            at.setdefault(x, []).append((r, o))
+    covered = [[False] * len(g) for g in grams]
+    tokens, first, members = [], [], []
+    for r, g in enumerate(grams):
+        for o, x in enumerate(g):
+            group = at[x]
+            if covered[r][o] or any(covered[q][p] for q, p in group):
+                continue
+            n = 1
+            while all(p + n < len(grams[q]) for q, p in group) and len({grams[q][p + n] for q, p in group}) == 1:
+                n += 1
+            for q, p in group:
+                covered[q][p : p + n] = [True] * n
+            tokens.append(n + k - 1)
+            first.append(f"{sigs[r]}:{o}")
+            members.append([{"sig": sigs[q], "offset": p} for q, p in group])
+    return pd.DataFrame({"first": first, "tokens": tokens, "members": members})
 
 
-def islands(tokens: DataFrame) -> DataFrame:
-    """tokens with `island`: number of the run of one unit within its file."""
-    w = Window.partitionBy("file").orderBy("pos")
-    change = F.when(F.lag("unit").over(w).eqNullSafe(F.col("unit")), 0).otherwise(1)
-    return tokens.withColumn("change", change).withColumn("island", F.sum("change").over(w)).drop("change")
-
-
-def windows(tokens: DataFrame, k: int) -> DataFrame:
-    """file, pos, island, gram: every run of k tokens within one island."""
-    w = Window.partitionBy("file", "island").orderBy("pos").rowsBetween(0, k - 1)
-    return tokens.withColumn("parts", F.collect_list("norm").over(w)).where(F.size("parts") == k).select("file", "pos", "island", F.concat_ws(" ", "parts").alias("gram"))
-
-
-def gram_groups(tokens: DataFrame, k: int) -> DataFrame:
-    """gram, n: windows that occur at least twice. The gram itself is the key, so equal hashes can't mislead."""
-    return windows(tokens, k).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-
-
-def clone_groups(tokens: DataFrame, k: int) -> DataFrame:
-    """tokens, members array<struct<file, start, stop>>: maximal groups of equal runs of at least k tokens.
+def clone_groups(streams: DataFrame, k: int) -> DataFrame:
+    """tokens, members array<struct<file, start, stop>>, the longest first, then by the first member: maximal groups of equal runs of at least k tokens.
 
-    In order of (file, position), a window that an earlier group covers starts no group, and a group with any covered member is dropped whole; a group grows to the right while all members agree and stay in their runs, and covers every window inside its members. Groups interact only through files that share a window, so each connected part of files is decided by one task.
+    In order of (file, position), a window that an earlier group covers starts no group, and a group with any covered member is dropped whole; a group grows to the right while all members agree and stay in their units, and covers every window inside its members. All these windows recur and lie in one run of recurring windows, so groups interact only through runs that share one, and each connected part of runs is decided by one task. Runs alike share every group at the same places; where the first of them decides, the others have nothing to add.
     """
-    tokens = staged(islands(tokens), "clonetokens")
-    grams = windows(tokens, k)
-    shared = grams.groupBy("gram").agg(F.count("*").alias("n"), F.collect_set("file").alias("files")).where("n > 1")
-    links = shared.select(F.explode("files").alias("src"), F.array_min("files").alias("dst"))
-    both = staged(links.union(links.select("dst", "src")).distinct(), "links")
-    # the least file of each connected part names it
-    label = both.groupBy(F.col("src").alias("file")).agg(F.min("dst").alias("part"))
-    while True:
-        label = staged(label, "label")
-        near = both.join(label, both.dst == label.file).groupBy("src").agg(F.min("part").alias("near"))
-        step = label.join(near, label.file == near.src).select("file", "part", F.least("part", "near").alias("next"))
-        step = staged(step, "step")
-        label = step.select("file", F.col("next").alias("part"))
-        if step.where("part <> next").isEmpty():
-            break
-
-    def decide(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["file", "pos"])
-        files = pdf["file"].tolist()
-        norm, island = pdf["norm"].tolist(), [f"{f}\0{i}" for f, i in zip(files, pdf["island"], strict=True)]
-        n = len(norm)
-        end = [0] * n
-        for i in range(n - 1, -1, -1):
-            end[i] = end[i + 1] if i + 1 < n and island[i + 1] == island[i] else i
-        at: dict[tuple, list[int]] = {}
-        for i in range(n):
-            if end[i] - i + 1 >= k:
-                at.setdefault(tuple(norm[i : i + k]), []).append(i)
-        covered = [False] * n
-        sizes, members = [], []
-        for i in range(n):
-            if covered[i] or end[i] - i + 1 < k:
-                continue
-            group = at[tuple(norm[i : i + k])]
-            if len(group) < 2 or any(covered[g] for g in group):
-                continue
-            length = k
-            while all(g + length <= end[g] for g in group) and len({norm[g + length] for g in group}) == 1:
-                length += 1
-            for g in group:
-                for j in range(g, g + length - k + 1):
-                    covered[j] = True
-            pos = pdf["pos"].tolist()
-            sizes.append(length)
-            members.append([{"file": files[g], "start": pos[g], "stop": pos[g + length - 1]} for g in [i, *[g for g in group if g != i]]])
-        return pd.DataFrame({"tokens": sizes, "members": members})
-
-    joined = tokens.join(label, "file")
-    return joined.groupBy("part").applyInPandas(decide, "tokens long, members array<struct<file:string,start:long,stop:long>>")
-
-
-def merge_ranges(ranges: DataFrame, key: str, start: str = "start", stop: str = "stop") -> DataFrame:
-    """key, start, stop: ranges merged where the next begins at most one after the end."""
-    w = Window.partitionBy(key).orderBy(start, stop)
-    ahead = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    r = ranges.withColumn("reach", ahead)
-    r = r.withColumn("part", F.sum(F.when(F.col(start) <= F.col("reach") + 1, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.groupBy(key, "part").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("part")
+    windows = shared_windows(streams, k)
+    w = Window.partitionBy("file").orderBy("pos")
+    fresh = F.when(F.lag("pos").over(w) == F.col("pos") - 1, 0).otherwise(1)
+    numbered = windows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
+    runs = numbered.groupBy("file", "run").agg(F.min("pos").alias("start"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"]).alias("grams"))
+    runs = staged(runs.withColumn("sig", F.md5(F.array_join("grams", ""))), "runs")
+    kinds = staged(runs.groupBy("sig").agg(F.min(F.struct("file", "start")).alias("least"), F.first("grams").alias("grams")).select("sig", "least.*", "grams"), "kinds")
+    star = kinds.select("sig", F.explode(F.array_distinct("grams")).alias("gram"))
+    lead = star.groupBy("gram").agg(F.min("sig").alias("lead"))
+    parts = components(star.join(lead, "gram").where("sig <> lead").select(F.col("sig").alias("a"), F.col("lead").alias("b")))
+    placed = kinds.join(parts, F.col("sig") == F.col("node"), "left").withColumn("part", F.coalesce("root", "sig")).select("part", "sig", "file", "start", "grams")
+
+    def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _decide(pdf, k)
+
+    decided = placed.groupBy("part").applyInPandas(decide, "first string, tokens long, members array<struct<sig:string,offset:long>>")
+    spots = decided.select("first", "tokens", F.explode("members").alias("m")).join(runs.select("file", "start", "sig"), F.col("m.sig") == F.col("sig"))
+    begin = F.col("start") + F.col("m.offset")
+    spots = spots.select("first", "tokens", F.struct("file", begin.alias("start"), (begin + F.col("tokens") - 1).alias("stop")).alias("s"))
+    groups = spots.groupBy("first", "tokens").agg(F.sort_array(F.collect_list("s")).alias("members"))
+    return groups.orderBy(F.desc("tokens"), F.col("members")[0]).select("tokens", "members")
+
+
+def clone_lines(groups: DataFrame, lines: DataFrame) -> DataFrame:
+    """tokens, members array<struct<file, start_line, end_line>>: the groups by the lines of their first and last tokens; lines(file, lines array<int>)."""
+    rows = groups.withColumn("g", F.monotonically_increasing_id()).select("g", "tokens", F.posexplode("members").alias("ordinal", "m"))
+    told = rows.join(lines, F.col("m.file") == F.col("file")).select("g", "tokens", "ordinal", "file", F.element_at("lines", (F.col("m.start") + 1).cast("int")).alias("start_line"), F.element_at("lines", (F.col("m.stop") + 1).cast("int")).alias("end_line"))
+    one = told.groupBy("g", "tokens").agg(F.sort_array(F.collect_list(F.struct("ordinal", "file", "start_line", "end_line"))).alias("s"))
+    return one.orderBy(F.desc("tokens"), F.col("s")[0]["file"], F.col("s")[0]["start_line"]).select("tokens", F.transform("s", lambda x: F.struct(x["file"].alias("file"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"))).alias("members"))

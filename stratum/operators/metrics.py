@@ -57,16 +57,21 @@ def coverage_status(symbols: DataFrame, functions: DataFrame, hits: DataFrame) -
 
 
 def match_reports(files: DataFrame, reports: DataFrame) -> DataFrame:
-    """file, report: the report of the same path, else the first (by ordinal) whose path ends in the file's or the other way round, at a path separator. Both sides' suffixes meet by equality, so nothing is compared with everything."""
-    def suffixes(df, col):
-        parts = F.split(col, "/")
-        return df.withColumn("n", F.explode(F.sequence(F.lit(1), F.size(parts)))).withColumn("suffix", F.array_join(F.slice(parts, F.size(parts) - F.col("n") + 1, F.col("n")), "/")).withColumn("whole", F.col("n") == F.size(parts))
+    """file, report: the report of the same path, else the first (by ordinal) whose path ends in the file's or the other way round, at a path separator.
 
-    f = suffixes(files.select("file"), F.col("file")).select("file", "suffix", F.col("whole").alias("fw"))
-    r = suffixes(reports.select("report", "ordinal"), F.col("report")).select("report", "ordinal", "suffix", F.col("whole").alias("rw"))
-    met = f.join(r, "suffix").where("fw OR rw").withColumn("rank", F.when(F.col("file") == F.col("report"), 0).otherwise(1))
-    w = Window.partitionBy("file").orderBy("rank", "ordinal")
-    return met.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("file", "report")
+    Whole paths of one side meet suffixes of the other by equality, and of reports that share a suffix only the first is kept, so nothing is compared with everything and a suffix that many paths share is one row.
+    """
+    def suffixes(df: DataFrame, path: str) -> DataFrame:
+        parts = F.split(path, "/")
+        ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))
+        return df.withColumn("suffix", F.explode(ends))
+
+    f = files.select("file").distinct()
+    r = reports.groupBy("report").agg(F.min("ordinal").alias("ordinal"))
+    by_end = suffixes(r, "report").groupBy("suffix").agg(F.min(F.struct("ordinal", "report")).alias("best"))
+    longer = f.join(by_end, f.file == by_end.suffix).select("file", F.lit(1).alias("rank"), "best.*")
+    shorter = suffixes(f, "file").join(r, F.col("suffix") == F.col("report")).select("file", F.when(F.col("file") == F.col("report"), 0).otherwise(1).alias("rank"), "ordinal", "report")
+    return longer.unionByName(shorter).groupBy("file").agg(F.min(F.struct("rank", "ordinal", "report")).alias("best")).select("file", "best.report")
 
 
 def hotspots(metrics: DataFrame, churn: DataFrame | None, top: int | None = 10) -> DataFrame:
@@ -77,12 +82,3 @@ def hotspots(metrics: DataFrame, churn: DataFrame | None, top: int | None = 10)
     rows = rows.withColumn("risk", risk(F.col("complexity"), F.col("crap"), F.col("churn"))).select("name", "file", "line", "complexity", "coverage", "crap", "churn", "risk")
     rows = rows.orderBy(F.desc("risk"), "file", "line", "name")
     return rows if top is None else rows.limit(top)
-
-
-def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """points(file, line, ...) with unit: index of the smallest range(file, start, stop, idx) around the line, the least index of equals, -1 if none."""
-    key = [c for c in points.columns]
-    r = ranges.select(F.col("file").alias("rf"), "start", "stop", "idx")
-    met = points.join(r, (points.file == r.rf) & points.line.between(r.start, r.stop), "left")
-    best = met.groupBy(*key).agg(F.min(F.when(F.col("idx").isNotNull(), F.struct((F.col("stop") - F.col("start")).alias("span"), "idx"))).alias("m"))
-    return best.select(*key, F.coalesce("m.idx", F.lit(-1)).alias("unit"))

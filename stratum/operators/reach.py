@@ -1,90 +1,73 @@
-"""Graph fixpoints: closure with depths, two-color reachability, witness paths, inbound references, name chasing.
+"""Graph fixpoints: two-color reachability, closures with depths and paths, inbound references, name chasing, connected parts.
 
 Relations: edges(src, dst, kind) with kind prod or test, seeds(id, color) with color prod or test, nodes(id, ...).
+
+Everything runs in rounds of joins. Each round writes only what is new to the shared folder, so lineage stays short and a lost executor costs one round; a small frontier is broadcast by its measured size, a large one shuffles. Only the number of rounds (the graph's depth, or its logarithm for chase and components) reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..stage import staged
-
-#: Up to so many edges one task walks the graph; beyond, rounds of joins do.
-IN_ONE_TASK = 2_000_000
-
-
-def _walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    both = edges.select("src", "dst").unionByName(seeds.select(F.lit(None).cast("string").alias("src"), F.col("id").alias("dst")))
-
-    def bfs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: dict[str, list[str]] = defaultdict(list)
-        level: dict[str, int] = {}
-        for f in frames:
-            for s, d in zip(f["src"], f["dst"], strict=True):
-                if s is None:
-                    level[d] = 0
-                else:
-                    out[s].append(d)
-        parent: dict[str, str | None] = dict.fromkeys(level)
-        front = sorted(level)
-        depth = 0
-        while front:
-            depth += 1
-            found: dict[str, str] = {}
-            for s in front:
-                for d in out.get(s, ()):
-                    if d not in level and (d not in found or s < found[d]):
-                        found[d] = s
-            for d, s in found.items():
-                level[d], parent[d] = depth, s
-            front = sorted(found)
-        if level:
-            yield pd.DataFrame({"id": list(level), "depth": list(level.values()), "parent": [parent[i] for i in level]})
-
-    return both.repartition(1).mapInPandas(bfs, "id string, depth int, parent string")
-
-
-def _rounds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Frontier rounds; each writes its frontier to the shared folder, so lineage stays short and lost executors cost one round."""
-    edges = staged(edges.select("src", "dst").distinct(), "edges")
-    front = staged(seeds.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct(), "front")
-    reached, depth = front, 0
-    while True:
-        depth += 1
-        step = front.join(edges, front.id == edges.src).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        step = step.join(reached.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent")
-        front = staged(step, "front")
-        if front.isEmpty():
-            return reached
-        reached = reached.unionByName(front)
-        if depth % 8 == 0:
-            reached = staged(reached, "reached")
+from ..stage import delete, staged
+
+#: What a path may use: production edges only, or any.
+PROD, ANY = 1, 2
+_COMPACT = 8
+
+
+def _bits(name: str) -> Column:
+    return F.when(F.col(name) == "prod", PROD | ANY).otherwise(ANY)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+def _spread(edges: DataFrame, seeds: DataFrame, paths: bool = False, until: str | None = None) -> DataFrame:
+    """id, bits, depth, parent (and path): what reaches each node over edges(src, dst, bits) from seeds(id, bits). A row for every round in which a node gained bits; of parents the least. Ends early when `until` is reached."""
+    carried = ["id", "bits", "depth", "parent", *(["path"] if paths else [])]
+    edges = staged(edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.bit_or("bits").alias("bits")), "edges")
+    start = seeds.where("id IS NOT NULL").groupBy("id").agg(F.bit_or("bits").alias("bits"))
+    front = staged(start.select("id", "bits", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.array("id").alias("path")).select(*carried), "front")
+    known, written, depth = front, [front], 0
+    while not front.isEmpty() and (until is None or front.where(F.col("id") == until).isEmpty()):
+        depth += 1
+        onward = edges.select(F.col("src"), F.col("dst"), F.col("bits").alias("pass"))
+        step = front.join(onward, front.id == onward.src).select(F.col("dst").alias("id"), F.col("bits").bitwiseAND(F.col("pass")).alias("bits"), F.struct("src", *(["path"] if paths else [])).alias("by")).where("bits <> 0")
+        step = step.groupBy("id").agg(F.bit_or("bits").alias("bits"), F.min("by").alias("by"))
+        have = known.groupBy(F.col("id").alias("seen")).agg(F.bit_or("bits").alias("have"))
+        step = step.join(have, step.id == have.seen, "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("have", F.lit(0))))).where("bits <> 0")
+        more = [F.concat("by.path", F.array("id")).alias("path")] if paths else []
+        front = staged(step.select("id", "bits", F.lit(depth).alias("depth"), F.col("by.src").alias("parent"), *more), "front")
+        written.append(front)
+        known = known.unionByName(front)
+        if depth % _COMPACT == 0:
+            known = staged(known, "reached")
+            delete(*written[:-1])
+            written = [front, known]
+    delete(edges)
+    return known
+
+
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """id, depth, parent of everything that seeds reach; a seed has depth 0 and no parent; of parents the least."""
-    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
-    seeds = seeds.where("id IS NOT NULL")
-    small = edges.limit(in_one_task + 1).count() <= in_one_task
-    return _walk(edges, seeds) if small else _rounds(edges, seeds)
+    return _spread(edges.select("src", "dst", F.lit(ANY).alias("bits")), seeds.select("id", F.lit(ANY).alias("bits"))).select("id", "depth", "parent")
 
 
 def own_file_edges(nodes: DataFrame) -> DataFrame:
     """Each symbol refers to its file, for production and for tests."""
-    return nodes.crossJoin(nodes.sparkSession.createDataFrame([("prod",), ("test",)], "kind string")).select(F.col("id").alias("src"), F.col("file").alias("dst"), "kind")
+    return nodes.select(F.col("id").alias("src"), F.col("file").alias("dst"), F.explode(F.array(F.lit("prod"), F.lit("test"))).alias("kind"))
+
+
+def assembled(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src, dst, kind, n: references and own-file edges together, each once with the number of times it was there."""
+    return refs.select("src", "dst", "kind").unionByName(own_file_edges(nodes)).groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
 
 
-def two_color(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
-    """id, reachability: alive if production seeds reach it by production edges, else test-only if any seed does by any edge, else dead."""
-    prod = closure(edges.where("kind = 'prod'"), seeds.where("color = 'prod'"), in_one_task).select("id", F.lit(True).alias("p"))
-    every = closure(edges, seeds, in_one_task).select("id", F.lit(True).alias("a"))
-    marked = nodes.select("id").join(prod, "id", "left").join(every, "id", "left")
-    return marked.select("id", F.when(F.col("p"), "alive").when(F.col("a"), "test-only").otherwise("dead").alias("reachability"))
+def two_color(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """id, reachability: alive if production seeds reach it by production edges, else test-only if any seed does by any edge, else dead. Both colors spread together, as bits."""
+    reached = _spread(edges.select("src", "dst", _bits("kind").alias("bits")), seeds.select("id", _bits("color").alias("bits")))
+    marks = reached.groupBy("id").agg(F.bit_or("bits").alias("bits"))
+    by = F.coalesce("bits", F.lit(0))
+    return nodes.select("id").join(marks, "id", "left").select("id", F.when(by.bitwiseAND(F.lit(PROD)) != 0, "alive").when(by != 0, "test-only").otherwise("dead").alias("reachability"))
 
 
 def witness_depths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -93,16 +76,10 @@ def witness_depths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> Data
 
 
 def witness_path(edges: DataFrame, seeds: DataFrame, target: str) -> list[str] | None:
-    """A shortest path from a seed to target, or None."""
-    reached = staged(closure(edges, seeds), "witness")
-    path, at = [], target
-    while at is not None:
-        row = reached.where(F.col("id") == at).first()
-        if row is None:
-            return None
-        path.append(at)
-        at = row["parent"]
-    return path[::-1]
+    """A shortest path from a seed to target, or None. Paths travel with the frontier, which stops at the target."""
+    every = F.lit(ANY).alias("bits")
+    row = _spread(edges.select("src", "dst", every), seeds.select("id", every), paths=True, until=target).where(F.col("id") == target).first()
+    return list(row["path"]) if row else None
 
 
 def inbound_refs(verdicts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -112,37 +89,49 @@ def inbound_refs(verdicts: DataFrame, edges: DataFrame) -> DataFrame:
     return refs.join(verdicts.select(F.col("id").alias("referrer"), F.col("reachability").alias("referrer_verdict")), "referrer", "left").select("id", "referrer", "referrer_verdict")
 
 
-def chase(links: DataFrame, declared: DataFrame, starts: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
-    """start, target: follow links(src, dst; of several the least dst) from each start until a declared(id) key; null for a cycle or a dead end."""
-    kind = starts.schema["id"].dataType.simpleString()
-    step = links.where("src IS NOT NULL").groupBy("src").agg(F.min("dst").alias("dst"))
-    if links.limit(in_one_task + 1).count() <= in_one_task:
-        table = step.select("src", "dst", F.lit(0).alias("part")).unionByName(declared.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(1).alias("part"))).unionByName(starts.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(2).alias("part")))
-
-        def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = pd.concat(list(frames), ignore_index=True)
-            parts = [rows[rows["part"] == k] for k in range(3)]
-            to = dict(zip(parts[0]["src"], parts[0]["dst"], strict=True))
-            known = set(parts[1]["src"])
-            ends: dict = {}
-            for start in parts[2]["src"]:
-                path, on, cur = [], set(), start
-                while cur not in ends and cur not in known and cur not in on and not pd.isna(cur):
-                    path.append(cur)
-                    on.add(cur)
-                    cur = to.get(cur)
-                end = ends.get(cur) if cur in ends else cur if cur in known else None
-                ends.update(dict.fromkeys(path, end))
-                ends.setdefault(start, end)
-            first = parts[2]["src"].tolist()
-            yield pd.DataFrame({"start": first, "target": pd.Series([ends[s] for s in first], dtype=object)})
-
-        return table.repartition(1).mapInPandas(follow, f"start {kind}, target {kind}")
-    # pointer doubling: after k rounds every key has taken 2^k steps, or stopped at a declared one
-    keys = step.join(declared.select(F.col("id").alias("src"), F.lit(True).alias("hit")), "src", "left")
-    jump = staged(keys.select("src", F.when(F.col("hit"), F.col("src")).otherwise(F.col("dst")).alias("dst")), "jump")
-    for _ in range(max(1, jump.count().bit_length())):
-        onward = jump.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        jump = staged(jump.join(onward, "dst", "left").select("src", F.coalesce("next", "dst").alias("dst")), "jump")
-    ends = starts.select(F.col("id").alias("start")).join(jump, F.col("start") == F.col("src"), "left").select("start", F.coalesce("dst", "start").alias("end"))
-    return ends.join(declared.select(F.col("id").alias("end")).distinct().withColumn("hit", F.lit(True)), "end", "left").select("start", F.when(F.col("hit"), F.col("end")).alias("target"))
+def chase(links: DataFrame, declared: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, target: follow links(src, dst; of several the least dst) from each start until a declared(id) key; null for a cycle or a dead end.
+
+    Pointer doubling: after k rounds a key has taken 2 ** k steps, or stopped. Every finite chain has a key that stops in the next round, so when no more stop, what is left runs in cycles.
+    """
+    step = links.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src").agg(F.min("dst").alias("dst"))
+    ends = declared.select(F.col("id").alias("src"), F.lit(True).alias("hit")).distinct()
+    first = step.join(ends, "src", "left").select("src", F.when(F.col("hit"), F.col("src")).otherwise(F.col("dst")).alias("dst"), F.coalesce("hit", F.lit(False)).alias("done"))
+    jump = staged(first, "jump")
+    left = None
+    while True:
+        now = jump.where("NOT done").count()
+        if not now or now == left:
+            break
+        left = now
+        onward = jump.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("done").alias("stops"))
+        went = jump.where("NOT done").join(onward, F.col("dst") == F.col("at"), "left").select("src", F.coalesce("next", "dst").alias("dst"), F.coalesce("stops", F.lit(True)).alias("done"))
+        before, jump = jump, staged(went.unionByName(jump.where("done")), "jump")
+        delete(before)
+    told = jump.where("done").select(F.col("src").alias("key"), F.col("dst").alias("last"))
+    cycling = jump.where("NOT done").select(F.col("src").alias("key"), F.lit(True).alias("cycles"))
+    out = starts.select(F.col("id").alias("start")).join(told, F.col("start") == F.col("key"), "left").drop("key").join(cycling, F.col("start") == F.col("key"), "left")
+    out = out.select("start", F.when(F.col("cycles").isNull(), F.coalesce("last", "start")).alias("end"))
+    return out.join(ends.select(F.col("src").alias("end"), "hit"), "end", "left").select("start", F.when(F.col("hit"), F.col("end")).alias("target"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the least node of each connected part of edges(a, b); nodes without edges don't appear. Staged.
+
+    Every round each node takes the least root among its neighbours' and then its root's root, so rounds grow with the logarithm of the longest chain; each round is written to the shared folder.
+    """
+    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    roots = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    while True:
+        near = both.join(roots, both.b == roots.node).groupBy("a").agg(F.min("root").alias("near"))
+        step = roots.join(near, roots.node == near.a).select("node", "root", F.least("root", "near").alias("next"))
+        up = step.select(F.col("node").alias("n2"), F.col("next").alias("up"))
+        step = step.join(up, F.col("next") == F.col("n2"), "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("up", "next")).alias("root"))
+        step = staged(step, "roots")
+        delete(roots)
+        roots = step
+        if roots.where("was <> root").isEmpty():
+            delete(both)
+            out = roots.select("node", "root")
+            out.stage_path = roots.stage_path
+            return out

@@ -1,13 +1,14 @@
-"""The query catalogue: each analytic over the surrogate relations of the benchmark tables, beside its SQL.
+"""The registry of queries, and the surrogate relations of the benchmark tables that they start from.
 
-Most are one SQL text for both engines, over shared views of the surrogates; the few places where dialects differ are given by Dialect. Graph and clone queries call the operators and have their own SQL.
+A query (metric.py, text.py, graph.py) calls the operators over these relations; its SQL says the same without them, for DuckDB. Surrogates are views in SQL, one text for both engines unless the dialects differ.
 
-Surrogates: suppliers S<k> and parts P<k> are symbols in files by nation and brand; returned bulk lines are production references S->P, small open lines P->S, accepted bulk lines test references; orders are code units of lines 1 to 4; lineitems are coverage hits with duplicate records (the last by ship date wins); documents and pages are source texts.
+Suppliers S<k>, parts P<k>, orders O<k> and customers C<k> are symbols; every lineitem and every order is a reference. Orders are code units; lineitems are their control nodes and coverage hits, with duplicate records (the last by ship date wins); documents and pages are source texts.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +25,22 @@ def _view(name: str, spark: str, duck: str | None = None) -> None:
 
 _LAST = "l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC"
 _view("hits", f"SELECT l_orderkey AS file, l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_quantity END AS hits FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LAST}) AS rn FROM lineitem) t WHERE rn = 1")
-_view("ratio", "SELECT o_orderkey AS file, o_custkey AS owner, sum(CASE WHEN hits > 0 THEN 1 ELSE 0 END) / nullif(CAST(count(line) AS DOUBLE), 0) AS coverage FROM orders LEFT JOIN hits ON file = o_orderkey AND line BETWEEN 1 AND 4 GROUP BY o_orderkey, o_custkey")
+_view("ratio", "SELECT o_orderkey AS file, o_custkey AS owner, sum(CASE WHEN hits > 0 THEN 1 ELSE 0 END) / nullif(CAST(count(line) AS DOUBLE), 0) AS coverage FROM orders LEFT JOIN hits ON file = o_orderkey GROUP BY o_orderkey, o_custkey")
 _view("size", "SELECT l_orderkey AS file, count(*) AS n FROM lineitem GROUP BY l_orderkey")
 _view("churn", "SELECT o_custkey AS owner, count(*) AS churn FROM orders GROUP BY o_custkey")
 _view(
     "hot",
-    "SELECT file, complexity, coverage, crap, churn, coalesce(crap, complexity) * coalesce(churn, 1) AS risk FROM (SELECT ratio.file, 1.0 + coalesce(n, 0) AS complexity, coverage, (1.0 + coalesce(n, 0)) * (1.0 + coalesce(n, 0)) * (1 - coverage) * (1 - coverage) * (1 - coverage) + 1.0 + coalesce(n, 0) AS crap, churn FROM ratio LEFT JOIN size ON ratio.file = size.file LEFT JOIN churn ON ratio.owner = churn.owner) t",
+    "SELECT file, owner, complexity, coverage, crap, churn, coalesce(crap, complexity) * coalesce(churn, 1) AS risk FROM (SELECT ratio.file, ratio.owner, CAST(1 + coalesce(n, 0) AS DOUBLE) AS complexity, coverage, CAST(1 + coalesce(n, 0) AS DOUBLE) * CAST(1 + coalesce(n, 0) AS DOUBLE) * ((1 - coverage) * (1 - coverage) * (1 - coverage)) + CAST(1 + coalesce(n, 0) AS DOUBLE) AS crap, churn FROM ratio LEFT JOIN size ON ratio.file = size.file LEFT JOIN churn ON ratio.owner = churn.owner) t",
 )
-_view("nodes", "SELECT concat('S', CAST(s_suppkey AS VARCHAR(20))) AS id, concat('nation:', CAST(s_nationkey AS VARCHAR(20))) AS file, s_suppkey AS line, s_acctbal > 0 AS exported, s_name AS name FROM supplier UNION ALL SELECT concat('P', CAST(p_partkey AS VARCHAR(20))), concat('brand:', p_brand), p_partkey, p_size % 2 = 0, p_name FROM part")
+_view(
+    "nodes",
+    "SELECT concat('S', CAST(s_suppkey AS VARCHAR(20))) AS id, concat('nation:', CAST(s_nationkey AS VARCHAR(20))) AS file, s_suppkey AS line, s_acctbal > 0 AS exported, s_name AS name FROM supplier UNION ALL SELECT concat('P', CAST(p_partkey AS VARCHAR(20))), concat('brand:', p_brand), p_partkey, p_size % 2 = 0, p_name FROM part UNION ALL SELECT concat('O', CAST(o_orderkey AS VARCHAR(20))), concat('customer:', CAST(o_custkey AS VARCHAR(20))), o_orderkey, o_totalprice > 250000, o_orderstatus FROM orders UNION ALL SELECT concat('C', CAST(c_custkey AS VARCHAR(20))), concat('segment:', c_mktsegment), c_custkey, c_acctbal > 5000, c_name FROM customer",
+)
+# Suppliers refer to parts that they sold in bulk (in tests, if accepted), parts to suppliers of small open lines; other lines lead from orders to suppliers (returned) and parts (open), and in tests from parts to orders (accepted); customers refer to their orders.
+_S, _P, _O = ("concat('S', CAST(l_suppkey AS VARCHAR(20)))", "concat('P', CAST(l_partkey AS VARCHAR(20)))", "concat('O', CAST(l_orderkey AS VARCHAR(20)))")
 _view(
     "edges",
-    "SELECT concat('S', CAST(l_suppkey AS VARCHAR(20))) AS src, concat('P', CAST(l_partkey AS VARCHAR(20))) AS dst, CASE WHEN l_returnflag = 'R' THEN 'prod' ELSE 'test' END AS kind FROM lineitem WHERE l_quantity >= 49 AND l_returnflag IN ('R', 'A') UNION ALL SELECT concat('P', CAST(l_partkey AS VARCHAR(20))), concat('S', CAST(l_suppkey AS VARCHAR(20))), 'prod' FROM lineitem WHERE l_quantity <= 2 AND l_returnflag = 'N'",
+    f"SELECT CASE WHEN l_returnflag = 'N' THEN CASE WHEN l_quantity <= 2 THEN {_P} ELSE {_O} END WHEN l_quantity >= 49 THEN {_S} WHEN l_returnflag = 'R' THEN {_O} ELSE {_P} END AS src, CASE WHEN l_returnflag = 'N' THEN CASE WHEN l_quantity <= 2 THEN {_S} ELSE {_P} END WHEN l_quantity >= 49 THEN {_P} WHEN l_returnflag = 'R' THEN {_S} ELSE {_O} END AS dst, CASE WHEN l_returnflag = 'A' THEN 'test' ELSE 'prod' END AS kind FROM lineitem UNION ALL SELECT concat('C', CAST(o_custkey AS VARCHAR(20))), concat('O', CAST(o_orderkey AS VARCHAR(20))), 'prod' FROM orders",
 )
 _view("seeds", "SELECT 'S1' AS id, 'prod' AS color UNION ALL SELECT 'S2', 'test'")
 _view("lines", "SELECT doc_id, lang, source, CAST(at + 1 AS BIGINT) AS pos, line FROM documents LATERAL VIEW posexplode(split(text, '\\n')) x AS at, line", "SELECT doc_id, lang, source, CAST(generate_subscripts(a, 1) AS BIGINT) AS pos, unnest(a) AS line FROM (SELECT *, string_split(text, chr(10)) AS a FROM documents) t")
@@ -51,15 +57,13 @@ _view(
 )
 _view("spans", "SELECT l_orderkey AS file, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(l_quantity AS INT) % 12 AS b FROM lineitem")
 _view("rated", "SELECT documents.doc_id, quality, toxic, n_chars < 500 AS said FROM documents JOIN labels ON labels.doc_id = documents.doc_id")
-_view("tainted", "SELECT DISTINCT concat('brand:Brand#', CAST(page_id % 25 AS VARCHAR(20))) AS file FROM pages WHERE regexp_like(html, 'spam|track[(]1[0-9][)]')")
+_view("tainted", "SELECT DISTINCT concat('customer:', CAST(page_id AS VARCHAR(20))) AS file FROM pages WHERE regexp_like(html, 'spam|track[(]1[0-9]*[)]')")
 
-_USES = {v: [w for w in VIEWS if w != v and __import__("re").search(rf"\b(FROM|JOIN) {w}\b", t[0])] for v, t in VIEWS.items()}
+_USES = {v: [w for w in VIEWS if w != v and re.search(rf"\b(FROM|JOIN) {w}\b", t[0])] for v, t in VIEWS.items()}
 
 
 def _needed(text: str) -> list[str]:
     """Views that a text uses, each after those that it uses itself."""
-    import re
-
     out: list[str] = []
 
     def add(v: str) -> None:
@@ -94,8 +98,6 @@ def read(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The text over the tables of sf_dir; the plan is fixed here, so later calls with another folder don't disturb it."""
-    import re
-
     full = _with(text, 0)
     for t in TABLES:
         if re.search(rf"\b{t}\b", full):
@@ -107,104 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def _both(name: str, text: str, duck: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text)
-    other = _duck(_with(text if duck is None else duck, 1))
-    SQL[name] = other
-
-
-def _built(name: str, run: Callable[[SparkSession, str], DataFrame], duck: str | None) -> None:
+def built(name: str, run: Callable[[SparkSession, str], DataFrame], duck: str | None) -> None:
+    """Register a query and, if there is one, its SQL."""
     QUERIES[name] = run
     if duck is not None:
         SQL[name] = _duck(_with(duck, 1, recursive=True))
-
-
-_both("hotspot_topn", "SELECT file AS o_orderkey, complexity, coverage, crap, CAST(churn AS BIGINT) AS churn, risk FROM hot ORDER BY risk DESC, file LIMIT 50")
-_both("coverage_ratio_range", "SELECT file AS o_orderkey, coverage FROM ratio")
-_both(
-    "coverage_status",
-    "SELECT o_orderkey, CASE WHEN coalesce(a.hits, b.hits) IS NULL THEN 'unavailable' WHEN coalesce(a.hits, b.hits) > 0 THEN 'hit' ELSE 'miss' END AS status, coalesce(a.hits, b.hits) AS hits FROM orders LEFT JOIN hits a ON a.file = o_orderkey AND a.line = 1 LEFT JOIN hits b ON b.file = o_orderkey AND b.line = 2",
-)
-_both(
-    "lcov_sessionize",
-    "WITH h AS (SELECT doc_id, pos, line, max(CASE WHEN length(line) < 60 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS header FROM lines), r AS (SELECT doc_id, header, pos, length(line) AS hits, row_number() OVER (PARTITION BY doc_id, header, length(line) % 7 ORDER BY pos DESC) AS rn, length(line) % 7 AS slot FROM h WHERE header IS NOT NULL AND pos > header) SELECT doc_id, CAST(header AS BIGINT) AS header, CAST(slot AS BIGINT) AS slot, CAST(hits AS BIGINT) AS hits FROM r WHERE rn = 1",
-)
-_both(
-    "xml_extract_merge",
-    "WITH x AS (SELECT page_id, explode(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT host, href, CAST(count(*) AS BIGINT) AS n FROM x JOIN paths ON paths.page_id = x.page_id GROUP BY host, href",
-    "WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT host, href, CAST(count(*) AS BIGINT) AS n FROM x JOIN paths ON paths.page_id = x.page_id GROUP BY host, href",
-)
-_both(
-    "suffix_path_join",
-    "WITH q AS (SELECT page_id, path FROM paths WHERE path <> ''), r AS (SELECT page_id AS ordinal, regexp_replace(path, '^[^/]+/', '') AS tail, path FROM paths WHERE path <> ''), c AS (SELECT q.page_id, r.ordinal, CASE WHEN q.path = r.path THEN 0 ELSE 1 END AS rank FROM q JOIN r ON q.path = r.path UNION ALL SELECT q.page_id, r.ordinal, 1 FROM q JOIN r ON regexp_replace(q.path, '^[^/]+/', '') = r.path WHERE q.path <> r.path UNION ALL SELECT q.page_id, r.ordinal, 1 FROM q JOIN r ON q.path = r.tail WHERE q.path <> r.path), m AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank, ordinal) AS rn FROM c) SELECT page_id, ordinal, CAST(rank AS BIGINT) AS rank FROM m WHERE rn = 1",
-)
-_both(
-    "innermost_interval",
-    "WITH u AS (SELECT 0 AS idx, 1 AS a, 7 AS b UNION ALL SELECT 1, 2, 4 UNION ALL SELECT 2, 5, 6), m AS (SELECT l_orderkey, l_linenumber, idx, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice ORDER BY b - a, idx) AS rn FROM lineitem LEFT JOIN u ON l_linenumber BETWEEN a AND b) SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CAST(coalesce(idx, -1) AS BIGINT) AS unit, CAST(count(*) AS BIGINT) AS n FROM m WHERE rn = 1 GROUP BY l_orderkey, l_linenumber, idx",
-)
-_both("churn_count", "SELECT user_id, CAST(count(*) AS BIGINT) AS churn FROM events GROUP BY user_id")
-_both("unit_metrics", "SELECT unit, nesting, cognitive, cyclomatic FROM metrics")
-_both(
-    "complexity_unpivot",
-    "WITH s AS (SELECT unit, nesting, cognitive, cyclomatic, cognitive * 4 AS loc, cyclomatic - 1 AS params FROM metrics), f AS (SELECT unit, 'deep-nesting' AS detector, nesting AS value, 3 AS threshold FROM s WHERE nesting > 3 UNION ALL SELECT unit, 'cyclomatic', cyclomatic, 10 FROM s WHERE cyclomatic > 10 UNION ALL SELECT unit, 'cognitive', cognitive, 15 FROM s WHERE cognitive > 15 UNION ALL SELECT unit, 'god-function', CASE WHEN loc > 50 THEN loc ELSE params END, CASE WHEN loc > 50 THEN 50 ELSE 5 END FROM s WHERE loc > 50 OR params > 5) SELECT unit, detector, CAST(value AS BIGINT) AS value, CAST(threshold AS BIGINT) AS threshold, value / CAST(threshold AS DOUBLE) AS excess FROM f",
-)
-_both(
-    "interval_merge",
-    "WITH r AS (SELECT file, a, b, max(b) OVER (PARTITION BY file ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans), p AS (SELECT file, a, b, sum(CASE WHEN a <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM r) SELECT file, CAST(min(a) AS BIGINT) AS start_line, CAST(max(b) AS BIGINT) AS end_line FROM p GROUP BY file, part",
-)
-_both("interval_overlap_check", "WITH r AS (SELECT file, a, max(b) OVER (PARTITION BY file ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans) SELECT file, CAST(count(*) AS BIGINT) AS overlaps FROM r WHERE reach >= a GROUP BY file")
-_both("line_splice", "SELECT doc_id, array_join(concat(slice(l, 1, 1), array('<replaced>'), slice(l, 4, greatest(size(l) - 3, 0))), '\\n') AS text FROM (SELECT doc_id, split(text, '\\n') AS l FROM documents) t WHERE size(l) >= 3", "SELECT doc_id, array_to_string(list_concat(l[1:1], ['<replaced>'], l[4:]), chr(10)) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) t WHERE len(l) >= 3")
-_both("snippet_range", "WITH c AS (SELECT doc_id, max(pos) AS n FROM lines GROUP BY doc_id) SELECT lines.doc_id, pos, concat(CAST(pos AS VARCHAR(20)), ': ', line) AS numbered FROM lines JOIN c ON c.doc_id = lines.doc_id WHERE pos BETWEEN 2 AND least(n, 6) AND pos - 2 < 200")
-_both("snippet_window", "WITH d AS (SELECT doc_id, min(pos) AS decl FROM lines WHERE length(line) > 80 GROUP BY doc_id) SELECT lines.doc_id, pos, line FROM lines JOIN d ON d.doc_id = lines.doc_id WHERE pos BETWEEN decl - 3 AND least(decl + 3, decl + 200)")
-_both("taint_scan", "SELECT doc_id, lang, (regexp_like(text, '(^|[^0-9A-Za-z_])(token|eval|exec)([^0-9A-Za-z_]|$)') OR CASE WHEN lang = 'en' THEN regexp_like(text, '[A-Z]{4,}!!') ELSE regexp_like(text, '[0-9]{3}[.][0-9]{1,3}[.]') END) AS tainted FROM documents UNION ALL SELECT page_id, 'page', regexp_like(html, 'track[(]1|onclick=|<iframe') FROM pages")
-_both("exported_predicate", "SELECT p_partkey, (substring(p_name, 1, 1) <> 's' OR p_brand IN ('Brand#1', 'Brand#2') OR (p_name LIKE 'blue%' AND p_type LIKE '%Y') OR p_name LIKE 'small ring%') AS exported FROM part")
-_both("edge_assembly", "WITH k AS (SELECT 'prod' AS kind UNION ALL SELECT 'test') SELECT src, dst, kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT src, dst, kind FROM edges UNION ALL SELECT id, file, kind FROM nodes CROSS JOIN k) t GROUP BY src, dst, kind")
-_both("seed_build", "WITH e AS (SELECT DISTINCT concat('nation:', CAST(n_nationkey AS VARCHAR(20))) AS file FROM nation WHERE n_regionkey = 1) SELECT id, 'prod' AS color FROM nodes WHERE exported AND file IN (SELECT file FROM e) UNION SELECT file, 'prod' FROM e UNION SELECT id, color FROM seeds")
-_both(
-    "symbol_lookup",
-    "WITH q AS (SELECT 'S1' AS query UNION ALL SELECT 'brand:Brand#2:red widget' UNION ALL SELECT 'small ring' UNION ALL SELECT 'nothing'), m AS (SELECT query, id, CASE WHEN id = query THEN 1 WHEN concat(file, ':', name) = query THEN 2 WHEN name = query THEN 3 END AS level FROM q CROSS JOIN nodes WHERE id = query OR concat(file, ':', name) = query OR name = query), b AS (SELECT query, min(level) AS best FROM m GROUP BY query) SELECT q.query, CAST(count(m.id) AS BIGINT) AS matches, CASE WHEN count(m.id) = 0 THEN 'not-found' WHEN count(m.id) = 1 THEN 'found' ELSE 'ambiguous' END AS status, min(m.id) AS first_id FROM q LEFT JOIN b ON b.query = q.query LEFT JOIN m ON m.query = q.query AND m.level = b.best GROUP BY q.query",
-)
-_both("baseline_antijoin", "SELECT p_partkey, p_name FROM part LEFT ANTI JOIN (SELECT p_partkey AS k FROM part WHERE p_size < 20) b ON k = p_partkey", "SELECT p_partkey, p_name FROM part ANTI JOIN (SELECT p_partkey AS k FROM part WHERE p_size < 20) b ON k = p_partkey")
-_both("ignore_antijoin", "WITH m AS (SELECT doc_id, pos, line, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS above FROM lines) SELECT doc_id, pos FROM m WHERE NOT regexp_like(line, '[iI]gnore|[Ll]icense') AND NOT coalesce(regexp_like(above, '[iI]gnore|[Ll]icense'), false)")
-_both("token_normalize", "SELECT doc_id, pos, CASE WHEN regexp_like(word, '^[0-9]+$') THEN 'LIT' WHEN regexp_like(word, '^[A-Za-z_][A-Za-z_0-9]*$') THEN 'ID' ELSE regexp_replace(regexp_replace(word, '[0-9]+', 'LIT'), '[A-Za-z_]+', 'ID') END AS norm FROM words", "SELECT doc_id, pos, CASE WHEN regexp_like(word, '^[0-9]+$') THEN 'LIT' WHEN regexp_like(word, '^[A-Za-z_][A-Za-z_0-9]*$') THEN 'ID' ELSE regexp_replace(regexp_replace(word, '[0-9]+', 'LIT', 'g'), '[A-Za-z_]+', 'ID', 'g') END AS norm FROM words")
-_GRAM = 20
-_both(
-    "kgram_groups",
-    f"WITH a AS (SELECT filter(split(text, '[ \\t\\n\\r]+'), x -> x <> '') AS w FROM documents) SELECT gram, CAST(count(*) AS BIGINT) AS n FROM (SELECT explode(transform(sequence(1, size(w) - {_GRAM - 1}), i -> md5(array_join(slice(w, i, {_GRAM}), ' ')))) AS gram FROM a WHERE size(w) >= {_GRAM}) t GROUP BY gram HAVING count(*) > 1",
-    f"SELECT md5(gram) AS gram, CAST(count(*) AS BIGINT) AS n FROM (SELECT string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {_GRAM - 1} FOLLOWING) AS gram, count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {_GRAM - 1} FOLLOWING) AS k FROM words) t WHERE k = {_GRAM} GROUP BY gram HAVING count(*) > 1",
-)
-_LW_D = "lw AS (SELECT doc_id, pos AS unit, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS idx, unnest(w) AS word FROM (SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[ \\t\\r]+'), lambda x: x <> '') AS w FROM lines) t)"
-_CAND = "SELECT md5(gram) AS gram, CAST(count(*) AS BIGINT) AS n, CAST(min(doc_id) AS BIGINT) AS first_doc FROM (SELECT doc_id, {agg} AS gram, count(*) OVER w AS k FROM lw WINDOW w AS (PARTITION BY doc_id, unit ORDER BY idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) t WHERE k = 10 GROUP BY gram HAVING count(*) > 1"
-_both(
-    "clone_candidates",
-    "WITH a AS (SELECT doc_id, filter(split(line, '[ \\t\\r]+'), x -> x <> '') AS w FROM lines) SELECT gram, CAST(count(*) AS BIGINT) AS n, CAST(min(doc_id) AS BIGINT) AS first_doc FROM (SELECT doc_id, explode(transform(sequence(1, size(w) - 9), i -> md5(array_join(slice(w, i, 10), ' ')))) AS gram FROM a WHERE size(w) >= 10) t GROUP BY gram HAVING count(*) > 1",
-    f"WITH {_LW_D} " + _CAND.format(agg="string_agg(word, ' ') OVER w"),
-)
-_CONF = "WITH c AS (SELECT CAST(sum(CASE WHEN quality = 0 AND said THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN quality = 1 AND said THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN quality = 0 AND NOT said THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM rated), r AS (SELECT tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / nullif(tp + fp, 0) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / nullif(tp + fn, 0) END AS r FROM c) SELECT tp, fp, fn, CAST(p AS DOUBLE) AS prec, CAST(r AS DOUBLE) AS rec, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / nullif(p + r, 0) END AS f1 FROM r"
-_both("confusion_matrix", _CONF)
-_both("run_variance", "WITH b AS (SELECT doc_id % 3 AS run, avg(CAST(quality AS DOUBLE)) AS rate, CAST(sum(toxic) AS DOUBLE) AS n FROM labels GROUP BY doc_id % 3) SELECT min(rate) AS least, avg(rate) AS mean, max(rate) AS most, CAST(floor(avg(n) + 0.5) AS BIGINT) AS toxic FROM b")
-_both("pass_rate", "SELECT lang, coalesce(avg(CAST(CASE WHEN quality = 1 THEN 1 ELSE 0 END AS DOUBLE)), CAST(1 AS DOUBLE)) AS rate, CAST(count(quality) AS BIGINT) AS n FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id GROUP BY lang")
-_both("first_seen_groups", "SELECT source, lang, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_seen FROM documents WHERE source IS NOT NULL GROUP BY source, lang")
-_both("resolution_rate", "SELECT coalesce(CAST(sum(CASE WHEN o_orderkey IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0), 0.0) AS rate, CAST(count(*) AS BIGINT) AS candidates FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o ON o_orderkey = l_orderkey WHERE l_returnflag <> 'A'")
-_MOD = "mods AS (SELECT page_id, host, path, replace(regexp_replace(regexp_replace(path, '[.]html$', ''), '/$', ''), '/', '.') AS module FROM paths)"
-_both("module_map", f"WITH {_MOD}, r AS (SELECT 'en/' AS root UNION ALL SELECT 'en/1' UNION ALL SELECT 'fr/'), m AS (SELECT page_id, module, path, root, row_number() OVER (PARTITION BY page_id ORDER BY length(root) DESC) AS rn FROM mods LEFT JOIN r ON substring(path, 1, length(root)) = root) SELECT page_id, CASE WHEN root IS NULL THEN module ELSE substring(module, length(root) + 1, 1000) END AS module, root FROM m WHERE rn = 1")
-_both("import_resolve", f"WITH {_MOD}, t AS (SELECT module, min(page_id) AS target FROM mods GROUP BY module), q AS (SELECT page_id, module AS pkg, concat(module, '.index') AS sub, concat(regexp_replace(module, '[.][^.]*$', ''), '.', CAST(page_id + 100 AS VARCHAR(20))) AS rel FROM mods) SELECT q.page_id, coalesce(a.target, b.target) AS target, coalesce(c.target, -1) AS relative_target FROM q LEFT JOIN t a ON a.module = sub LEFT JOIN t b ON b.module = pkg LEFT JOIN t c ON c.module = rel")
-_both("entry_spec_resolve", f"WITH {_MOD}, t AS (SELECT module, min(page_id) AS target FROM mods GROUP BY module), s AS (SELECT page_id, concat(module, ':f', CAST(page_id % 5 AS VARCHAR(20))) AS spec FROM mods), d AS (SELECT page_id AS file, concat('f', CAST(page_id % 3 AS VARCHAR(20))) AS name FROM pages) SELECT s.page_id, t.target AS file, d.name AS symbol FROM s LEFT JOIN t ON t.module = regexp_replace(spec, ':.*$', '') LEFT JOIN d ON d.file = t.target AND d.name = regexp_replace(spec, '^.*:', '')")
-_both("dist_to_src", "WITH c AS (SELECT page_id, path, 0 AS pos, regexp_replace(path, '^en/', 'fr/') AS candidate FROM paths UNION ALL SELECT page_id, path, 1, regexp_replace(path, '[.]html$', '') FROM paths UNION ALL SELECT page_id, path, 2, concat(path, '.html') FROM paths), e AS (SELECT DISTINCT path AS existing FROM paths), m AS (SELECT page_id, candidate, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM c JOIN e ON candidate = existing WHERE candidate <> path) SELECT page_id, candidate, CAST(pos AS BIGINT) AS pos FROM m WHERE rn = 1")
-_both(
-    "entry_priority_dedup",
-    "WITH e AS (SELECT p_partkey, 'manifest' AS source, 1 AS priority FROM part WHERE p_size > 40 UNION ALL SELECT p_partkey, 'mapped', 2 FROM part WHERE p_name LIKE 'red%' UNION ALL SELECT p_partkey, 'convention', 3 FROM part WHERE p_brand IN ('Brand#1', 'Brand#7') UNION ALL SELECT p_partkey, 'scripts', 4 FROM part WHERE p_type = 'ECONOMY'), f AS (SELECT p_partkey, source, row_number() OVER (PARTITION BY p_partkey ORDER BY priority) AS rn FROM e) SELECT p_partkey, source, (SELECT count(*) FROM e) = 0 AS collapsed FROM f WHERE rn = 1",
-)
-_both("token_exists_semi", "SELECT word, CAST(count(*) AS BIGINT) AS n FROM words LEFT SEMI JOIN (SELECT explode(split(text, '[ \\n]+')) AS known FROM benchmark) b ON known = word GROUP BY word", "SELECT word, CAST(count(*) AS BIGINT) AS n FROM words SEMI JOIN (SELECT unnest(regexp_split_to_array(text, '[ \\n]+')) AS known FROM benchmark) b ON known = word GROUP BY word")
-_both("mock_selfjoin", "SELECT a.page_id, min(b.page_id) AS sibling FROM paths a JOIN paths b ON regexp_replace(a.path, '/[^/]*$', '') = regexp_replace(b.path, '[.]html$', '') OR a.path = concat(b.path, '.html') GROUP BY a.page_id".replace("regexp_replace(a.path, '/[^/]*$', '') = regexp_replace(b.path, '[.]html$', '') OR a.path = concat(b.path, '.html')", "regexp_replace(a.path, '[.]html$', '') = b.path AND a.path <> b.path"))
-_both("denylist_join", "WITH d AS (SELECT DISTINCT p_brand AS brand, p_type AS kind FROM part WHERE p_size = 7) SELECT p_partkey, CASE WHEN brand IS NOT NULL THEN 'effectful' WHEN p_name LIKE '%widget' THEN 'unknown' ELSE 'pure' END AS effect FROM part LEFT JOIN d ON brand = p_brand AND kind = p_type")
-_both("json_leaf_paths", "SELECT event_id, 'k' AS path, get_json_object(props, '$.k') AS leaf FROM events WHERE get_json_object(props, '$.k') IS NOT NULL", "SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS leaf FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
-_both("nested_flatten", "WITH n AS (SELECT user_id, sort_array(collect_list(struct(event_id, event_type))) AS items FROM events GROUP BY user_id) SELECT user_id, CAST(at + 1 AS BIGINT) AS at, item.event_id AS event_id, item.event_type AS event_type FROM n LATERAL VIEW posexplode(items) x AS at, item", "WITH n AS (SELECT user_id, list({'event_id': event_id, 'event_type': event_type} ORDER BY event_id) AS items FROM events GROUP BY user_id) SELECT user_id, CAST(generate_subscripts(items, 1) AS BIGINT) AS at, unnest(items).event_id AS event_id, unnest(items).event_type AS event_type FROM n")
-_both("ini_section_scan", "WITH h AS (SELECT doc_id, pos, line, max(CASE WHEN regexp_like(line, '^[^ ]+ [^ ]+[.]$') THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM lines) SELECT doc_id, pos, CAST(section AS BIGINT) AS section FROM h WHERE section IS NOT NULL AND pos > section AND length(line) > 0")
-_both("discover_filter", "SELECT page_id, path FROM paths WHERE regexp_like(path, '^(en|fr)/.*') AND NOT regexp_like(path, '.*[.]html$') AND NOT regexp_like(path, '(^|/)(node_modules|dist)(/|$)')")
-_both("content_hash", "SELECT doc_id, sha2(text, 256) AS hash FROM documents", "SELECT doc_id, sha256(text) AS hash FROM documents")
-_SNAP = "WITH a AS (SELECT doc_id, {h} AS h FROM documents WHERE lang <> 'es'), b AS (SELECT doc_id, {g} AS h FROM documents WHERE source <> 'src3'), s AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS state FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id) SELECT doc_id, state FROM s WHERE state <> 'same'"
-_both("snapshot_diff", _SNAP.format(h="sha2(text, 256)", g="sha2(CASE WHEN lang = 'fr' THEN concat(text, ' ') ELSE text END, 256)"), _SNAP.format(h="sha256(text)", g="sha256(CASE WHEN lang = 'fr' THEN concat(text, ' ') ELSE text END)"))
-_both("upsert_by_id", "WITH fresh AS (SELECT s_suppkey, concat(s_name, ' new') AS s_name FROM supplier WHERE s_acctbal < 0) SELECT s_suppkey, s_name FROM fresh UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM fresh)")
-_both("multiset_equal", "WITH a AS (SELECT l_suppkey AS k, l_linenumber AS line, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey, l_linenumber), b AS (SELECT l_suppkey AS k, l_linenumber AS line, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey, l_linenumber) SELECT coalesce(a.k, b.k) AS suppkey, sum(CASE WHEN coalesce(a.n, 0) = coalesce(b.n, 0) THEN 0 ELSE 1 END) = 0 AS equal FROM a FULL OUTER JOIN b ON a.k = b.k AND a.line = b.line GROUP BY coalesce(a.k, b.k)")
-_both("verdict_validate", "SELECT event_id, CASE WHEN CAST(get_json_object(props, '$.k') AS INT) % 4 = 0 THEN 'likely-dead' WHEN CAST(get_json_object(props, '$.k') AS INT) % 4 = 1 THEN 'likely-alive' ELSE 'unsure' END AS verdict FROM events UNION ALL SELECT conv_id * 1000 + turn, CASE WHEN role IN ('user', 'assistant') THEN 'unsure' ELSE 'likely-dead' END FROM conversations", "SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 4 = 0 THEN 'likely-dead' WHEN CAST(json_extract_string(props, '$.k') AS INT) % 4 = 1 THEN 'likely-alive' ELSE 'unsure' END AS verdict FROM events UNION ALL SELECT conv_id * 1000 + turn, CASE WHEN role IN ('user', 'assistant') THEN 'unsure' ELSE 'likely-dead' END FROM conversations")

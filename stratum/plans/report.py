@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RULES = {"dead-code": "Symbol without production references", "test-only": "Symbol that only tests reach", "deep-nesting": "Deep nesting", "cyclomatic-complexity": "High cyclomatic complexity", "cognitive-complexity": "High cognitive complexity", "god-function": "Very long function or one of many parameters", "hotspot": "Complex and often changed", "duplication": "Repeated code"}
+RULES = {"dead-code": "Symbol without production references", "deep-nesting": "Deep nesting", "cyclomatic-complexity": "High cyclomatic complexity", "cognitive-complexity": "High cognitive complexity", "god-function": "Very long function or one of many parameters", "hotspot": "Complex and often changed", "duplication": "Repeated code"}
 
 
 def json_document(sections: dict[str, DataFrame]) -> DataFrame:
@@ -20,10 +20,17 @@ def json_document(sections: dict[str, DataFrame]) -> DataFrame:
 
 
 def sarif(rows: DataFrame, tool: str, version: str) -> str:
-    """A SARIF 2.1.0 document of result rows (rule, level, uri, line, message). Results are streamed to the driver partition by partition."""
+    """A SARIF 2.1.0 document of result rows (rule, level, uri, line, message, related). Results are streamed to the driver partition by partition."""
+
+    def place(uri: str, line: int) -> dict:
+        return {"physicalLocation": {"artifactLocation": {"uri": uri}, "region": {"startLine": max(1, line), "startColumn": 1}}}
+
     results = []
     for r in rows.orderBy("uri", "line", "rule", "message").toLocalIterator():
-        results.append({"ruleId": r["rule"], "level": r["level"], "message": {"text": r["message"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["uri"]}, "region": {"startLine": max(1, r["line"])}}}]})
+        result = {"ruleId": r["rule"], "level": r["level"], "message": {"text": r["message"]}, "locations": [place(r["uri"], r["line"])]}
+        if r["related"]:
+            result["relatedLocations"] = [place(x["uri"], x["line"]) for x in r["related"]]
+        results.append(result)
     rules = [{"id": k, "shortDescription": {"text": v}} for k, v in RULES.items()]
     return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool, "version": version, "rules": rules}}, "results": results}]})
 
@@ -64,7 +71,40 @@ def complexity_text(rows: list) -> str:
 
 
 def duplication_text(rows: list) -> str:
-    return "\n".join(f"{r['tokens']} tokens: " + ", ".join(f"{m['file']}:{m['start']}-{m['stop']}" for m in r["members"]) for r in rows)
+    """One line a group; touching ranges of a file as one."""
+    out = []
+    for r in rows:
+        spans: dict[str, list[list[int]]] = {}
+        for m in sorted(r["members"], key=lambda m: m["start_line"]):
+            of = spans.setdefault(m["file"], [])
+            if of and m["start_line"] <= of[-1][1] + 1:
+                of[-1][1] = max(of[-1][1], m["end_line"])
+            else:
+                of.append([m["start_line"], m["end_line"]])
+        order = dict.fromkeys(m["file"] for m in r["members"])
+        out.append(f"{r['tokens']} tokens: " + ", ".join(f"{f}:{a}-{b}" for f in order for a, b in spans[f]))
+    return "\n".join(out)
+
+
+def triage_order(triaged: DataFrame) -> DataFrame:
+    """Likely dead first, then unsure, then likely alive; then file and line."""
+    rank = F.when(F.col("verdict") == "likely-dead", 0).when(F.col("verdict") == "unsure", 1).otherwise(2)
+    return triaged.orderBy(rank, "file", "line", "id")
+
+
+def triage_text(rows: list) -> str:
+    counts = {v: sum(r["verdict"] == v for r in rows) for v in ("likely-dead", "unsure", "likely-alive")}
+    head = ", ".join(f"{n} {v}" for v, n in counts.items() if n)
+    return "\n".join([f"{len(rows)} triaged ({head})" if rows else "Nothing triaged.", *(f"  {r['verdict']} {r['name']} {r['file']}:{r['line']} {r['reasoning']}" for r in rows)])
+
+
+def explained_text(told: dict) -> str:
+    """Of explain's result."""
+    if told["status"] != "resolved":
+        return "\n".join([f"{told['query']}: {told['status']}", *(f"  {c}" for c in told["candidates"])])
+    lines = [f"{told['id']} is {told['reachability']}" + (", with dynamic access in its file" if told["tainted"] else "")]
+    lines += [f"  -> {step}" for step in told["witness"] or []]
+    return "\n".join(lines + [f"  <- {who} ({verdict or 'module level'})" for who, verdict in told["inbound"]])
 
 
 def baseline_text(keys: DataFrame) -> str:

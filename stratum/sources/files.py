@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.globs import matches_any
+from ..functions.globs import glob_regex, matches_any
 
 SKIPPED = ["node_modules", ".git", "dist", "out", "coverage", ".next", "__pycache__", ".venv", "venv"]
 DECLARATIONS = r"\.(d\.ts|d\.mts|d\.cts|pyi)$"
@@ -36,6 +36,33 @@ def _filesystem(target: str):
     return fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), str(Path(target).resolve()))
 
 
+def read_text(target: str, name: str) -> str | None:
+    """A small file of the tree, such as a manifest; None if it isn't there."""
+    system, root = _filesystem(target)
+    try:
+        with system.open_input_stream(f"{root.rstrip('/')}/{name}") as stream:
+            return stream.read().decode("utf-8", "replace")
+    except (FileNotFoundError, OSError):
+        return None
+
+
+def read_json(target: str, name: str) -> dict:
+    """The same as JSON; empty if it isn't there or isn't an object."""
+    try:
+        value = json.loads(read_text(target, name) or "{}")
+    except ValueError:
+        return {}
+    return value if isinstance(value, dict) else {}
+
+
+def root_names(target: str) -> list[str]:
+    """Names in the tree's own folder."""
+    from pyarrow import fs
+
+    system, root = _filesystem(target)
+    return sorted(f.base_name for f in system.get_file_info(fs.FileSelector(root)))
+
+
 def listed(target: str, include: list[str]) -> list[str]:
     """Paths of all files below target, relative to it, skipped folders left out on the way. Spark's own listing hides names that begin with an underscore, which Python packages are made of."""
     from pyarrow import fs
@@ -116,12 +143,29 @@ def parse_cobertura(text: str) -> list[tuple[str, str, str | None, int, int]]:
 COVERAGE = "file string, kind string, name string, line int, hits long, priority int, ordinal int"
 
 
+def existing(target: str, names: list[str]) -> list[str]:
+    """Those of the names, each a path of its own or one below target, that are there, as paths."""
+    from pyarrow import fs
+
+    out = []
+    for name in names:
+        path = name if "://" in name or name.startswith("/") else f"{target.rstrip('/')}/{name}"
+        system, where = _filesystem(path)
+        if system.get_file_info(where).type == fs.FileType.File:
+            out.append(path)
+    return out
+
+
 def coverage_records(spark: SparkSession, reports: list[str]) -> DataFrame:
     """Records of all reports that exist; of both formats the XML one has the say over a file."""
     there = [r for r in reports if "://" in r or Path(r).exists()]
     if not there:
         return spark.createDataFrame([], COVERAGE)
-    whole = spark.read.text(there, wholetext=True)
+    return parsed_reports(spark.read.text(there, wholetext=True))
+
+
+def parsed_reports(whole: DataFrame) -> DataFrame:
+    """Records of reports(value), whole texts of either format; of both formats the XML one has the say over a file."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -131,21 +175,28 @@ def coverage_records(spark: SparkSession, reports: list[str]) -> DataFrame:
                 rows += [(*r, int(xml), i) for i, r in enumerate(parse_cobertura(text) if xml else parse_lcov(text))]
             yield pd.DataFrame(rows, columns=["file", "kind", "name", "line", "hits", "priority", "ordinal"])
 
-    from pyspark.sql import Window
+    rows = whole.select("value").mapInPandas(parse, COVERAGE)
+    best = rows.groupBy(F.col("file").alias("of")).agg(F.max("priority").alias("best"))
+    return rows.join(best, (F.col("file") == F.col("of")) & (F.col("priority") == F.col("best"))).select(*rows.columns)
+
+
+def churn(changes: DataFrame) -> DataFrame:
+    """file, churn: how often each file is among changes(file, ...)."""
+    return changes.groupBy("file").agg(F.count("*").alias("churn"))
 
-    rows = whole.mapInPandas(parse, COVERAGE)
-    best = F.max("priority").over(Window.partitionBy("file"))
-    return rows.withColumn("best", best).where("priority = best").drop("best")
 
+def git_churn(spark: SparkSession, target: str, timeout: float | None = None) -> DataFrame | None:
+    """file (relative to target), churn; None where there is no history. A history that takes longer than a given timeout is an error, not an absent one.
 
-def git_churn(spark: SparkSession, repo: str, timeout: float = 15) -> DataFrame | None:
-    """file (from the repository's root), churn; None where there is no history or it takes too long."""
+    Git names files from the repository's root; those outside target are left out and the others named from there.
+    """
     try:
-        log = subprocess.run(["git", "-C", repo, "log", "--format=", "--name-only", "HEAD"], capture_output=True, text=True, timeout=timeout, check=True).stdout
-    except (OSError, subprocess.SubprocessError):
+        prefix = subprocess.run(["git", "-C", target, "rev-parse", "--show-prefix"], capture_output=True, text=True, check=True).stdout.strip()
+        log = subprocess.run(["git", "-C", target, "-c", "core.quotePath=false", "log", "--format=", "--name-only", "HEAD", "--", "."], capture_output=True, text=True, timeout=timeout, check=True).stdout
+    except (OSError, subprocess.CalledProcessError):
         return None
-    rows = [(x,) for x in log.splitlines() if x]
-    return spark.createDataFrame(rows, "file string").groupBy("file").agg(F.count("*").alias("churn"))
+    rows = [(x[len(prefix) :],) for x in log.splitlines() if x.startswith(prefix) and x]
+    return churn(spark.createDataFrame(rows, "file string"))
 
 
 def leaf_paths(value: object) -> list[str]:
@@ -161,53 +212,102 @@ def manifest_paths(manifest: dict) -> list[str]:
     return [p for k in ("main", "module", "bin", "exports") for p in leaf_paths(manifest.get(k))]
 
 
+def _rows(df: DataFrame, key: str, text: str, schema: str, told) -> DataFrame:
+    """Rows that told(text) gives for each key."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, *r) for k, t in zip(f[key], f[text], strict=True) for r in told(t or "")]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.select(key, text).mapInPandas(run, schema)
+
+
+def manifest_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, ordinal, path: the files that each manifest, a JSON text, names; one that isn't JSON names none."""
+
+    def told(t: str) -> list[tuple]:
+        try:
+            value = json.loads(t)
+        except ValueError:
+            return []
+        return list(enumerate(manifest_paths(value))) if isinstance(value, dict) else []
+
+    return _rows(df, key, text, f"{key} {df.schema[key].dataType.simpleString()}, ordinal long, path string", told)
+
+
+def spec_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, spec: the entries that each settings text declares."""
+    return _rows(df, key, text, f"{key} {df.schema[key].dataType.simpleString()}, spec string", lambda t: [(s,) for s in entry_specs(t)])
+
+
 def script_paths(manifest: dict) -> list[str]:
     """Files that scripts mention."""
-    words = [w.strip("'\"") for s in (manifest.get("scripts") or {}).values() if isinstance(s, str) for w in s.split()]
-    return [w.removeprefix("./") for w in words if re.search(r"\.(?:[cm]?[jt]sx?|py)$", w)]
+    scripts = manifest.get("scripts")
+    words = [re.sub(r"^['\"]|['\"]$", "", w) for s in (scripts.values() if isinstance(scripts, dict) else []) if isinstance(s, str) for w in s.split()]
+    return [w.removeprefix("./") for w in words if re.search(r"\.[cm]?[jt]sx?$", w)]
+
+
+_SWAPPED = {".js": (".ts", ".tsx"), ".jsx": (".tsx", ".ts"), ".mjs": (".mts",), ".cjs": (".cts",)}
+
+
+def _trimmed(folder: str) -> str:
+    return re.sub(r"/+$", "", re.sub(r"^\./?", "", folder))
 
 
 def source_candidates(path: str, out_dir: str | None = None, root_dir: str | None = None) -> list[str]:
     """Sources that a built path may come from, in order of preference."""
-    stem = re.sub(r"\.(?:[cm]?js|jsx|d\.[cm]?ts)$", "", path)
     bases = []
-    if out_dir:
-        o = out_dir.strip("./").rstrip("/")
-        if stem.startswith(o + "/"):
-            bases.append("/".join(x for x in [(root_dir or "").strip("./").rstrip("/"), stem[len(o) + 1 :]] if x))
-    swapped = re.sub(r"^(?:dist|build|out)/", "src/", stem)
-    if swapped != stem:
-        bases.append(swapped)
-    bases.append(stem)
-    return [b + e for b in dict.fromkeys(bases) for e in (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx")]
+    if out_dir is not None:
+        o = _trimmed(out_dir)
+        if not o or path.startswith(o + "/"):
+            bases.append("/".join(x for x in (_trimmed(root_dir or ""), path[len(o) + 1 :] if o else path) if x))
+    if swapped := re.match(r"(?:dist|build|out)/(.+)", path):
+        bases.append("src/" + swapped[1])
+    out = []
+    for base in bases:
+        stem, dot, ext = base.rpartition(".")
+        stem, ext = (stem, dot + ext) if dot else (base, "")
+        out += [stem + e for e in (*_SWAPPED.get(ext, ()), ".ts", ".tsx")]
+    return list(dict.fromkeys(out))
+
+
+def tsconfig_text(own: str | None, other) -> dict[str, str | None]:
+    """outDir and rootDir of a tsconfig text, or of the one it extends (one level), read by other(name); what isn't strict JSON says nothing."""
+
+    def parsed(text: str | None) -> dict:
+        try:
+            value = json.loads(text or "{}")
+        except ValueError:
+            return {}
+        return value if isinstance(value, dict) else {}
+
+    first = parsed(own)
+    base = first.get("extends")
+    second = parsed(other(base.removeprefix("./"))) if isinstance(base, str) else {}
+    return {k: (first.get("compilerOptions") or {}).get(k, (second.get("compilerOptions") or {}).get(k)) for k in ("outDir", "rootDir")}
 
 
 def tsconfig(path: str | Path) -> dict[str, str | None]:
-    """outDir and rootDir, of the file itself or the one it extends (one level)."""
+    """The same of a file."""
     p = Path(path)
-    if not p.exists():
-        return {"outDir": None, "rootDir": None}
-    own = json.loads(p.read_text())
-    options = own.get("compilerOptions", {})
-    base = {}
-    if isinstance(own.get("extends"), str):
-        q = p.parent / own["extends"]
-        q = q if q.suffix == ".json" else q.with_name(q.name + ".json")
-        base = json.loads(q.read_text()).get("compilerOptions", {}) if q.exists() else {}
-    return {k: options.get(k, base.get(k)) for k in ("outDir", "rootDir")}
-
-
-def section_pairs(text: str, header: str) -> dict[str, str]:
-    """key = value under [header] and its subsections, of TOML or INI."""
-    out, inside = {}, False
+
+    def read(q: Path) -> str | None:
+        return q.read_text() if q.exists() else None
+
+    return tsconfig_text(read(p), lambda name: read(p.parent / name))
+
+
+def section_pairs(text: str, *headers: str) -> list[tuple[str, str]]:
+    """key = value lines under the headers and their subsections, of TOML or INI; comments and quotes dropped."""
+    out, inside = [], False
     for raw in text.splitlines():
-        line = raw.strip()
-        if line.startswith("["):
-            name = line.strip("[] ")
-            inside = name == header or name.startswith(header + ".")
-        elif inside and "=" in line and not line.startswith(("#", ";")):
-            k, _, v = line.partition("=")
-            out[k.strip().strip("'\"")] = v.strip().strip("'\"")
+        line = raw.split("#")[0].strip()
+        if m := re.fullmatch(r"\[([^\]]+)\]", line):
+            name = re.sub("[\"']", "", m[1])
+            inside = any(name == h or name.startswith(h + ".") for h in headers)
+        elif inside and (m := re.fullmatch(r"([\w.-]+)\s*=\s*(.+)", line)):
+            out.append((m[1], re.sub("^[\"']|[\"']$", "", m[2])))
     return out
 
 
@@ -215,21 +315,16 @@ def has_section(text: str, header: str) -> bool:
     return any(x.strip() == f"[{header}]" for x in text.splitlines())
 
 
-def entry_specs(text: str) -> list[str]:
-    """module:function of script sections in pyproject or setup.cfg."""
-    found = [v for h in ("project.scripts", "project.gui-scripts", "project.entry-points", "tool.poetry.scripts") for v in section_pairs(text, h).values()]
-    inside = False
-    for raw in text.splitlines():
-        line = raw.strip()
-        if line.startswith("["):
-            inside = line.strip("[] ") == "options.entry_points"
-        elif inside and "=" in line and not line.startswith("#"):
-            found.append(line.split("=", 1)[1].strip())
-    return [v for v in found if re.fullmatch(r"[\w.]+(?::[\w.]+)?", v)]
+_SPEC = re.compile(r"[A-Za-z_][\w.]*(?::[A-Za-z_]\w*)?")
+
+
+def entry_specs(text: str, *headers: str) -> list[str]:
+    """module or module:function values of script sections, by default pyproject's."""
+    return [v for _, v in section_pairs(text, *(headers or ("project.scripts", "project.gui-scripts", "project.entry-points"))) if _SPEC.fullmatch(v)]
 
 
 def setup_specs(text: str) -> list[str]:
-    """The same of literal entry_points in a setup(...) call."""
+    """The same of literal console_scripts in a setup(...) call."""
     import ast
 
     try:
@@ -241,18 +336,29 @@ def setup_specs(text: str) -> list[str]:
         if isinstance(node, ast.Call) and getattr(node.func, "id", getattr(node.func, "attr", "")) == "setup":
             for kw in node.keywords:
                 if kw.arg == "entry_points" and isinstance(kw.value, ast.Dict):
-                    for v in kw.value.values:
-                        if isinstance(v, (ast.List, ast.Tuple)):
-                            out += [x.value.split("=", 1)[1].strip() for x in v.elts if isinstance(x, ast.Constant) and isinstance(x.value, str) and "=" in x.value]
-    return out
+                    for k, v in zip(kw.value.keys, kw.value.values, strict=True):
+                        if isinstance(k, ast.Constant) and k.value == "console_scripts" and isinstance(v, ast.List):
+                            out += [x.value.split("=")[1].strip() for x in v.elts if isinstance(x, ast.Constant) and isinstance(x.value, str) and "=" in x.value]
+    return [v for v in out if _SPEC.fullmatch(v)]
 
 
 def dependency_names(pyproject: str, requirements: str = "") -> list[str]:
-    """Bare names of declared dependencies."""
-    m = re.search(r"^\s*dependencies\s*=\s*\[(.*?)\]", pyproject, re.S | re.M)
-    specs = re.findall(r"[\"']([^\"']+)[\"']", m[1]) if m else []
-    specs += [x.strip() for x in requirements.splitlines() if x.strip() and not x.strip().startswith(("#", "-"))]
-    return [n[0] for s in specs if (n := re.match(r"[A-Za-z0-9][A-Za-z0-9._-]*", s))]
+    """Bare names of the project's declared dependencies and of requirement lines."""
+    specs: list[str] = []
+    project = inside = False
+    for raw in pyproject.splitlines():
+        line = raw.split("#")[0].strip()
+        if not inside:
+            if m := re.fullmatch(r"\[([^\]]+)\]", line):
+                project = m[1] == "project"
+            elif project and (m := re.match(r"dependencies\s*=\s*\[(.*)", line)):
+                specs += [a or b for a, b in re.findall(r"\"([^\"]*)\"|'([^']*)'", m[1])]
+                inside = not line.endswith("]")
+        else:
+            specs += [a or b for a, b in re.findall(r"\"([^\"]*)\"|'([^']*)'", line)]
+            inside = not re.sub(r"\"[^\"]*\"|'[^']*'", "", line).count("]")
+    specs += [x for raw in requirements.splitlines() if (x := raw.split("#")[0].strip()) and not x.startswith("-")]
+    return [n[0] for s in specs if (n := re.match(r"[A-Za-z0-9][A-Za-z0-9._-]*", s.strip()))]
 
 
 def workspace_globs(package_json: dict | None, pnpm_yaml: str = "") -> list[str]:
@@ -270,6 +376,47 @@ def workspace_globs(package_json: dict | None, pnpm_yaml: str = "") -> list[str]
     return globs
 
 
+_NO_MEMBERS = {"node_modules", ".git", "dist", "coverage", ".next"}
+
+
+def workspace_members(target: str, depth: int = 6) -> list[str]:
+    """Folders below target, at most so deep, that hold a package.json and that a workspace glob names."""
+    from pyarrow import fs
+
+    globs = [g.rstrip("/") for g in workspace_globs(read_json(target, "package.json"), read_text(target, "pnpm-workspace.yaml") or "")]
+    if not globs:
+        return []
+    named = re.compile("|".join(f"(?:{glob_regex(g)})" for g in globs))
+    system, root = _filesystem(target)
+    root = root.rstrip("/")
+    out, todo = [], [(root, 0)]
+    while todo:
+        folder, level = todo.pop()
+        for f in system.get_file_info(fs.FileSelector(folder)):
+            if f.type == fs.FileType.Directory and level < depth and f.base_name not in _NO_MEMBERS and not f.base_name.startswith("."):
+                todo.append((f.path, level + 1))
+            elif f.base_name == "package.json" and folder != root and named.match(folder[len(root) + 1 :]):
+                out.append(folder[len(root) + 1 :])
+    return sorted(out)
+
+
+CONVENTIONAL = ["index.ts", "index.tsx", "src/index.ts", "src/index.tsx", "main.ts", "src/main.ts"]
+CANDIDATES = "base string, name string, source string, ordinal int, file string, place int"
+
+
+def manifest_candidates(target: str, base: str = "") -> list[tuple]:
+    """Rows of CANDIDATES: the files that a package's manifest, convention and scripts may name, in order; base is its folder in the tree."""
+    at = f"{base}/" if base else ""
+    manifest = read_json(target, at + "package.json")
+    options = tsconfig_text(read_text(target, at + "tsconfig.json"), lambda n: read_text(target, at + n))
+    name = manifest.get("name") if isinstance(manifest.get("name"), str) else None
+    rows = []
+    for k, path in enumerate(manifest_paths(manifest)):
+        rows += [(base, name, "manifest", k, at + c, i) for i, c in enumerate([path, *source_candidates(path, options["outDir"], options["rootDir"])])]
+    rows += [(base, name, "convention", k, at + c, 0) for k, c in enumerate(CONVENTIONAL)]
+    return rows + [(base, name, "scripts", k, at + c, 0) for k, c in enumerate(script_paths(manifest))]
+
+
 def prior_findings(spark: SparkSession, path: str) -> DataFrame:
     """A JSON report of an earlier scan as rows; nothing in it counts as exported."""
     df = spark.read.json(path, multiLine=True)
@@ -278,7 +425,12 @@ def prior_findings(spark: SparkSession, path: str) -> DataFrame:
 
 def nested_report(spark: SparkSession, path: str) -> DataFrame:
     """file, symbol of a report with exports and types nested per file."""
-    df = spark.read.json(path, multiLine=True).select(F.explode("issues").alias("i"))
+    return nested_symbols(spark.read.json(path, multiLine=True))
+
+
+def nested_symbols(report: DataFrame) -> DataFrame:
+    """file, symbol of report(issues array<struct<file, exports, types>>), both arrays of structs with a name."""
+    df = report.select(F.explode("issues").alias("i"))
     return df.select(F.col("i.file").alias("file"), F.explode(F.concat(F.transform("i.exports", lambda x: x["name"]), F.transform("i.types", lambda x: x["name"]))).alias("symbol"))
 
 
@@ -288,3 +440,8 @@ def line_report(spark: SparkSession, path: str) -> DataFrame:
     pattern = r"^(.+?):(\d+) - (\S+)"
     rows = spark.read.text(path).where(v.rlike(pattern))
     return rows.select(F.regexp_extract(v, pattern, 1).alias("file"), F.regexp_extract(v, pattern, 2).cast("int").alias("line"), F.regexp_extract(v, pattern, 3).alias("symbol"))
+
+
+def corpus_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of an evaluation corpus, a JSON array of objects, with their place in it."""
+    return spark.read.json(path, multiLine=True).withColumn("ordinal", F.monotonically_increasing_id())

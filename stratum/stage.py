@@ -43,10 +43,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more, and let Spark delete the shuffle files that nothing refers to."""
+def delete(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
     for table in tables:
         fs, where = _at(table.sparkSession, table.stage_path)
         fs.delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """The same, and let Spark delete the shuffle files that nothing refers to."""
+    delete(*tables)
     gc.collect()
     tables[0].sparkSession._jvm.System.gc()

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum import config as cfg
-from stratum.engine import scan
+from stratum import plugins
+from stratum.engine import explain, scan
 from stratum.functions.globs import glob_regex, matches_any
 from stratum.functions.scalars import crap, exported_python, half_up, line_range, snippet, splice, verdict
-from stratum.operators import classify, clones, metrics, reach, score
+from stratum.operators import classify, clones, effects, entries, intervals, metrics, reach, score, triage
 from stratum.plans import report
 from stratum.sources import files, python_code
 from stratum.streaming.rolling import churn_stream
@@ -63,7 +64,7 @@ def test_reports_match_by_suffix(spark):
 def test_innermost(spark):
     p = spark.createDataFrame([("a", 3), ("a", 9), ("a", 6)], "file string, line int")
     r = spark.createDataFrame([("a", 1, 7, 0), ("a", 2, 4, 1), ("a", 3, 5, 2)], "file string, start int, stop int, idx int")
-    assert {x.line: x.unit for x in metrics.innermost(p, r).collect()} == {3: 1, 9: -1, 6: 0}
+    assert {x.line: x.unit for x in intervals.innermost(p, r).collect()} == {3: 1, 9: -1, 6: 0}
 
 
 def graph(spark):
@@ -75,9 +76,8 @@ def graph(spark):
     )
 
 
-@pytest.mark.parametrize("most", [0, 1000])
-def test_two_color(spark, most):
-    got = {r.id: r.reachability for r in reach.two_color(*graph(spark), most).collect()}
+def test_two_color(spark):
+    got = {r.id: r.reachability for r in reach.two_color(*graph(spark)).collect()}
     assert got == {"main": "alive", "a": "alive", "b": "alive", "t": "test-only", "c": "test-only", "d": "test-only", "x": "dead", "y": "dead"}
 
 
@@ -95,12 +95,41 @@ def test_witness_and_inbound(spark):
     assert [tuple(r) for r in reach.inbound_refs(verdicts, edges).collect()] == [("y", "x", "dead")]
 
 
-@pytest.mark.parametrize("most", [0, 1000])
-def test_chase(spark, most):
-    links = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (5, 4), (6, 7)], "src long, dst long")
+def test_chase(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (5, 4), (6, 7), (3, 1)], "src long, dst long")
     declared = spark.createDataFrame([(3,), (9,)], "id long")
     starts = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 6, 9)], "id long")
-    assert {r.start: r.target for r in reach.chase(links, declared, starts, most).collect()} == {1: 3, 2: 3, 3: 3, 4: None, 6: None, 9: 9}
+    assert {r.start: r.target for r in reach.chase(links, declared, starts).collect()} == {1: 3, 2: 3, 3: 3, 4: None, 6: None, 9: 9}
+    long = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (201, 200)], "src long, dst long")
+    got = reach.chase(long, spark.createDataFrame([(100,)], "id long"), spark.createDataFrame([(i,) for i in (0, 37, 99, 100, 200)], "id long"))
+    assert {r.start: r.target for r in got.collect()} == {0: 100, 37: 100, 99: 100, 100: 100, 200: None}
+    none = reach.chase(long.limit(0), spark.createDataFrame([], "id long"), spark.createDataFrame([(1,)], "id long")).collect()
+    assert [tuple(r) for r in none] == [(1, None)]
+
+
+def test_long_chains_and_random_graphs(spark):
+    import random
+
+    r = random.Random(3)
+    edges = [(f"n{i}", f"n{i + 1}", "prod") for i in range(20)] + [(f"n{r.randrange(60)}", f"n{r.randrange(60)}", r.choice(["prod", "test"])) for _ in range(60)]
+    seeds = [("n0", "prod"), ("n30", "test"), ("n31", "test")]
+
+    def walked(allowed, colors):
+        at, todo = set(), [i for i, c in seeds if c in colors]
+        while todo:
+            n = todo.pop()
+            if n not in at:
+                at.add(n)
+                todo += [d for s, d, k in edges if s == n and k in allowed]
+        return at
+
+    prod, every = walked({"prod"}, {"prod"}), walked({"prod", "test"}, {"prod", "test"})
+    df = spark.createDataFrame([(f"n{i}",) for i in range(60)], "id string"), spark.createDataFrame(edges, "src string, dst string, kind string"), spark.createDataFrame(seeds, "id string, color string")
+    for row in reach.two_color(*df).collect():
+        assert row.reachability == ("alive" if row.id in prod else "test-only" if row.id in every else "dead")
+    path = reach.witness_path(df[1], df[2], "n20")
+    assert path[-1] == "n20" and path[0] in ("n0", "n30", "n31") and all((a, b) in {(s, d) for s, d, _ in edges} for a, b in zip(path, path[1:], strict=False))
+    assert len(path) - 1 == reach.closure(df[1], df[2]).where("id = 'n20'").first().depth
 
 
 def by_hand(texts, k):
@@ -128,19 +157,31 @@ def test_clone_groups(spark):
     r = random.Random(1)
     texts = {f"f{i}": [r.choice("abc") for _ in range(40)] for i in range(4)}
     texts["g"] = texts["f0"][5:30] + texts["f1"][:20]
-    rows = [(f, i, t, 0) for f, w in texts.items() for i, t in enumerate(w)]
-    tokens = spark.createDataFrame(rows, "file string, pos long, norm string, unit int")
-    got = [(x.tokens, frozenset((m.file, m.start, m.stop) for m in x.members)) for x in clones.clone_groups(tokens, 6).collect()]
+    texts["copy"] = list(texts["g"])  # a file alike in every token
+    def streams(unit):
+        return spark.createDataFrame([(f, w, [unit(i) for i in range(len(w))]) for f, w in texts.items()], "file string, norms array<string>, units array<int>")
+
+    def found(k, unit=lambda i: 0):
+        return [(x.tokens, frozenset((m.file, m.start, m.stop) for m in x.members)) for x in clones.clone_groups(streams(unit), k).collect()]
+
+    got = found(6)
     assert sorted(got, key=str) == by_hand(texts, 6) and len(got) > 3
-    split = spark.createDataFrame([(f, i, t, i // 5) for f, i, t, _ in rows], "file string, pos long, norm string, unit int")
-    assert clones.clone_groups(split, 6).count() == 0
-    merged = clones.merge_ranges(spark.createDataFrame([("a", 1, 4), ("a", 5, 6), ("a", 8, 9)], "file string, start int, stop int"), "file").collect()
+    assert [n for n, _ in got] == sorted((n for n, _ in got), reverse=True)
+    assert not found(6, lambda i: i // 5) and found(5, lambda i: i // 5)
+    lines = spark.createDataFrame([(f, [i // 3 + 1 for i in range(len(w))]) for f, w in texts.items()], "file string, lines array<int>")
+    told = clones.clone_lines(clones.clone_groups(streams(lambda i: 0), 6), lines).first()
+    assert [(m.start_line, m.end_line) for m in told.members][0] and "tokens:" in report.duplication_text([told])
+    assert clones.clone_groups(streams(lambda i: 0).limit(0), 6).count() == 0
+    periodic = {"p": ["a"] * 30, "q": ["a"] * 9}
+    texts = periodic
+    assert sorted(found(4), key=str) == by_hand(periodic, 4)
+    merged = intervals.merge_ranges(spark.createDataFrame([("a", 1, 4), ("a", 5, 6), ("a", 8, 9)], "file string, start int, stop int"), "file").collect()
     assert sorted((x.start, x.stop) for x in merged) == [(1, 6), (8, 9)]
 
 
 def test_tiers_in_order(spark):
-    facts = [("a", "f", 1, False, False, False, "miss", False), ("b", "f", 2, True, False, False, "miss", False), ("c", "f", 3, False, True, False, "miss", False), ("d", "f", 4, True, True, True, "hit", False), ("e", "g", 5, False, False, False, "miss", False), ("p", "f", 6, False, False, False, "miss", True), ("t", "f", 7, False, False, False, "hit", False), ("x", "f", 8, False, False, True, "miss", False), ("ok", "f", 9, False, False, False, "miss", False)]
-    df = spark.createDataFrame(facts, "id string, file string, line int, exported boolean, public boolean, effectful boolean, coverage string, python boolean")
+    facts = [("a", "f", 1, False, False, "pure", "miss", False), ("b", "f", 2, True, False, "pure", "miss", False), ("c", "f", 3, False, True, "unknown", "miss", False), ("d", "f", 4, True, True, "effectful", "hit", False), ("e", "g", 5, False, False, "pure", "miss", False), ("p", "f", 6, False, False, "unknown", "miss", True), ("t", "f", 7, False, False, "pure", "hit", False), ("x", "f", 8, False, False, "effectful", "miss", False), ("ok", "f", 9, False, False, "pure", "miss", False)]
+    df = spark.createDataFrame(facts, "id string, file string, line int, exported boolean, public boolean, effect string, coverage string, python boolean").withColumn("hits", F.lit(3)).withColumn("name", F.col("id"))
     v = spark.createDataFrame([(x[0], "test-only" if x[0] == "t" else "alive" if x[0] == "ok" else "dead") for x in facts], "id string, reachability string")
     taint = spark.createDataFrame([("g",)], "file string")
     found = classify.tiers(df, v, taint)
@@ -148,12 +189,20 @@ def test_tiers_in_order(spark):
     assert {r.tier for r in classify.tiers(df, v, taint, collapsed=True).collect()} == {"maybe"}
     counts = {r.id: r["count"] for r in classify.evidence(found).groupBy("id").count().collect()}
     assert counts["t"] == 3 and counts["a"] == 5
-    assert classify.evidence(found).where("id = 't' AND ordinal = 2").first().ok is None
-    gate = {r.threshold: r.fails for r in classify.gate(found.where("tier = 'maybe'"), spark.createDataFrame([], "file string, risk double")).collect()}
+    signs = {(r.id, r.ordinal): (r.ok, r.text) for r in classify.evidence(found).collect()}
+    assert [signs["t", k][0] for k in (1, 2, 3)] == [True, False, None] and signs["t", 3][1] == "3 coverage hits"
+    assert [signs["a", k][0] for k in range(1, 6)] == [True, True, True, True, True] and signs["x", 5][0] is False and signs["d", 2][0] is False and signs["e", 4][0] is False and signs["p", 5][0] is None
+    unseeded = classify.evidence(classify.tiers(df, v, taint, collapsed=True))
+    assert {r.id: r["count"] for r in unseeded.groupBy("id").count().collect()}["a"] == 6 and unseeded.where("id = 'a' AND ordinal = 1").first().ok is False
+    gate = {r.threshold: r.fails for r in classify.gate(found.where("tier = 'maybe'"), spark.createDataFrame([], "file string, line int, name string")).collect()}
     assert gate == {"high": False, "medium": False, "low": True}
     assert [r.id for r in classify.worst_first(found).collect()][0] == "a" and [r.id for r in classify.worst_first(found).collect()][-1] == "t"
-    doc = json.loads(report.sarif(classify.sarif_rows(found, spark.createDataFrame([], "file string, risk double")), "x", "1"))
+    doc = json.loads(report.sarif(classify.sarif_rows(found, spark.createDataFrame([], "file string, line int, name string")), "x", "1"))
     assert doc["version"] == "2.1.0" and len(doc["runs"][0]["results"]) == 8
+    clone = spark.createDataFrame([(60, [("f", 1, 4), ("g", 2, 5)])], "tokens int, members array<struct<file:string,start_line:int,end_line:int>>")
+    doc = json.loads(report.sarif(classify.sarif_rows(found.limit(0), spark.createDataFrame([], "file string, line int, name string"), duplication=clone), "x", "1"))
+    assert doc["runs"][0]["results"][0]["relatedLocations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "g"
+    assert {r.threshold: r.fails for r in classify.gate(found.where("reachability = 'test-only'"), clone.limit(0), clone.withColumn("x", F.lit(1))).collect()} == {"high": False, "medium": True, "low": True}
     whole = json.loads(report.json_document({"findings": found, "summary": classify.summary(found)}).first().document)
     assert len(whole["findings"]) == 8
 
@@ -206,14 +255,14 @@ def test_coverage_parsers(spark, tmp_path):
 def test_manifests(tmp_path):
     m = {"main": "./dist/a.js", "bin": {"x": "./dist/cli.js"}, "exports": {".": {"import": "./dist/m.mjs", "types": "./t.d.ts"}}, "scripts": {"s": "node './scripts/run.ts' --x", "t": "echo hi"}}
     assert files.manifest_paths(m) == ["dist/a.js", "dist/cli.js", "dist/m.mjs", "t.d.ts"] and files.script_paths(m) == ["scripts/run.ts"]
-    assert files.source_candidates("lib/a.js", "./lib", "code")[0] == "code/a.ts" and "src/cli.ts" in files.source_candidates("dist/cli.js")
+    assert files.source_candidates("lib/a.js", "./lib", "code")[0] == "code/a.ts" and "src/cli.ts" in files.source_candidates("dist/cli.js") and files.source_candidates("dist/a.mjs") == ["src/a.mts", "src/a.ts", "src/a.tsx"]
     (tmp_path / "base.json").write_text('{"compilerOptions": {"outDir": "lib", "rootDir": "r"}}')
-    (tmp_path / "tsconfig.json").write_text('{"extends": "./base", "compilerOptions": {"rootDir": "src"}}')
+    (tmp_path / "tsconfig.json").write_text('{"extends": "./base.json", "compilerOptions": {"rootDir": "src"}}')
     assert files.tsconfig(tmp_path / "tsconfig.json") == {"outDir": "lib", "rootDir": "src"}
     assert files.entry_specs('[project.scripts]\na = "pkg.mod:run"\nb = "not a spec!"\n[other]\nc = "x:y"\n') == ["pkg.mod:run"]
-    assert files.entry_specs("[options.entry_points]\nconsole_scripts =\n    tool = pkg.cli:main\n") == ["pkg.cli:main"]
+    assert files.entry_specs("[options.entry_points]\nconsole_scripts =\n    tool = pkg.cli:main\n", "options.entry_points") == ["pkg.cli:main"]
     assert files.setup_specs("from setuptools import setup\nsetup(entry_points={'console_scripts': ['t=p.q:r']})") == ["p.q:r"]
-    assert files.dependency_names('dependencies = ["requests>=2", \'rich\']', "# c\nflask==1\n-r x") == ["requests", "rich", "flask"]
+    assert files.dependency_names('[project]\ndependencies = ["requests>=2", \'rich\']', "# c\nflask==1\n-r x") == ["requests", "rich", "flask"]
     assert files.workspace_globs({"workspaces": {"packages": ["a/*"]}}, "packages:\n  - 'b/*'\nother: 1\n") == ["a/*", "b/*"]
     assert files.has_section(" [build-system]\n", "build-system")
     (tmp_path / "c.json").write_text('{"ignore": ["x"], "thresholds": {"loc": 9}}')
@@ -230,16 +279,22 @@ CODE = {
 }
 
 
+def planted(folder, texts):
+    for name, text in texts.items():
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+
+
 def test_python_front_end(spark, tmp_path):
-    for name, text in CODE.items():
-        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text(text)
+    planted(tmp_path, {**CODE, "pytest.ini": "[pytest]\n"})
     ir = python_code.lower("pkg/core.py", CODE["pkg/core.py"])
     run = next(u for u in ir["units"] if u["name"] == "run")
     assert run["params"] == 2 and run["loc"] == 7
     assert [(c["category"], c["depth"]) for c in run["control"]] == [("branch", 0), ("boolean", 1), ("boolean", 1), ("loop", 1), ("branch", 1)]
     assert {u["name"] for u in ir["units"]} == {"run", "helper", "(anonymous)", "unused", "_shown", "tested"}
     assert {s["name"]: s["exported"] for s in ir["symbols"]}["_shown"] and not python_code.lower("bad.py", CODE["bad.py"])["ok"]
+    inner = [u["owner"] for u in ir["uses"] if u["name"] == "helper"]
+    assert inner == ["5:run"] and not any(u["name"] == "unused" for u in ir["uses"])
     out = scan(spark, str(tmp_path), {**cfg.DEFAULTS})
     found = {r["name"]: (r.reachability, r.tier) for r in out["findings"].collect()}
     assert found["unused"] == ("dead", "likely") and found["tested"] == ("test-only", "maybe")
@@ -264,3 +319,112 @@ def test_churn_stream(spark, tmp_path):
     q = churn_stream(stream).writeStream.format("memory").queryName("churned").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.user_id, r.churn) for r in spark.table("churned").collect()] == [(1, 2)]
+
+
+def test_names_are_followed_through_packages(spark, tmp_path):
+    """A facade that gives a name on under another one, an attribute of an imported module, a cycle of imports, a dead end."""
+    planted(
+        tmp_path,
+        {
+            "pkg/__init__.py": "from .facade import out as go\nfrom .loop import x\n",
+            "pkg/facade.py": "from .core import run as out\n",
+            "pkg/loop.py": "from pkg import x\n",
+            "pkg/core.py": "def run():\n    return 1\n\ndef lone():\n    return lone\n\ndef member():\n    pass\n\ndef covered():\n    pass\n",
+            "main.py": "from pkg import go, x, gone\nimport pkg.core\nimport pkg.core as c\ngo()\nx\ngone\nc.member()\n",
+            "coverage/lcov.info": "SF:/elsewhere/pkg/core.py\nFN:10,covered\nFNDA:4,covered\nDA:4,0\nend_of_record\n",
+        },
+    )
+    out = scan(spark, str(tmp_path), cfg.load(None))
+    found = {r["name"]: (r.reachability, r.tier, r.coverage) for r in out["findings"].collect()}
+    assert found == {"lone": ("dead", "likely", "miss"), "covered": ("dead", "maybe", "hit")} and not out["collapsed"]
+    assert {r.file: r.source for r in out["entries"].collect()} == {"main.py": "convention"}
+    told = explain(spark, str(tmp_path), cfg.load(None), "core.py:run")
+    assert told["reachability"] == "alive" and told["witness"] == ["main.py", "pkg/core.py:1:run"]
+    dead = explain(spark, str(tmp_path), cfg.load(None), "lone")
+    assert dead["reachability"] == "dead" and dead["inbound"] == [] and explain(spark, str(tmp_path), cfg.load(None), "nobody")["status"] == "not-found"
+    assert "main.py" in report.explained_text(told)
+
+
+def test_entries_and_quarantine(spark, tmp_path):
+    planted(
+        tmp_path,
+        {
+            "pyproject.toml": '[build-system]\n[project]\ndependencies = ["pytest"]\n[project.scripts]\ntool = "lib.cli:start"\n',
+            "setup.cfg": "[options.entry_points]\nconsole_scripts =\n    other = lib.second\n",
+            "lib/cli.py": "def start():\n    used()\n\ndef used():\n    pass\n\ndef _hidden():\n    pass\n\ndef shown():\n    pass\n",
+            "lib/second.py": "A = 1\n",
+            "lib/guarded.py": "if '__main__' == __name__:\n    pass\n",
+            "test/test_x.py": "def test_it():\n    pass\n",
+            "conftest.py": "def fixture():\n    pass\n",
+            "packages/a/package.json": '{"name": "a", "main": "dist/x.js"}',
+            "packages/a/src/x.ts": "export const x = 1;\n",
+            "package.json": '{"workspaces": ["packages/*"], "scripts": {"s": "node tool.js"}}',
+            "tool.js": "1;\n",
+        },
+    )
+    out = scan(spark, str(tmp_path), cfg.load(None))
+    assert {r.file: r.source for r in out["entries"].collect()} == {"lib/cli.py": "pyproject-scripts", "lib/second.py": "setup-config", "lib/guarded.py": "dunder-main", "packages/a/src/x.ts": "workspace", "tool.js": "scripts"}
+    found = {r["name"]: (r.reachability, r.tier) for r in out["findings"].collect()}
+    # the library's exported symbols may be used elsewhere; conftest is an entry of tests, its functions are not
+    assert found == {"_hidden": ("dead", "likely"), "shown": ("dead", "maybe"), "A": ("dead", "maybe"), "test_it": ("test-only", "maybe"), "fixture": ("dead", "maybe")}
+    (tmp_path / "lib/cli.py").unlink()
+    alone = tmp_path / "alone"
+    planted(alone, {"a.py": "def f():\n    pass\n"})
+    out = scan(spark, str(alone), cfg.load(None))
+    assert out["collapsed"] and [(r.tier, r.fixable) for r in out["findings"].collect()] == [("maybe", False)]
+
+
+def test_duplication_in_a_scan(spark, tmp_path):
+    body = "".join(f"    a{i} = b{i} + {i}\n" for i in range(12))
+    planted(tmp_path, {"a.py": f"def f():\n{body}", "b.py": f"X = 1\n\ndef g():\n{body}"})
+    groups = scan(spark, str(tmp_path), cfg.load(None))["duplication"].collect()
+    assert len(groups) == 1 and [(m.file, m.start_line, m.end_line) for m in groups[0].members] == [("a.py", 1, 13), ("b.py", 3, 15)]
+
+
+def test_plugins(spark, tmp_path):
+    planted(tmp_path, {"package.json": '{"devDependencies": {"jest": "1", "next": "2"}, "name": "n"}', "jest.config.js": 'module.exports = { testMatch: ["<r>/x/*.js", "./y.js"], setupFiles: [`./s.js`] }', "requirements.txt": "pytest==1 # c\n"})
+    repo = plugins.repo(str(tmp_path))
+    assert [p.name for p in plugins.detected(repo)] == ["test-runner", "nextjs", "pytest"] and repo.published and not repo.python_library
+    c = plugins.test_config(repo)
+    assert (c.runner, c.match, c.setup, c.configs) == ("jest", ["<r>/x/*.js", "y.js"], ["s.js"], ["jest.config.js"])
+    globs = {e.glob: e.kind for e in plugins.Nextjs().entries(repo)}
+    paths = spark.createDataFrame([(p,) for p in ("app/a/page.tsx", "src/pages/api/x.ts", "middleware.js", "app/a/other.tsx")], "file string")
+    assert {r.file for r in paths.where(matches_any(F.col("file"), list(globs))).collect()} == {"app/a/page.tsx", "src/pages/api/x.ts", "middleware.js"}
+    nodes = spark.createDataFrame([(f,) for f in ("m/a.js", "m/__mocks__/a.js", "__mocks__/b.js", "b.js", "m/__mocks__/none.js")], "file string")
+    assert {(r.src, r.dst, r.kind) for r in plugins.mock_edges(nodes).collect()} == {("m/a.js", "m/__mocks__/a.js", "test"), ("b.js", "__mocks__/b.js", "test")}
+    assert plugins.TestRunner().taints(repo)[0].pattern and not plugins.Pytest().taints(repo)
+
+
+def test_initializer_effects(spark):
+    declared = spark.createDataFrame([("a", "f", "variable", "expression"), ("b", "f", "variable", "function"), ("c", "f", "other", "none"), ("d", "f", "variable", "expression"), ("e", "f", "variable", "expression"), ("g", "f", "variable", "none")], "id string, file string, kind string, initializer string")
+    calls = spark.createDataFrame([("a", "read", None, 0, False), ("b", "read", None, 0, False), ("d", "fs", "existsSync", 0, False), ("d", "fs", "rmSync", 2, False), ("d", "fs", "rmSync", 0, True), ("e", "fs", "rmSync", 1, False)], "id string, callee string, member string, depth int, constructed boolean")
+    imports = spark.createDataFrame([("f", "read", "node:fs", "readFileSync"), ("f", "fs", "fs", "*")], "file string, local string, module string, name string")
+    assert {r.id: r.effect for r in effects.initializer_effects(declared, calls, imports).collect()} == {"a": "effectful", "b": "pure", "c": "unknown", "d": "pure", "e": "effectful", "g": "pure"}
+
+
+def test_triage(spark):
+    findings = spark.createDataFrame([("f:2:g", "g", "f", 2, "dead", "maybe", False, True, False, "hit", 5, "unknown"), ("f:9:h", "h", "f", 9, "dead", "likely", False, False, False, "miss", 0, "pure")], "id string, name string, file string, line int, reachability string, tier string, collapsed boolean, public boolean, tainted boolean, coverage string, hits int, effect string")
+    texts = spark.createDataFrame([("f", "x\ndef g():\n    pass\n")], "file string, text string")
+    asked = triage.prompts(findings, texts, radius=1)
+    row = asked.first()
+    assert asked.count() == 1 and "Symbol: g (dead)" in row.user and "[-] part of the public surface" in row.user and "2\tdef g():" in row.user
+    said = triage.judged(asked, lambda system, user: '{"verdict": "likely-dead", "reasoning": "r"}').first()
+    assert (said.verdict, said.reasoning) == ("likely-dead", "r")
+
+    def fails(system, user):
+        raise OSError("no line")
+
+    assert triage.judged(asked, fails).first().verdict == "unsure"
+    rows = spark.createDataFrame([("a", "n", "f", 1, "likely-alive", ""), ("b", "n", "f", 2, "unsure", ""), ("c", "n", "f", 3, "likely-dead", "")], "id string, name string, file string, line int, verdict string, reasoning string")
+    ordered = report.triage_order(rows).collect()
+    assert [r.id for r in ordered] == ["c", "b", "a"] and "3 triaged" in report.triage_text(ordered)
+    assert tuple(triage.token_totals(spark.createDataFrame([(1, 2), (3, 4)], "asked int, answered int")).first()) == (4, 6)
+
+
+def test_specs_and_manifests_as_rows(spark):
+    mods = spark.createDataFrame([("p/m.py", "p.m")], "file string, module string")
+    declared = spark.createDataFrame([("p/m.py", "f", "p/m.py:3:f")], "file string, name string, id string")
+    specs = spark.createDataFrame([("p.m:f",), ("p.m",), ("p.m:g",), ("q:f",)], "spec string")
+    assert {r.spec: (r.file, r.symbol) for r in entries.module_specs(specs, mods, declared).collect()} == {"p.m:f": ("p/m.py", "p/m.py:3:f"), "p.m": ("p/m.py", None), "p.m:g": ("p/m.py", None), "q:f": (None, None)}
+    rows = files.manifest_rows(spark.createDataFrame([(1, '{"main": "./a.js"}'), (2, "junk"), (3, None)], "k long, t string"), "k", "t").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "a.js")]
