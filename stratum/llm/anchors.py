@@ -3,6 +3,8 @@
 Of the GRAM-grams inside every window of WINDOW words the one of least hash is its anchor. The choice depends on the window's words alone, so equal windows have equal anchors at equal places: windows whose anchor occurs in one document only can't recur. Documents stream past once to find the anchors that occur in several documents, and the stretches of text around those are then brought together by anchor, where each operator decides exactly.
 
 Window starts with the same anchor occurrence are neighbours; the stretch sent is from the first of them to the end of the last one's window, some 65 words.
+
+A passage that a third of all documents have must not bring a third of all rows to one task. What a task has seen in two documents is known to recur (Known), so of an anchor it sends two occurrences to the task that owns it and tells the others at once; and of a window it sends the least occurrence, which may be the first one of all, and one in another document, and tells the others, which recur and are not the first, at once. What arrives for a passage grows with the number of tasks, not with that of documents; nothing is left out.
 """
 
 from __future__ import annotations
@@ -51,12 +53,68 @@ def _laid(lists: list[list[bytes]], memo: Hashes) -> tuple[np.ndarray, np.ndarra
     return memo.of([w for x in lists for w in x]), np.fromiter(map(len, lists), np.int64, len(lists))
 
 
+class Known:
+    """Keys that a task has met in two documents, each with its least occurrence so far; a memory of LIMIT keys, and forgetting some changes no result."""
+
+    LIMIT = 200_000
+
+    def __init__(self) -> None:
+        self.keys, self.least = np.empty(0, np.uint64), np.empty((0, 0), np.int64)
+
+    def surplus(self, keys: np.ndarray, who: np.ndarray, *places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(spare, again) of occurrences of keys in documents `who`, ordered by `places`. A spare one has a key that recurs, and a lesser occurrence of it is or was sent; `again` is the least occurrence of a key once more, where it is or was sent."""
+        n = len(keys)
+        if not n:
+            return np.empty(0, bool), np.empty(0, bool)
+        place = np.stack(places, axis=1).astype(np.int64)
+        order = np.lexsort((*place.T[::-1], keys))
+        k, w, place = keys[order], who[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+        least = place[first]
+        # of each key the first occurrence in another document than the least one's
+        second = np.full(len(first), n)
+        other = np.flatnonzero(w != w[first][of])
+        np.minimum.at(second, of[other], other)
+        recurs, sent = second < n, np.zeros(n, bool)
+        sent[first] = True
+        sent[second[recurs]] = True
+        met = np.zeros(len(first), bool)
+        if len(self.keys):
+            spot = np.minimum(np.searchsorted(self.keys, k[first]), len(self.keys) - 1)
+            met = self.keys[spot] == k[first]
+            before = self.least[spot]
+            # is the least one here less than, or the same as, the least one so far?
+            lower, same = np.zeros(len(first), bool), np.ones(len(first), bool)
+            for c in range(place.shape[1]):
+                lower |= same & (least[:, c] < before[:, c])
+                same &= least[:, c] == before[:, c]
+            self.least[spot[met & lower]] = least[met & lower]
+            alone = np.zeros(n, bool)
+            alone[first[lower]] = True
+            sent = np.where(met[of], alone, sent)
+            least = np.where((met & ~lower)[:, None], before, least)
+        spare = (recurs | met)[of] & ~sent
+        again = spare & (place == least[of]).all(axis=1)
+        fresh = recurs & ~met
+        if fresh.any():
+            if len(self.keys) + int(fresh.sum()) > self.LIMIT or not len(self.keys):
+                self.keys, self.least = k[first][fresh], least[fresh]
+            else:
+                all_keys, all_least = np.concatenate([self.keys, k[first][fresh]]), np.concatenate([self.least, least[fresh]])
+                by_key = np.argsort(all_keys, kind="stable")
+                self.keys, self.least = all_keys[by_key], all_least[by_key]
+        out = np.zeros((2, n), bool)
+        out[:, order] = spare & ~again, again
+        return out[0], out[1]
+
+
 def recurring_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """doc, fp, anchors: the anchors of each document that other documents have too."""
     n = partitions(docs.sparkSession)
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
+        memo, known = Hashes(), Known()
         for batch in batches:
             doc, fp = (batch.column(c).to_numpy() for c in ("doc", "fp"))
             for lists, rows, _ in pieces(batch, window - 1):
@@ -69,10 +127,19 @@ def recurring_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 once = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])) if len(anchor) else []
                 anchor, row = anchor[once], row[once]
                 if len(anchor):
-                    yield packed(((anchor >> np.uint64(32)) % np.uint64(n)).astype(np.int64), [anchor, doc[row], fp[row]], n)
+                    who = identity(doc[row], fp[row])
+                    spare, again = known.surplus(anchor, who, who)
+                    sure = spare | again
+                    # these go to any task
+                    to = np.where(sure, fp[row].view(np.uint64), anchor) >> np.uint64(32)
+                    yield packed((to % np.uint64(n)).astype(np.int64), [anchor, doc[row], fp[row], sure], n)
 
     def meet(cells: list[bytes]) -> Iterator[pa.RecordBatch]:
-        anchor, doc, fp = unpacked(cells, [np.uint64, np.int64, np.int64])
+        anchor, doc, fp, sure = unpacked(cells, [np.uint64, np.int64, np.int64, np.bool_])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[sure]), pa.array(fp[sure]), pa.array(anchor[sure].view(np.int64))], names=["doc", "fp", "anchor"])
+        anchor, doc, fp = anchor[~sure], doc[~sure], fp[~sure]
+        if not len(anchor):
+            return
         order = np.argsort(anchor, kind="stable")
         anchor, doc, fp = anchor[order], doc[order], fp[order]
         at = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
@@ -139,7 +206,7 @@ def batches_of(cells: list[bytes], window: int, most: int = 400_000) -> Iterator
 
 
 def gathered(docs: DataFrame, decide: Callable[[Stretches], Iterator[pa.RecordBatch]], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Run decide on the stretches of every recurring anchor, brought together by anchor; the result has columns SPANS."""
+    """Run decide on the stretches of every recurring anchor, brought together by anchor; the result has columns SPANS. decide says what is in a stretch of the windows that recur among those that it gets; windows that are known to recur and to be no first occurrence are later ones without it."""
     if window < gram + 1 or window > 250:
         raise ValueError(f"window must be over {gram} and at most 250 words")
     docs = prepared(docs)
@@ -151,7 +218,7 @@ def gathered(docs: DataFrame, decide: Callable[[Stretches], Iterator[pa.RecordBa
     there = docs.join(anchors, (F.col("doc") == F.col("d")) & (F.col("fp") == F.col("f"))).select("doc", "fp", "text", "anchors")
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
+        memo, known = Hashes(), Known()
         salt = np.uint64(0xA24BAED4963EE407)
         for batch in batches:
             doc, fp = (batch.column(c).to_numpy() for c in ("doc", "fp"))
@@ -173,16 +240,41 @@ def gathered(docs: DataFrame, decide: Callable[[Stretches], Iterator[pa.RecordBa
                 if not len(anchor):
                     continue
                 begin = (np.cumsum(sizes) - sizes)[part]
-                start = first - begin + np.array(offsets)[part]
                 own = last - first + 1
-                bucket = ((anchor >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-                yield packed(bucket, [anchor, doc[row], fp[row], start, own.astype(np.int16)], n, ((h >> np.uint64(32)).astype(np.uint32), first, own + window - 1))
-
-    def run(cells: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(cells, window):
-            yield from decide(batch)
+                # every window of every stretch
+                of = np.repeat(np.arange(len(own)), own)
+                at = stretches(first, own)
+                place = at - begin[of] + np.array(offsets)[part][of]
+                d, f = doc[row[of]], fp[row[of]]
+                sure, again = known.surplus(ngram_hashes(h, window)[at], identity(d, f), d, f, place)
+                of, at, place, sure = of[~again], at[~again], place[~again], sure[~again]
+                # stretches fall apart into runs of windows that are alike in this
+                cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1) | (sure[1:] != sure[:-1])])) if len(of) else np.empty(0, np.int64)
+                o, at, place, own, sure = of[cut], at[cut], place[cut], np.diff(np.append(cut, len(of))), sure[cut]
+                if sure.any():
+                    r = row[o[sure]]
+                    # their cells have buckets from n on
+                    yield packed(n + (fp[r].view(np.uint64) % np.uint64(n)).astype(np.int64), [doc[r], fp[r], place[sure], place[sure] + own[sure] + window - 1], 2 * n)
+                o, at, place, own = o[~sure], at[~sure], place[~sure], own[~sure]
+                if not len(o):
+                    continue
+                bucket = ((anchor[o] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+                yield packed(bucket, [anchor[o], doc[row[o]], fp[row[o]], place, own.astype(np.int16)], n, ((h >> np.uint64(32)).astype(np.uint32), at, own + window - 1))
 
-    return exchanged(there.mapInArrow(lean(give), BLOB), run, SPANS, n)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: list[bytes] = []
+        for batch in batches:
+            for bucket, cell in zip(*(batch.column(c).to_pylist() for c in ("bucket", "payload")), strict=True):
+                if bucket < n:
+                    cells.append(cell)
+                else:
+                    told = unpacked([cell], [np.int64] * 4)
+                    yield span_batch(*told, np.ones(len(told[0]), bool))
+        if cells:
+            for some in batches_of(cells, window):
+                yield from decide(some)
+
+    return there.mapInArrow(lean(give), BLOB).repartitionById(n, F.pmod("bucket", F.lit(n))).mapInArrow(lean(run), SPANS)
 
 
 def span_batch(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, end: np.ndarray, later: np.ndarray) -> pa.RecordBatch:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.reach import components  # noqa: F401
 from ..stage import discard, stage_root, staged  # noqa: F401
 
 #: Stands for a null doc_id; `identity` tells rows without one apart where documents are counted.
@@ -285,25 +286,3 @@ class Linked:
                     break
                 root = up
         self.root = root
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node of each connected part of edges(a, b); nodes without edges don't appear. Staged.
-
-    Every round each node takes the least root among its neighbours' and then its root's root, so rounds grow with the logarithm of the longest chain; each round is written to the shared folder.
-    """
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    roots = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
-    while True:
-        near = both.join(roots, both.b == roots.node).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(near, roots.node == near.a).select("node", "root", F.least("root", "near").alias("next"))
-        up = step.select(F.col("node").alias("n2"), F.col("next").alias("up"))
-        step = step.join(up, F.col("next") == F.col("n2"), "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("up", "next")).alias("root"))
-        step = staged(step, "roots")
-        discard(roots)
-        roots = step
-        if roots.where("was <> root").isEmpty():
-            discard(both)
-            out = roots.select("node", "root")
-            out.stage_path = roots.stage_path
-            return out

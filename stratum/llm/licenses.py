@@ -138,10 +138,9 @@ def _sql() -> str:
         seq = f"r{i}"
         arms.append(f"SELECT doc_id, row, split, '{license_}' AS license, n{i} AS n FROM z")
     arms.append("SELECT doc_id, row, split, 'UNKNOWN' AS license, (length(seq) - length(replace(seq, '<', '')))::BIGINT AS n FROM z")
-    hint = "(?i)" + "|".join(HINTS)
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
-d AS (SELECT doc_id, row_number() OVER () AS row, text FROM documents WHERE regexp_matches(text, '{hint}')),
+d AS (SELECT doc_id, row_number() OVER () AS row, text FROM documents),
 u AS (
   SELECT doc_id, row, 'line' AS split, string_split(regexp_replace(text, '[.!?;:]+([ \t\n\v\f\r]+|$)|[\r\n]+', chr(10), 'g'), chr(10)) AS parts FROM d
   UNION ALL

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from stratum.llm import ann, automata, jaccard, licenses, mixing, packing, pq, quality, suffixes, toxicity
+from stratum.llm import anchors, ann, automata, jaccard, licenses, mixing, packing, pq, quality, suffixes, toxicity
 from stratum.llm.anchors import owned
 from stratum.llm.common import ngram_hashes
 
@@ -122,6 +122,55 @@ def test_repeats_among_texts_without_an_id(spark):
     assert suffixes.repeats(alike).count() == automata.located(alike).count() == 0
 
 
+def test_hot_passages_are_told_where_they_lie(spark):
+    """Passages that most documents have, over many batches of a task; rows alike, rows of one id, the least document last."""
+    hot, long = [f"h{i}" for i in range(55)], [f"l{i}" for i in range(90)]
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(4500, 0, -1):
+        own = [f"w{x}" for x in r.integers(0, 10**6, 8)]
+        rows.append((i % 4000, " ".join(own[:3] + hot + own[3:] + (long if i % 3 == 0 else []))))
+    rows += rows[:50] + [(None, rows[7][1]), (None, " ".join(long)), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    want = repeated(rows)
+    got = suffixes.repeats(df).collect()
+    assert sorted([(x.doc_id, x.start_word, x.end_word) for x in got], key=str) == want and len(got) > 4000
+    # rows without an id come first, so theirs are the first occurrences; a few windows go on into a word that two documents share by chance
+    assert all(x.dup_words == 0 for x in got if x.doc_id is None)
+    short = [x for x in got if x.doc_id is not None and x.dup_words < x.end_word - x.start_word]
+    assert len(short) < 60 and all(x.dup_words == x.end_word - x.start_word - 1 for x in short)
+    holders = {}
+    for d, t in {(d, t) for d, t in rows if d is not None}:
+        w = t.split()
+        for i in range(len(w) - 49):
+            holders.setdefault(tuple(w[i : i + 50]), set()).add(d)
+    lead = {min(h) for p, h in holders.items() if len(h) > 1 and p[0] + p[-1] not in ("h0h49", "h1h50", "h2h51", "h3h52", "h4h53", "h5h54") and p[0][0] + p[-1][0] != "ll"}
+    assert {x.doc_id for x in short} <= lead
+    assert sorted([(x.doc_id, x.start_word, x.end_word) for x in automata.located(df).collect()], key=str) == want
+
+
+def test_known_keys_keep_the_least_and_another():
+    r = np.random.default_rng(2)
+    n = 4000
+    keys, who, at = r.integers(0, 60, n).astype(np.uint64), r.integers(0, 300, n), r.integers(0, 40, n)
+    keys[n // 2 :] = np.where(r.random(n - n // 2) < 0.5, np.uint64(7), keys[n // 2 :])
+    keys[:3], who[:3] = 99, 4  # one document only
+    sent, told, dropped, known = [], [], [], anchors.Known()
+    for lo in range(0, n, 150):
+        s = slice(lo, lo + 150)
+        spare, again = known.surplus(keys[s], who[s], who[s], at[s])
+        for k, w, a, x, y in zip(keys[s].tolist(), who[s].tolist(), at[s].tolist(), spare, again, strict=True):
+            (told if x else dropped if y else sent).append((k, w, a))
+    every = list(zip(keys.tolist(), who.tolist(), at.tolist(), strict=True))
+    least = {k: min(x for x in every if x[0] == k) for k in set(keys.tolist())}
+    several = {k for k in least if len({w for q, w, _ in every if q == k}) > 1}
+    assert not any(x == least[x[0]] for x in told) and all(k in several for k, _, _ in told)
+    for k in least:
+        mine = [x for x in sent if x[0] == k]
+        assert least[k] in mine and (len({w for _, w, _ in mine}) > 1) == (k in several)
+    assert all(x in sent for x in dropped) and sum(k == 7 for k, _, _ in sent) < 40 < sum(k == 7 for k, _, _ in every)
+
+
 def test_repeats_of_nothing(none):
     assert suffixes.repeats(none).count() == automata.located(none).count() == suffixes.drop_repeats(none).count() == 0
 
