@@ -59,16 +59,22 @@ def control_nodes(function: ast.AST) -> list[tuple[str, int, bool]]:
 
 
 def _tokens(text: str) -> list[tuple[str, int]]:
-    """Names as ID, literals as LIT, keywords and signs as they are; comments and layout dropped."""
+    """Names as ID, literals as LIT (strings between their quotes), keywords and signs as they are; comments and layout dropped."""
     import keyword
 
     out = []
+    marks = {tokenize.FSTRING_START: "string_start", tokenize.FSTRING_MIDDLE: "LIT", tokenize.FSTRING_END: "string_end"}
     try:
         for t in tokenize.generate_tokens(io.StringIO(text).readline):
             if t.type == tokenize.NAME:
-                out.append((t.string if keyword.iskeyword(t.string) else "ID", t.start[0]))
-            elif t.type in (tokenize.NUMBER, tokenize.STRING):
+                out.append(("LIT" if t.string in ("True", "False") else t.string if keyword.iskeyword(t.string) else "ID", t.start[0]))
+            elif t.type == tokenize.NUMBER:
                 out.append(("LIT", t.start[0]))
+            elif t.type == tokenize.STRING:
+                empty = len(t.string.lstrip("rRbBuU").strip("\"'")) == 0
+                out += [("string_start", t.start[0]), *([] if empty else [("LIT", t.start[0])]), ("string_end", t.end[0])]
+            elif t.type in marks:
+                out.append((marks[t.type], t.start[0]))
             elif t.type == tokenize.OP:
                 out.append((t.string, t.start[0]))
     except (tokenize.TokenError, IndentationError):

@@ -12,7 +12,7 @@ from stratum.functions.globs import glob_regex, matches_any
 from stratum.functions.scalars import crap, exported_python, half_up, line_range, snippet, splice, verdict
 from stratum.operators import classify, clones, effects, entries, intervals, metrics, reach, score, triage
 from stratum.plans import report
-from stratum.sources import files, python_code
+from stratum.sources import files, python_code, script_code
 from stratum.streaming.rolling import churn_stream
 
 
@@ -366,7 +366,7 @@ def test_entries_and_quarantine(spark, tmp_path):
     assert {r.file: r.source for r in out["entries"].collect()} == {"lib/cli.py": "pyproject-scripts", "lib/second.py": "setup-config", "lib/guarded.py": "dunder-main", "packages/a/src/x.ts": "workspace", "tool.js": "scripts"}
     found = {r["name"]: (r.reachability, r.tier) for r in out["findings"].collect()}
     # the library's exported symbols may be used elsewhere; conftest is an entry of tests, its functions are not
-    assert found == {"_hidden": ("dead", "likely"), "shown": ("dead", "maybe"), "A": ("dead", "maybe"), "test_it": ("test-only", "maybe"), "fixture": ("dead", "maybe")}
+    assert found == {"_hidden": ("dead", "likely"), "shown": ("dead", "maybe"), "A": ("dead", "maybe"), "test_it": ("test-only", "maybe"), "fixture": ("dead", "maybe"), "x": ("dead", "likely")}
     (tmp_path / "lib/cli.py").unlink()
     alone = tmp_path / "alone"
     planted(alone, {"a.py": "def f():\n    pass\n"})
@@ -374,6 +374,75 @@ def test_entries_and_quarantine(spark, tmp_path):
     assert out["collapsed"] and [(r.tier, r.fixable) for r in out["findings"].collect()] == [("maybe", False)]
 
 
+def test_script_front_end():
+    """Against counts by hand."""
+    text = """import fs, { readFile as rf, type T } from "./io.js";
+import * as ns from "../lib";
+import "./side";
+export * from "./all";
+export { a as b } from "./c";
+export const x = 1, y = (p: number): string => p > 1 ? "a" : `t${p + 1}e`;
+export default function main(a, b = {}) {
+  if (a && b) { for (const q of b) { rf(q); } } else if (a) return /x\\/y/.test(a);
+  switch (a) { case 1: return 2; default: break }
+  try { ns.go() } catch (e) { helper() }
+  return [1].map((v) => v || 2);
+}
+interface I { f: (a: string) => void; g(): number }
+type U = { k: string } | null;
+class K extends I {
+  static async m(a: T) { while (true) x(); }
+}
+const { d } = x
+function helper(): { a: number } {
+  return { a: x, helper2: 3 };
+}
+export { helper as h };
+"""
+    ir = script_code.lower("src/m.ts", text)
+    assert [(s["name"], s["line"], s["exported"]) for s in ir["symbols"]] == [("x", 6, True), ("y", 6, True), ("main", 7, True), ("I", 13, False), ("U", 14, False), ("K", 15, False), ("helper", 19, True)]
+    units = {u["name"]: u for u in ir["units"]}
+    assert [(c["category"], c["depth"]) for c in units["main"]["control"]] == [("branch", 0), ("boolean", 1), ("loop", 1), ("branch", 1), ("case", 0), ("catch", 0)]
+    assert units["main"]["params"] == 2 and units["main"]["loc"] == 6 and [c["category"] for c in units["m"]["control"]] == ["loop"] and len(ir["units"]) == 5
+    assert {(i["kind"], i["module"], i["name"], i["alias"]) for i in ir["imports"]} == {("from", "./io.js", "default", "fs"), ("from", "./io.js", "readFile", "rf"), ("from", "./io.js", "T", "T"), ("import", "../lib", None, "ns"), ("effect", "./side", None, None)}
+    assert {(x["kind"], x["name"], x["alias"]) for x in ir["exports"]} == {("star", None, None), ("from", "a", "b"), ("local", "main", "default"), ("local", "helper", "h")}
+    uses = {(u["name"], u["attr"], u["owner"]) for u in ir["uses"]}
+    assert ("ns", "go", "7:main") in uses and ("helper", None, "7:main") in uses and ("x", None, "19:helper") in uses and not any(u[0] == "helper2" for u in uses)
+    assert script_code.candidates("src/m.ts", "./io.js")[:3] == ["src/io.ts", "src/io.tsx", "src/io.js"] and script_code.candidates("src/m.ts", "fs") == []
+    for odd in ("", "`${", "'", "/* x", "((({", "export", "import", "a ? b", "}" * 5, "class", "export default", "function f(", "x = /[/]/g", "<a>don't</a>"):
+        script_code.lower("odd.ts", odd)
+
+
+def test_scan_of_scripts(spark, tmp_path):
+    planted(
+        tmp_path,
+        {
+            "package.json": '{"name": "p", "main": "dist/index.js", "devDependencies": {"vitest": "1"}, "workspaces": ["libs/*"]}',
+            "libs/a/package.json": '{"name": "@p/a", "exports": {".": "./dist/a.js"}}',
+            "libs/a/src/a.ts": "export function shared() { return 1; }\nexport function unshared() { return 2; }\n",
+            "src/index.ts": 'import { go } from "./barrel.js";\nimport { shared } from "@p/a";\nimport "./effect";\nexport { pub as published } from "./pub";\ngo();\nshared();\n',
+            "src/barrel.ts": 'export * from "./deep/index";\n',
+            "src/deep/index.ts": 'export { run as go } from "./core";\n',
+            "src/deep/core.ts": 'import { readFileSync } from "fs";\nexport function run() { return local; }\nconst local = 1;\nconst lost = 2;\nconst risky = readFileSync("x");\nconst lazy = () => readFileSync("x");\nexport const tested = 3;\n',
+            "src/pub.ts": "export const pub = () => 1;\n",
+            "src/effect.ts": "function onload() { return 1; }\nonload();\n",
+            "src/core.test.ts": 'import { tested } from "./deep/core";\ntested;\n',
+        },
+    )
+    out = scan(spark, str(tmp_path), cfg.load(None))
+    assert {r.file: r.source for r in out["entries"].collect()} == {"src/index.ts": "mapped", "libs/a/src/a.ts": "workspace"}
+    found = {r["name"]: (r.reachability, r.tier, r.fixable, r.effect) for r in out["findings"].collect()}
+    assert found == {
+        "unshared": ("dead", "likely", False, "unknown"),
+        "lost": ("dead", "certain", True, "pure"),
+        "risky": ("dead", "likely", False, "effectful"),
+        "lazy": ("dead", "certain", True, "pure"),
+        "tested": ("test-only", "maybe", False, "pure"),
+        "pub": ("dead", "maybe", False, "pure"),
+    }
+    assert {r["name"] for r in out["metrics"].collect()} >= {"run", "shared", "onload", "(anonymous)"}
+
+
 def test_duplication_in_a_scan(spark, tmp_path):
     body = "".join(f"    a{i} = b{i} + {i}\n" for i in range(12))
     planted(tmp_path, {"a.py": f"def f():\n{body}", "b.py": f"X = 1\n\ndef g():\n{body}"})
