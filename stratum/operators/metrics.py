@@ -34,6 +34,11 @@ def complexity_findings(metrics: DataFrame, thresholds: dict[str, int]) -> DataF
     return rows.orderBy(F.try_divide("value", "threshold").desc_nulls_first(), "file", "line", "detector")
 
 
+def god_functions(findings: DataFrame, most: int = 1) -> DataFrame:
+    """The worst god functions among complexity findings, as they are ordered."""
+    return findings.where("detector = 'god-function'").limit(most)
+
+
 def last_hits(records: DataFrame, order: list[str]) -> DataFrame:
     """file, line, hits: the last record of a line wins, in the given order."""
     w = Window.partitionBy("file", "line").orderBy(*[F.desc(c) for c in order])

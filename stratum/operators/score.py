@@ -55,6 +55,25 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, content: str) -
     return a.join(b, key, "full").select(key, state.alias("state")).where("state IS NOT NULL")
 
 
+def snapshot_diff_hashes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """file, state of two tables of content_hashes."""
+    a, b = before.withColumnRenamed("hash", "a"), after.withColumnRenamed("hash", "b")
+    state = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
+    return a.join(b, "file", "full").select("file", state.alias("state")).where("state IS NOT NULL")
+
+
+def predictions(cases: DataFrame, findings: DataFrame) -> DataFrame:
+    """cases(file, symbol, ...) with predicted: whether a finding calls the symbol dead, likely or certainly."""
+    said = findings.where("reachability = 'dead' AND tier IN ('likely', 'certain')").select("file", F.col("name").alias("symbol")).distinct().withColumn("predicted", F.lit(True))
+    return cases.join(said, ["file", "symbol"], "left").withColumn("predicted", F.coalesce("predicted", F.lit(False)))
+
+
+def meets(scores: DataFrame, least: dict[str, float]) -> bool:
+    """Whether a row of scores reaches every given threshold."""
+    row = scores.first()
+    return all(row[k] is not None and row[k] >= v for k, v in least.items())
+
+
 def upsert(carried: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return fresh.unionByName(carried.join(fresh, key, "left_anti"))
 

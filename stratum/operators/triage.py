@@ -59,6 +59,11 @@ def validated(replies: DataFrame) -> DataFrame:
     return replies.select("id", said.alias("verdict"), F.coalesce(reason, F.concat(F.lit("no valid reply: "), F.substring("reply", 1, 120))).alias("reasoning"))
 
 
+def attached(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Findings that were judged, with verdict and reasoning; their own tier stays."""
+    return findings.join(verdicts.select("id", "verdict", "reasoning"), "id")
+
+
 def token_totals(usage: DataFrame) -> DataFrame:
     """asked, answered: sums over calls(asked, answered)."""
     return usage.agg(F.coalesce(F.sum("asked"), F.lit(0)).alias("asked"), F.coalesce(F.sum("answered"), F.lit(0)).alias("answered"))

@@ -213,6 +213,14 @@ def resolved_imports(ir: DataFrame, mods: DataFrame) -> DataFrame:
     return out.select("file", "ordinal", "i.line", "i.name", "i.alias", local.alias("local"), F.coalesce("sub_file", "base_file").alias("target"), (~named | F.col("sub_file").isNotNull()).alias("whole"))
 
 
+def local_imports(ir: DataFrame, mods: DataFrame) -> DataFrame:
+    """file, line, resolved of the imports that should lead into the tree: relative ones, and those whose first part is one of its modules'; nothing from vendored folders."""
+    roots = mods.select(F.element_at(F.split("module", r"\."), 1).alias("root")).distinct()
+    rows = ir.where(~F.col("file").rlike(r"(^|/)(_vendor|vendor)/")).select("file", F.posexplode("imports").alias("ordinal", "i")).withColumn("root", F.element_at(F.split("i.module", r"\."), 1))
+    local = rows.join(roots.withColumn("known", F.lit(True)), "root", "left").where("i.level > 0 OR known").select("file", "ordinal")
+    return resolved_imports(ir, mods).join(local, ["file", "ordinal"], "left_semi").select("file", "line", F.col("target").isNotNull().alias("resolved"))
+
+
 def _key(file: str, name: Column) -> Column:
     return F.concat_ws("\0", file, name)
 
