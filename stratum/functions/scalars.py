@@ -91,7 +91,7 @@ def splice(text: Column, first: Column, last: Column, replacement: Column) -> Co
 
 
 def import_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.startswith("import ") & ~x.startswith("import("))
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("import ") & ~x.startswith("import("))
 
 
 def verdict(reply: Column) -> Column:

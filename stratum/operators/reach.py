@@ -31,12 +31,13 @@ def _spread(edges: DataFrame, seeds: DataFrame, paths: bool = False, until: str
     while not front.isEmpty() and (until is None or front.where(F.col("id") == until).isEmpty()):
         depth += 1
         onward = edges.select(F.col("src"), F.col("dst"), F.col("bits").alias("pass"))
-        step = front.join(onward, front.id == onward.src).select(F.col("dst").alias("id"), F.col("bits").bitwiseAND(F.col("pass")).alias("bits"), F.struct("src", *(["path"] if paths else [])).alias("by")).where("bits <> 0")
-        step = step.groupBy("id").agg(F.bit_or("bits").alias("bits"), F.min("by").alias("by"))
-        have = known.groupBy(F.col("id").alias("seen")).agg(F.bit_or("bits").alias("have"))
-        step = step.join(have, step.id == have.seen, "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("have", F.lit(0))))).where("bits <> 0")
+        step = front.join(onward, front.id == onward.src).select(F.col("dst").alias("id"), F.col("bits").bitwiseAND(F.col("pass")).alias("bits"), F.lit(0).alias("had"), F.struct("src", *(["path"] if paths else [])).alias("by")).where("bits <> 0")
+        # with what is known in the same shuffle
+        before = known.select("id", F.lit(0).alias("bits"), F.col("bits").alias("had"), F.lit(None).cast(step.schema["by"].dataType).alias("by"))
+        met = step.unionByName(before).groupBy("id").agg(F.bit_or("bits").alias("bits"), F.bit_or("had").alias("had"), F.min("by").alias("by"))
+        met = met.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not("had"))).where("bits <> 0")
         more = [F.concat("by.path", F.array("id")).alias("path")] if paths else []
-        front = staged(step.select("id", "bits", F.lit(depth).alias("depth"), F.col("by.src").alias("parent"), *more), "front")
+        front = staged(met.select("id", "bits", F.lit(depth).alias("depth"), F.col("by.src").alias("parent"), *more), "front")
         written.append(front)
         known = known.unionByName(front)
         if depth % _COMPACT == 0:

@@ -1,8 +1,13 @@
 """Caching, evaluation and import resolution on small relations."""
 
+import subprocess
+
+from pyspark.sql import functions as F
+
+from stratum.functions.scalars import import_lines, tainted
 from stratum.operators import metrics, score, triage
 from stratum.plans.cache import cached
-from stratum.sources import python_code
+from stratum.sources import files, python_code
 
 
 def test_graph_cache(spark, tmp_path):
@@ -40,3 +45,43 @@ def test_import_resolution_rate(spark):
     rows = python_code.local_imports(ir, mods)
     assert sorted((r.file, r.line, r.resolved) for r in rows.collect()) == [("p/a.py", 2, True), ("p/a.py", 3, True), ("p/a.py", 3, True), ("p/a.py", 4, False), ("p/b.py", 1, False)]
     assert score.resolution_rate(rows).first().rate == 0.6
+
+
+def test_reports_of_others(spark, tmp_path):
+    (tmp_path / "prior.json").write_text('{"findings": [{"name": "a", "file": "f", "line": 3, "tier": "maybe"}]}')
+    prior = files.prior_findings(spark, str(tmp_path / "prior.json")).first()
+    assert (prior["name"], prior.line, prior.exported) == ("a", 3, False)
+    (tmp_path / "nested.json").write_text('{"issues": [{"file": "f", "exports": [{"name": "x"}], "types": [{"name": "T"}]}]}')
+    assert {tuple(r) for r in files.nested_report(spark, str(tmp_path / "nested.json")).collect()} == {("f", "x"), ("f", "T")}
+    (tmp_path / "lines.txt").write_text("src/a.ts:12 - gone (used in module)\nnoise\n")
+    assert [tuple(r) for r in files.line_report(spark, str(tmp_path / "lines.txt")).collect()] == [("src/a.ts", 12, "gone")]
+    (tmp_path / "cases.json").write_text('[{"name": "c", "truth": "dead"}, {"name": "d", "truth": "alive"}]')
+    assert [r["name"] for r in files.corpus_cases(spark, str(tmp_path / "cases.json")).orderBy("ordinal").collect()] == ["c", "d"]
+
+
+def test_small_expressions(spark):
+    row = spark.range(1).select(
+        import_lines(F.lit("import a\n  import b from 'c'\nimport('d')\nimporter\nx")).alias("i"),
+        tainted(F.lit("# getattr(x, 'y')"), F.lit(True)).alias("p"),
+        tainted(F.lit("// getattr(x, 'y')"), F.lit(False)).alias("s"),
+        tainted(F.lit("await import(`./${name}`)"), F.lit(False)).alias("d"),
+        tainted(F.lit("handlers[ key ](1)"), F.lit(True)).alias("c"),
+        tainted(F.lit("retrieval(x) values[0](1) reimport"), F.lit(False)).alias("n"),
+    ).first()
+    assert row.i == ["import a", "import b from 'c'"] and (row.p, row.s, row.d, row.c, row.n) == (True, False, True, True, False)
+
+
+def test_churn_of_a_folder_of_a_repository(spark, tmp_path):
+    def git(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@y", *args], check=True, capture_output=True)
+
+    assert files.git_churn(spark, str(tmp_path)) is None
+    git("init")
+    for k in range(2):
+        (tmp_path / "sub").mkdir(exist_ok=True)
+        (tmp_path / "sub" / "a é.py").write_text(str(k))
+        (tmp_path / "b.py").write_text(str(k))
+        git("add", "-A")
+        git("commit", "-m", str(k))
+    assert {tuple(r) for r in files.git_churn(spark, str(tmp_path)).collect()} == {("sub/a é.py", 2), ("b.py", 2)}
+    assert {tuple(r) for r in files.git_churn(spark, str(tmp_path / "sub")).collect()} == {("a é.py", 2)}
