@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, lean, stretches
+from .common import batches, lean, stretches, trimmed
 
 LABELLED, WINDOW, BUCKETS, DIM, MIN_DF, NGRAMS = 6000, 5, 1 << 18, 6, 4, (3, 4, 5)
 LETTERS = regex.compile(r"\p{L}+")
@@ -154,7 +154,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 60,
         return None
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    docs = [runs_once(np.fromiter((index.setdefault(w, len(index)) for w in LETTERS.findall((t or "").lower())), np.int64)) for t in texts]
+    docs = [runs_once(np.fromiter((index.setdefault(w, len(index)) for w in LETTERS.findall((t or "").lower())), np.int32)) for t in texts]
     use = np.array([len(d) > 0 for d in docs])
     if not (toxic & use).any() or not (~toxic & use).any():
         return None
@@ -269,7 +269,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
     sample = labelled_sample(docs, labels, ["toxic"], labelled)
-    return fit(sample["text"].tolist(), (sample["toxic"] > 0).to_numpy()) if len(sample) else None
+    texts, toxic = sample["text"].tolist(), (sample["toxic"] > 0).to_numpy()
+    # what brought the sample here goes before the fit needs room
+    del sample
+    trimmed()
+    model = fit(texts, toxic) if texts else None
+    del texts
+    trimmed()
+    return model
 
 
 def logit(model: Model, text: Column) -> Column:
