@@ -9,8 +9,6 @@ Defined cases: a null source is a source of its own; null or empty texts have no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
