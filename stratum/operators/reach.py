@@ -2,6 +2,8 @@
 
 Relations: edges(src, dst, kind) with kind prod or test, seeds(id, color) with color prod or test, nodes(id, ...).
 
+Verdicts and depths spread over ids told by 128 bits of hash (`_levels`), so the edges, which every round reads whole, are numbers; where parents or paths are asked for, ids themselves spread (`_spread`).
+
 Everything runs in rounds of joins. Each round writes only what is new to the shared folder, so lineage stays short and a lost executor costs one round; a small frontier is broadcast by its measured size, a large one shuffles. Only the number of rounds (the graph's depth, or its logarithm for chase and components) reaches the driver.
 """
 
@@ -48,6 +50,44 @@ def _spread(edges: DataFrame, seeds: DataFrame, paths: bool = False, until: str
     return known
 
 
+def _told(of: str, name: str) -> list[Column]:
+    """128 bits of an id as two columns, name and name2; the second is no function of the first."""
+    return [F.xxhash64(of).alias(name), F.xxhash64(F.lit(1), F.col(of)).alias(f"{name}2")]
+
+
+def _same(a: str, b: str) -> Column:
+    """Equal in both columns; the first alone is the join's key, as one number is looked up faster than two."""
+    return (F.col(a) == F.col(b)) & (F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")) == 0)
+
+
+def _levels(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """h, h2, bits, depth of what edges(src, dst, bits) reach from seeds(id, bits), a row an id: all its bits, and the round of the first of them. Staged."""
+    edges = staged(edges.where("src IS NOT NULL AND dst IS NOT NULL").select(*_told("src", "a"), *_told("dst", "b"), F.col("bits").cast("byte").alias("pass")), "edges")
+    start = seeds.where("id IS NOT NULL").select(*_told("id", "h"), F.col("bits").cast("byte").alias("bits"))
+    front = staged(start.groupBy("h", "h2").agg(F.bit_or("bits").alias("bits"), F.lit(0).alias("depth")), "front")
+    known, written, depth = front, [front], 0
+    while not front.isEmpty():
+        depth += 1
+        step = edges.join(front, _same("a", "h")).select(F.col("b").alias("h"), F.col("b2").alias("h2"), F.col("bits").bitwiseAND(F.col("pass")).alias("bits"), F.lit(0).cast("byte").alias("had")).where("bits <> 0")
+        # with what is known in the same shuffle
+        before = known.select("h", "h2", F.lit(0).cast("byte").alias("bits"), F.col("bits").alias("had"))
+        met = step.unionByName(before).groupBy("h", "h2").agg(F.bit_or("bits").alias("bits"), F.bit_or("had").alias("had"))
+        front = staged(met.select("h", "h2", F.col("bits").bitwiseAND(F.bitwise_not("had")).alias("bits"), F.lit(depth).alias("depth")).where("bits <> 0"), "front")
+        written.append(front)
+        known = known.unionByName(front)
+        if depth % _COMPACT == 0:
+            known = staged(_gathered(known), "reached")
+            delete(*written[:-1])
+            written = [front, known]
+    out = staged(_gathered(known), "reached")
+    delete(edges, *written)
+    return out
+
+
+def _gathered(levels: DataFrame) -> DataFrame:
+    return levels.groupBy("h", "h2").agg(F.bit_or("bits").alias("bits"), F.min("depth").alias("depth"))
+
+
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """id, depth, parent of everything that seeds reach; a seed has depth 0 and no parent; of parents the least."""
     return _spread(edges.select("src", "dst", F.lit(ANY).alias("bits")), seeds.select("id", F.lit(ANY).alias("bits"))).select("id", "depth", "parent")
@@ -63,17 +103,24 @@ def assembled(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return refs.select("src", "dst", "kind").unionByName(own_file_edges(nodes)).groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
 
 
-def two_color(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """id, reachability: alive if production seeds reach it by production edges, else test-only if any seed does by any edge, else dead. Both colors spread together, as bits."""
-    reached = _spread(edges.select("src", "dst", _bits("kind").alias("bits")), seeds.select("id", _bits("color").alias("bits")))
-    marks = reached.groupBy("id").agg(F.bit_or("bits").alias("bits"))
+def coloured(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """nodes with reachability: alive if production seeds reach it by production edges, else test-only if any seed does by any edge, else dead. Both colors spread together, as bits."""
+    reached = _levels(edges.select("src", "dst", _bits("kind").alias("bits")), seeds.select("id", _bits("color").alias("bits"))).select("h", "h2", "bits")
     by = F.coalesce("bits", F.lit(0))
-    return nodes.select("id").join(marks, "id", "left").select("id", F.when(by.bitwiseAND(F.lit(PROD)) != 0, "alive").when(by != 0, "test-only").otherwise("dead").alias("reachability"))
+    verdict = F.when(by.bitwiseAND(F.lit(PROD)) != 0, "alive").when(by != 0, "test-only").otherwise("dead")
+    return nodes.select("*", *_told("id", "n")).join(reached, _same("n", "h"), "left").select(*nodes.columns, verdict.alias("reachability"))
+
+
+def two_color(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """id, reachability of nodes, as `coloured`."""
+    return coloured(nodes.select("id"), edges, seeds)
 
 
 def witness_depths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """id, depth: length of the shortest path from any seed to each reached node."""
-    return nodes.select("id").join(closure(edges, seeds), "id").select("id", F.col("depth").cast("long").alias("depth"))
+    every = F.lit(ANY).alias("bits")
+    reached = _levels(edges.select("src", "dst", every), seeds.select("id", every)).select("h", "h2", "depth")
+    return nodes.select("id", *_told("id", "n")).join(reached, _same("n", "h")).select("id", F.col("depth").cast("long").alias("depth"))
 
 
 def witness_path(edges: DataFrame, seeds: DataFrame, target: str) -> list[str] | None:
@@ -86,7 +133,8 @@ def witness_path(edges: DataFrame, seeds: DataFrame, target: str) -> list[str] |
 def inbound_refs(verdicts: DataFrame, edges: DataFrame) -> DataFrame:
     """id, referrer, referrer_verdict: distinct referrers of dead symbols, themselves excluded; a file's verdict is null."""
     dead = verdicts.where("reachability = 'dead'").select("id")
-    refs = edges.where("src <> dst").select(F.col("dst").alias("id"), F.col("src").alias("referrer")).distinct().join(dead, "id")
+    # distinct where the join by id has brought them
+    refs = edges.where("src <> dst").select(F.col("dst").alias("id"), F.col("src").alias("referrer")).join(dead, "id").distinct()
     return refs.join(verdicts.select(F.col("id").alias("referrer"), F.col("reachability").alias("referrer_verdict")), "referrer", "left").select("id", "referrer", "referrer_verdict")
 
 

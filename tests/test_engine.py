@@ -95,6 +95,26 @@ def test_witness_and_inbound(spark):
     assert [tuple(r) for r in reach.inbound_refs(verdicts, edges).collect()] == [("y", "x", "dead")]
 
 
+def test_rounds_read_numbers(spark, monkeypatch):
+    """Edges, which every round reads, are written without ids and without a shuffle, and verdicts come with their facts."""
+    written = []
+
+    def kept(df, name):
+        written.append((name, {t for _, t in df.dtypes}, df._jdf.queryExecution().toString()))
+        return staged(df, name)
+
+    staged = reach.staged
+    monkeypatch.setattr(reach, "staged", kept)
+    nodes, edges, seeds = graph(spark)
+    twice = edges.unionByName(edges)
+    assert {tuple(r) for r in reach.two_color(nodes, twice, seeds).collect()} == {tuple(r) for r in reach.two_color(nodes, edges, seeds).collect()}
+    assert {r.id: r.depth for r in reach.witness_depths(nodes, edges, seeds).collect()} == {r.id: r.depth for r in reach.closure(edges, seeds).join(nodes.select("id"), "id").collect()}
+    of_edges = [(kinds, plan) for name, kinds, plan in written if name == "edges" and "string" not in kinds]
+    assert len(of_edges) == 3 and not any("Exchange" in plan for _, plan in of_edges)
+    facts = nodes.withColumn("fact", F.length("id"))
+    assert {tuple(r) for r in reach.coloured(facts, edges, seeds).select("id", "reachability").collect()} == {tuple(r) for r in reach.two_color(nodes, edges, seeds).collect()}
+
+
 def test_chase(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (5, 4), (6, 7), (3, 1)], "src long, dst long")
     declared = spark.createDataFrame([(3,), (9,)], "id long")
