@@ -2,7 +2,7 @@
 
 Relation: streams(file, norms array<string>, units array<int>), a row a file; a window never leaves a run of one unit.
 
-Windows are hashed where the streams lie, and only hashes shuffle to find those that recur; the content of these, and of no others, is then compared by its md5. Files' stretches of recurring windows (runs) that are alike from end to end are one, with a list of where they are, so boilerplate that a third of all files have is decided once.
+Windows are hashed where the streams lie, and only halves of hashes and positions shuffle, as columns, to find those that recur; the content of these, and of no others, is then compared by its md5. Files' stretches of recurring windows (runs) that are alike from end to end are one, with a list of where they are, so boilerplate that a third of all files have is decided once.
 """
 
 from __future__ import annotations
@@ -38,48 +38,93 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def window_hashes(streams: DataFrame, k: int) -> DataFrame:
-    """file, pos, hash: every run of k tokens within one unit, from position 0."""
-    kind = streams.schema["file"].dataType.simpleString()
+#: Bytes of cells that a task takes up at once.
+_CELLS = 24 << 20
+
+
+def _buckets(streams: DataFrame) -> int:
+    """So many that one holds about _CELLS bytes of windows, at 8 bytes a token; tables of unknown size are counted."""
+    spark = streams.sparkSession
+    stored = int(str(streams._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tokens = stored // 3 if stored < 1 << 50 else streams.agg(F.sum(F.size("norms"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens * 8 // _CELLS))
+
+
+def recurring(streams: DataFrame, k: int) -> DataFrame:
+    """f, at array<int>: positions of the runs of k tokens within one unit whose hash occurs at least twice; of a hash, 32 bits are compared within its bucket, so a few that don't recur may be among them. Several rows a file."""
+    kind, n = streams.schema["file"].dataType.simpleString(), _buckets(streams)
     hashed = streams.where(F.size("norms") >= k).select("file", F.transform("norms", lambda x: F.xxhash64(x)).alias("h"), F.transform("units", lambda x: F.coalesce(x, F.lit(-1))).alias("u"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, units = batch.column("h"), batch.column("u")
             flat, of_unit = column.flatten().to_numpy().view(np.uint64), units.flatten().to_numpy()
-            ends = np.cumsum(np.diff(column.offsets.to_numpy()))
-            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
             if len(flat) < k:
                 continue
+            ends = np.cumsum(np.diff(column.offsets.to_numpy()))
+            starts = np.concatenate([[0], ends[:-1]])
             # a window holds if no unit or file changes within it
             change = np.concatenate([[False], of_unit[1:] != of_unit[:-1]])
             change[starts] = True
             changes = np.cumsum(change)
             rolled = _rolled(flat, k)
             at = np.flatnonzero(changes[: len(rolled)] == changes[k - 1 :])
-            for lo in range(0, len(at), 100_000):
-                some = at[lo : lo + 100_000]
-                row = np.searchsorted(ends, some, side="right")
-                yield pa.RecordBatch.from_arrays([batch.column("file").take(pa.array(row)), pa.array(some - starts[row]), pa.array(rolled[some].view(np.int64))], names=["file", "pos", "hash"])
+            bucket = (rolled[at] % np.uint64(n)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            at, stops = at[order], np.searchsorted(bucket[order], np.arange(n + 1))
+            row = np.searchsorted(ends, at, side="right")
+            pos, half = (at - starts[row]).astype(np.int32), (rolled[at] >> np.uint64(32)).astype(np.uint32)
+            for b in np.flatnonzero(np.diff(stops)):
+                lo, hi = stops[b], stops[b + 1]
+                rows, sizes = np.unique(row[lo:hi], return_counts=True)
+                files = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), batch.column("file").take(pa.array(rows)))
+                cells = [pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype(np.int32), pos[lo:hi], half[lo:hi])]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), files, *cells], names=["bucket", "files", "sizes", "pos", "half"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = [[c for b in batch_of for c in b.column(name)] for batch_of in [list(batches)] for name in ("files", "sizes", "pos", "half")]
+        files, sizes, pos, half = cells
+        if not files:
+            return
+        halves = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in half])
+        order = np.argsort(halves, kind="stable")
+        same = halves[order[1:]] == halves[order[:-1]]
+        again = np.zeros(len(halves), bool)
+        again[order[1:]] = same
+        again[order[:-1]] |= same
+        done = 0
+        for f, s, p in zip(files, sizes, pos, strict=True):
+            some = np.frombuffer(p.as_py(), np.int32)
+            held = again[done : done + len(some)]
+            done += len(some)
+            if not held.any():
+                continue
+            upto = np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], np.cumsum(np.frombuffer(s.as_py(), np.int32))])]
+            full = np.flatnonzero(np.diff(upto))
+            offsets = np.concatenate([[0], upto[full + 1]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([f.values.take(pa.array(full)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(some[held]))], names=["f", "at"])
+
+    cells = hashed.mapInArrow(send, f"bucket int, files array<{kind}>, sizes binary, pos binary, half binary")
+    return cells.repartitionById(n, F.col("bucket")).mapInArrow(meet, f"f {kind}, at array<int>")
+
 
-    return hashed.mapInArrow(run, f"file {kind}, pos long, hash long")
+def _grams(streams: DataFrame, k: int) -> DataFrame:
+    """file, pos, gram: windows whose hash recurs; gram is the md5 of their tokens with blanks between."""
+    hit = recurring(streams, k).groupBy("f").agg(F.flatten(F.collect_list("at")).alias("at"))
+    told = streams.select("file", "norms").join(hit, F.col("file") == F.col("f"))
+    return told.select("file", F.explode(F.transform("at", lambda p: F.struct(p.cast("long").alias("pos"), F.md5(F.array_join(F.slice("norms", p + 1, F.lit(k)), " ")).alias("gram")))).alias("x")).select("file", "x.pos", "x.gram")
 
 
 def shared_windows(streams: DataFrame, k: int) -> DataFrame:
     """file, pos, gram: windows that occur at least twice; gram is the md5 of their tokens with blanks between."""
-    w = window_hashes(streams, k)
-    often = w.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    hit = w.join(often, "hash", "left_semi").groupBy(F.col("file").alias("f")).agg(F.collect_list("pos").alias("at"))
-    told = streams.join(hit, F.col("file") == F.col("f"))
-    grams = told.select("file", F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), F.md5(F.array_join(F.slice("norms", (p + 1).cast("int"), F.lit(k)), " ")).alias("gram")))).alias("x")).select("file", "x.pos", "x.gram")
     # equal hashes of different windows fall out here
-    grams = staged(grams, "grams")
+    grams = staged(_grams(streams, k), "grams")
     return grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "gram", "left_semi").select("file", "pos", "gram")
 
 
 def gram_groups(streams: DataFrame, k: int) -> DataFrame:
     """gram, n, first_file: windows that occur at least twice."""
-    return shared_windows(streams, k).groupBy("gram").agg(F.count("*").alias("n"), F.min("file").alias("first_file"))
+    return _grams(streams, k).groupBy("gram").agg(F.count("*").alias("n"), F.min("file").alias("first_file")).where("n > 1")
 
 
 def _decide(pdf: pd.DataFrame, k: int) -> pd.DataFrame:

@@ -199,6 +199,17 @@ def test_clone_groups(spark):
     assert sorted((x.start, x.stop) for x in merged) == [(1, 6), (8, 9)]
 
 
+def test_recurring_windows_go_once(spark, monkeypatch):
+    """Positions meet as columns, and groups are counted without a table between."""
+    streams = spark.createDataFrame([("a", list("xyzxyq"), [0] * 6), ("b", list("wxyz"), [0] * 4), ("c", list("xyzp"), [0, 0, 1, 1]), ("d", ["x"], [0])], "file string, norms array<string>, units array<int>")
+    at: dict[str, set[int]] = {}
+    for f, some in clones.recurring(streams, 3).collect():
+        at.setdefault(f, set()).update(some)
+    assert at == {"a": {0}, "b": {1}}
+    monkeypatch.setattr(clones, "staged", None)
+    assert [(x.n, x.first_file) for x in clones.gram_groups(streams, 3).collect()] == [(2, "a")]
+
+
 def test_tiers_in_order(spark):
     facts = [("a", "f", 1, False, False, "pure", "miss", False), ("b", "f", 2, True, False, "pure", "miss", False), ("c", "f", 3, False, True, "unknown", "miss", False), ("d", "f", 4, True, True, "effectful", "hit", False), ("e", "g", 5, False, False, "pure", "miss", False), ("p", "f", 6, False, False, "unknown", "miss", True), ("t", "f", 7, False, False, "pure", "hit", False), ("x", "f", 8, False, False, "effectful", "miss", False), ("ok", "f", 9, False, False, "pure", "miss", False)]
     df = spark.createDataFrame(facts, "id string, file string, line int, exported boolean, public boolean, effect string, coverage string, python boolean").withColumn("hits", F.lit(3)).withColumn("name", F.col("id"))
