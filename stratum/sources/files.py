@@ -6,10 +6,13 @@ import json
 import re
 import subprocess
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.globs import glob_regex, matches_any
@@ -95,8 +98,16 @@ def source_files(spark: SparkSession, target: str, include: list[str], ignore: l
     return paths.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(read, "file string, text string")
 
 
-def parse_lcov(text: str) -> list[tuple[str, str, str | None, int, int]]:
-    """(file, kind fn or line, name, line, hits): a repeated file replaces what was said before, a repeated line its hits; a function without data has 0."""
+#: Records of one file that follow each other in a report: file, names of its functions, lines of functions and then others, hits of each.
+Run = tuple[str, list[str], list[int], list[int]]
+
+
+def _records(runs: list[Run]) -> list[tuple[str, str, str | None, int, int]]:
+    return [(f, "fn", names[i], line, n) if i < len(names) else (f, "line", None, line, n) for f, names, lines, hits in runs for i, (line, n) in enumerate(zip(lines, hits, strict=True))]
+
+
+def _lcov_runs(text: str) -> list[Run]:
+    """A repeated file replaces what was said before, a repeated line its hits; a function without data has 0."""
     files: dict[str, tuple[dict[str, int], dict[str, int], dict[int, int]]] = {}
     here = None
     for raw in text.splitlines():
@@ -120,24 +131,60 @@ def parse_lcov(text: str) -> list[tuple[str, str, str | None, int, int]]:
                 here[2][int(line)] = int(n)
         elif raw.strip() == "end_of_record":
             here = None
+    return [(f, list(fns), [*fns.values(), *lines], [*(hits.get(x, 0) for x in fns), *lines.values()]) for f, (fns, hits, lines) in files.items() if fns or lines]
+
+
+def parse_lcov(text: str) -> list[tuple[str, str, str | None, int, int]]:
+    """(file, kind fn or line, name, line, hits): a repeated file replaces what was said before, a repeated line its hits; a function without data has 0."""
+    return _records(_lcov_runs(text))
+
+
+#: The middle branch is for lines as they are mostly written, the last for all others.
+_CLASS_OR_LINE = re.compile(r"<(?:class\b(?:[^>]*\bfilename=(\"[^\"]*\"))?|line\b(?:\s+number=\"(\d+)\"\s+hits=\"(\d+)\"[^>]*+>|(?=[^>]*?\bnumber=\"(\d+)\")(?=[^>]*?\bhits=\"(\d+)\")[^>]*>))")
+_CLOSED = re.compile(r"[^<]*+(?:<[^<>]*+>[^<]*+)*+")
+
+
+def _cobertura_tags(text: str) -> list[tuple[str, str, str, str, str]]:
+    """(quoted file, number, hits, number, hits): a class has the first, if any, a line two of the others. A whole text at once; only one with tags left open is taken apart first, so that none reaches into the next."""
+    tags = _CLASS_OR_LINE.findall(text)
+    if _CLOSED.fullmatch(text) and not any("<" in t[0] for t in tags):
+        return tags
     out = []
-    for f, (fns, hits, lines) in files.items():
-        out += [(f, "fn", name, line, hits.get(name, 0)) for name, line in fns.items()]
-        out += [(f, "line", None, line, n) for line, n in lines.items()]
+    for block in re.split(r"(?=<class\b)", text):
+        m = re.match(r"<class\b[^>]*\bfilename=(\"[^\"]*\")", block)
+        out.append((m[1] if m else "", "", "", "", ""))
+        for tag in re.findall(r"<line\b[^>]*>", block):
+            number, hits = re.search(r"\bnumber=\"(\d+)\"", tag), re.search(r"\bhits=\"(\d+)\"", tag)
+            if number and hits:
+                out.append(("", number[1], hits[1], "", ""))
     return out
 
 
+def _cobertura_runs(text: str) -> list[Run]:
+    """Several blocks of one file merge, later lines win."""
+    files: dict[str, dict[int, int]] = {}
+    order: list[tuple[str, list[int]]] = []
+    here = run = None
+    for name, number, n, number_too, n_too in _cobertura_tags(text):
+        if number or number_too:
+            if here is not None:
+                line = int(number or number_too)
+                if line not in here:
+                    if run is None:
+                        run = []
+                        order.append((file, run))
+                    run.append(line)
+                here[line] = int(n or n_too)
+        else:
+            file = name[1:-1] if name else None
+            here = None if file is None else files.setdefault(file, {})
+            run = order[-1][1] if order and order[-1][0] == file else None
+    return [(f, [], lines, [files[f][x] for x in lines]) for f, lines in order]
+
+
 def parse_cobertura(text: str) -> list[tuple[str, str, str | None, int, int]]:
     """The same of the XML format; several blocks of one file merge, later lines win."""
-    lines: dict[tuple[str, int], int] = {}
-    for block in re.split(r"(?=<class\b)", text):
-        m = re.match(r"<class\b[^>]*\bfilename=\"([^\"]*)\"", block)
-        if m:
-            for tag in re.findall(r"<line\b[^>]*>", block):
-                number, hits = re.search(r"\bnumber=\"(\d+)\"", tag), re.search(r"\bhits=\"(\d+)\"", tag)
-                if number and hits:
-                    lines[m[1], int(number[1])] = int(hits[1])
-    return [(f, "line", None, line, n) for (f, line), n in lines.items()]
+    return _records(_cobertura_runs(text))
 
 
 COVERAGE = "file string, kind string, name string, line int, hits long, priority int, ordinal int"
@@ -164,20 +211,47 @@ def coverage_records(spark: SparkSession, reports: list[str]) -> DataFrame:
     return parsed_reports(spark.read.text(there, wholetext=True))
 
 
-def parsed_reports(whole: DataFrame) -> DataFrame:
-    """Records of reports(value), whole texts of either format; of both formats the XML one has the say over a file."""
+RUNS = "file string, names array<string>, lines array<int>, hits array<long>, first int, priority int"
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for text in f["value"]:
-                xml = text.lstrip().startswith("<")
-                rows += [(*r, int(xml), i) for i, r in enumerate(parse_cobertura(text) if xml else parse_lcov(text))]
-            yield pd.DataFrame(rows, columns=["file", "kind", "name", "line", "hits", "priority", "ordinal"])
-
-    rows = whole.select("value").mapInPandas(parse, COVERAGE)
-    best = rows.groupBy(F.col("file").alias("of")).agg(F.max("priority").alias("best"))
-    return rows.join(best, (F.col("file") == F.col("of")) & (F.col("priority") == F.col("best"))).select(*rows.columns)
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of RUNS as columns."""
+    file, names, lines, hits, first, priority = zip(*rows, strict=True)
+
+    def lists(column: tuple, kind: pa.DataType) -> pa.Array:
+        ends = np.cumsum([0, *map(len, column)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(list(chain.from_iterable(column)), kind))
+
+    columns = [pa.array(file, pa.string()), lists(names, pa.string()), lists(lines, pa.int32()), lists(hits, pa.int64()), pa.array(first, pa.int32()), pa.array(priority, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RUNS.split(", ")])
+
+
+def parsed_reports(whole: DataFrame, most: int = 200_000) -> DataFrame:
+    """Records of reports(value), whole texts of either format; of both formats the XML one has the say over a file.
+
+    Texts are parsed once. What meets by file are runs, a row for the records of a file in a report, sent after so many records; they become rows where they have met.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, held = [], 0
+            for text in b.column(0).to_pylist():
+                xml, first = text.lstrip().startswith("<"), 0
+                for run in _cobertura_runs(text) if xml else _lcov_runs(text):
+                    rows.append((*run, first, int(xml)))
+                    first += len(run[2])
+                held += first
+                if held >= most:
+                    yield _packed(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _packed(rows)
+
+    runs = whole.select("value").mapInArrow(parse, RUNS)
+    kept = runs.withColumn("best", F.max("priority").over(Window.partitionBy("file"))).where("priority = best")
+    rows = kept.select("*", F.posexplode("lines").alias("i", "line"))
+    kind = F.when(F.col("i") < F.size("names"), "fn").otherwise("line").alias("kind")
+    return rows.select("file", kind, F.get("names", F.col("i")).alias("name"), "line", F.get("hits", F.col("i")).alias("hits"), "priority", (F.col("first") + F.col("i")).alias("ordinal"))
 
 
 def churn(changes: DataFrame) -> DataFrame:

@@ -85,3 +85,13 @@ def test_churn_of_a_folder_of_a_repository(spark, tmp_path):
         git("commit", "-m", str(k))
     assert {tuple(r) for r in files.git_churn(spark, str(tmp_path)).collect()} == {("sub/a é.py", 2), ("b.py", 2)}
     assert {tuple(r) for r in files.git_churn(spark, str(tmp_path / "sub")).collect()} == {("a é.py", 2)}
+
+
+def test_reports_are_parsed_once(spark):
+    xml = '<coverage><class filename="a"><line number="1" hits="2"/></class><class filename="b"><line hits="3" number="1" branch="no"/></class><class name="none"><line number="7" hits="1"/></class><class filename="a"><line number="2" hits="0"/><line number="1" hits="5"/></class><class filename="c"></class></coverage>'
+    left_open = '<class filename="d" <line number="1" hits="1"/><class filename="d"><line number="2" hits="4"/>'
+    texts = [xml, left_open, "SF:a\nDA:9,9\nend_of_record\nSF:c\nDA:2,2\nFN:1,f\nFN:3,g\nFNDA:8,g\nend_of_record\nSF:e\nend_of_record\n"]
+    found = files.parsed_reports(spark.createDataFrame([(t,) for t in texts], "value string"), most=2)
+    want = {("a", "line", None, 1, 5, 1, 0), ("b", "line", None, 1, 3, 1, 1), ("a", "line", None, 2, 0, 1, 2), ("d", "line", None, 1, 1, 1, 0), ("d", "line", None, 2, 4, 1, 1), ("c", "fn", "f", 1, 0, 0, 1), ("c", "fn", "g", 3, 8, 0, 2), ("c", "line", None, 2, 2, 0, 3)}
+    assert found.dtypes == spark.createDataFrame([], files.COVERAGE).dtypes and {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("MapIn") == 1
