@@ -57,19 +57,19 @@ def coverage_status(spark, sf_dir):
 
 built("coverage_status", coverage_status, f"WITH y AS ({_SYMBOLS}), f AS ({_FNS}), m AS (SELECT y.file, y.line, coalesce(f.hits, hits.hits) AS hits FROM y LEFT JOIN f ON f.file = y.file AND f.line = y.line AND ordinal = 1 LEFT JOIN hits ON hits.file = y.file AND hits.line = y.line) SELECT file, CAST(line AS BIGINT) AS line, CASE WHEN hits IS NULL THEN 'unavailable' WHEN hits > 0 THEN 'hit' ELSE 'miss' END AS status, hits FROM m")
 
-_ORDERED = "array_sort(collect_list(struct(l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_linenumber, l_returnflag)))"
-_N = "CAST(CASE WHEN x.l_returnflag = 'R' THEN 0 ELSE x.l_quantity END AS BIGINT)"
+_N = "CAST(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END AS BIGINT)"
 
 
-def _reports(spark, sf_dir, block: str) -> DataFrame:
-    """One report a customer, with a block an order; lines in order of shipping."""
-    rows = run_sql(spark, sf_dir, f"SELECT o_custkey, o_orderkey, o_orderstatus, x FROM orders LEFT JOIN (SELECT l_orderkey, {_ORDERED} AS x FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
+def _reports(spark, sf_dir, between: str, block: str) -> DataFrame:
+    """One report a customer, with a block an order; x holds its lines in order of shipping, each as number and hits with a text between them."""
+    ordered = f"sort_array(collect_list(struct(l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_linenumber, l_returnflag, concat(l_linenumber, '{between}', {_N}) AS said)))"
+    rows = run_sql(spark, sf_dir, f"SELECT o_custkey, o_orderkey, o_orderstatus, x.said AS x FROM orders LEFT JOIN (SELECT l_orderkey, {ordered} AS x FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
     return rows.select("o_custkey", F.expr(block).alias("block")).groupBy("o_custkey").agg(F.concat_ws("\n", F.collect_list("block")).alias("value"))
 
 
 def lcov_sessionize(spark, sf_dir):
-    block = f"concat_ws('\\n', concat('SF:', o_orderkey), 'FN:1,main', CASE WHEN o_orderstatus = 'F' THEN concat('FNDA:', coalesce(size(x), 0), ',main') END, array_join(transform(coalesce(x, array()), x -> concat('DA:', x.l_linenumber, ',', {_N})), '\\n'), 'end_of_record')"
-    return files.parsed_reports(_reports(spark, sf_dir, block)).select("file", "kind", F.col("line").cast("long").alias("line"), "hits")
+    block = "concat_ws('\\n', concat('SF:', o_orderkey), 'FN:1,main', CASE WHEN o_orderstatus = 'F' THEN concat('FNDA:', coalesce(size(x), 0), ',main') END, concat('DA:', array_join(x, '\\nDA:')), 'end_of_record')"
+    return files.parsed_reports(_reports(spark, sf_dir, ",", block)).select("file", "kind", F.col("line").cast("long").alias("line"), "hits")
 
 
 built("lcov_sessionize", lcov_sessionize, "SELECT CAST(file AS VARCHAR) AS file, 'line' AS kind, CAST(line AS BIGINT) AS line, CAST(hits AS BIGINT) AS hits FROM hits UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'fn', 1, CASE WHEN o_orderstatus = 'F' THEN coalesce(n, 0) ELSE 0 END FROM orders LEFT JOIN size ON file = o_orderkey")
@@ -77,8 +77,9 @@ built("lcov_sessionize", lcov_sessionize, "SELECT CAST(file AS VARCHAR) AS file,
 
 def xml_extract_merge(spark, sf_dir):
     """A class element a record, so that every file has several."""
-    block = f"array_join(transform(coalesce(x, array()), x -> concat('<class name=\"c\" filename=\"', o_orderkey, '\"><line number=\"', x.l_linenumber, '\" hits=\"', {_N}, '\"/></class>')), '')"
-    texts = _reports(spark, sf_dir, block).select(F.concat(F.lit("<coverage>"), "value", F.lit("</coverage>")).alias("value"))
+    start, end = "'<class name=\"c\" filename=\"', o_orderkey, '\"><line number=\"'", "'\"/></class>'"
+    block = f"concat({start}, array_join(x, concat({end}, {start})), {end})"
+    texts = _reports(spark, sf_dir, '" hits="', block).select(F.concat(F.lit("<coverage>"), "value", F.lit("</coverage>")).alias("value"))
     return files.parsed_reports(texts).select("file", F.col("line").cast("long").alias("line"), "hits")
 
 

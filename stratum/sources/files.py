@@ -106,31 +106,40 @@ def _records(runs: list[Run]) -> list[tuple[str, str, str | None, int, int]]:
     return [(f, "fn", names[i], line, n) if i < len(names) else (f, "line", None, line, n) for f, names, lines, hits in runs for i, (line, n) in enumerate(zip(lines, hits, strict=True))]
 
 
+#: line and hits of a plain DA line, or another line.
+_DATA_OR_OTHER = re.compile(r"^(?:DA:(\d+),(\d+)|(.+))$", re.M)
+
+
 def _lcov_runs(text: str) -> list[Run]:
     """A repeated file replaces what was said before, a repeated line its hits; a function without data has 0."""
     files: dict[str, tuple[dict[str, int], dict[str, int], dict[int, int]]] = {}
     here = None
-    for raw in text.splitlines():
-        tag, _, rest = raw.strip().partition(":")
-        if tag == "SF":
-            here = files[rest] = ({}, {}, {})
-        elif here is None:
+    for at, count, other in _DATA_OR_OTHER.findall(text):
+        if at:
+            if here is not None:
+                here[2][int(at)] = int(count)
             continue
-        elif tag == "FN":
-            line, _, name = rest.partition(",")
-            if line.strip().isdigit():
-                here[0].setdefault(name, int(line))
-        elif tag == "FNDA":
-            n, _, name = rest.partition(",")
-            if n.strip().isdigit():
-                here[1][name] = int(n)
-        elif tag == "DA":
-            line, _, n = rest.partition(",")
-            n = n.split(",")[0]
-            if line.strip().isdigit() and n.strip().isdigit():
-                here[2][int(line)] = int(n)
-        elif raw.strip() == "end_of_record":
-            here = None
+        for raw in other.splitlines():
+            tag, _, rest = raw.strip().partition(":")
+            if tag == "SF":
+                here = files[rest] = ({}, {}, {})
+            elif here is None:
+                continue
+            elif tag == "FN":
+                line, _, name = rest.partition(",")
+                if line.strip().isdigit():
+                    here[0].setdefault(name, int(line))
+            elif tag == "FNDA":
+                n, _, name = rest.partition(",")
+                if n.strip().isdigit():
+                    here[1][name] = int(n)
+            elif tag == "DA":
+                line, _, n = rest.partition(",")
+                n = n.split(",")[0]
+                if line.strip().isdigit() and n.strip().isdigit():
+                    here[2][int(line)] = int(n)
+            elif raw.strip() == "end_of_record":
+                here = None
     return [(f, list(fns), [*fns.values(), *lines], [*(hits.get(x, 0) for x in fns), *lines.values()]) for f, (fns, hits, lines) in files.items() if fns or lines]
 
 

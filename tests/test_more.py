@@ -95,3 +95,13 @@ def test_reports_are_parsed_once(spark):
     want = {("a", "line", None, 1, 5, 1, 0), ("b", "line", None, 1, 3, 1, 1), ("a", "line", None, 2, 0, 1, 2), ("d", "line", None, 1, 1, 1, 0), ("d", "line", None, 2, 4, 1, 1), ("c", "fn", "f", 1, 0, 0, 1), ("c", "fn", "g", 3, 8, 0, 2), ("c", "line", None, 2, 2, 0, 3)}
     assert found.dtypes == spark.createDataFrame([], files.COVERAGE).dtypes and {tuple(r) for r in found.collect()} == want and found.count() == len(want)
     assert found._jdf.queryExecution().sparkPlan().toString().count("MapIn") == 1
+
+
+def test_lines_of_reports(spark):
+    from stratum.plans import measures
+
+    lcov = "DA:1,1\r\nSF:a\r\nDA:1,2\r\n DA: 2 , 3 ,sum\nDA:x,1\nDA:3\nDA:4,-1\nDA:5,6,sum\n\nFN:7,f,g\nFN:x,h\nFNDA:2,f,g\x0bDA:8,9\nend_of_record\nDA:9,9\nSF:b\nend_of_record"
+    assert files.parse_lcov(lcov) == [("a", "fn", "f,g", 7, 2), ("a", "line", None, 1, 2), ("a", "line", None, 2, 3), ("a", "line", None, 5, 6), ("a", "line", None, 8, 9)]
+    for query in (measures.lcov_sessionize, measures.xml_extract_merge):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("MapIn") == 1 and "lambda" not in plan
